@@ -8,7 +8,7 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("tracking",)
+MODULES = ("tracking", "statistics", "rain")
 
 
 def query(name: str, oracle: str | None = None):

@@ -14,7 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftfield.operators import label, link, tracks
+from driftfield.functions import geo, physics
+from driftfield.operators import label, link, mapback, precip, stats, systems, tracks
 from driftfield.sources import tables
 from driftfield.workspace import Workspace, workspace_for
 
@@ -24,7 +25,22 @@ COLD_K = 241.0
 OTHRESH = 0.3
 TIMEGAP_H = 3.1
 MIN_NPIX = 1
-PIXEL_KM = 10.0
+PIXEL_KM = 11.0
+LINGER = 4
+DT_H = 1.0
+TB_CORE, TB_COLD, TB_WARM, TB_CLOUD = 225.0, 241.0, 261.0, 261.0
+SYSTEM_AREA, SYSTEM_HOURS, SYSTEM_GAP = 400.0, 3.0, 1
+RAIN_MIN, RAIN_HEAVY = 3.0, 6.0
+
+
+def rounded(df: DataFrame, digits: int = 9, **special: int) -> DataFrame:
+    """Doubles rounded for comparison; adding zero folds the two zeros into one."""
+    return df.select(
+        *[
+            (F.round(f.name, special.get(f.name, digits)) + 0.0).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )
 
 _memo: dict[tuple, DataFrame] = {}
 
@@ -51,15 +67,17 @@ class Stages:
 
     # -- field -----------------------------------------------------------
     def raw_field(self) -> DataFrame:
+        """Monthly pixel sums, each still felt in the next three months."""
         part = F.col("l_partkey")
         rows = self.table("lineitem").select("l_shipdate", "l_partkey", "l_quantity", "l_discount")
-        return tables.grid_frames(
+        monthly = tables.grid_frames(
             rows,
             F.date_trunc("month", "l_shipdate"),
             F.floor(part / NX) % NY,
             part % NX,
             {"v": F.sum("l_quantity"), "d": F.sum(F.round(F.col("l_discount") * 100))},
         )
+        return tables.lingering(monthly, LINGER)
 
     def frames(self) -> DataFrame:
         return self.keep("frames", lambda: tables.frame_table(self.raw_field(), STEP_S))
@@ -80,19 +98,20 @@ class Stages:
         return self.keep("field", build)
 
     def grid(self) -> DataFrame:
-        """y, x, lat, lon, area_km2, landfrac of the synthetic 1-degree grid."""
-        return (
+        """y, x, lat, lon, area_km2, landfrac of the synthetic 0.1-degree grid."""
+        cells = (
             self.spark.range(NY)
             .select(F.col("id").cast("int").alias("y"))
             .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(NX - 1))))
             .withColumns(
                 {
-                    "lat": (F.col("y") - 10).cast("double"),
-                    "lon": (F.col("x") + 20).cast("double"),
+                    "lat": (F.col("y") - 10) / 10,
+                    "lon": (F.col("x") + 200) / 10,
                     "landfrac": F.when(F.col("x") < 10, 100.0).otherwise(0.0),
                 }
             )
         )
+        return geo.with_cell_area(cells).select("y", "x", "lat", "lon", "area_km2", "landfrac")
 
     # -- generic tracking ---------------------------------------------------
     def regions(self) -> DataFrame:
@@ -119,3 +138,91 @@ class Stages:
             "points",
             lambda: tracks.number_tracks(self.features(), self.links(), self.pairs(), self.ws, OTHRESH),
         )
+
+    # -- statistics ---------------------------------------------------------
+    def cloud_pixels(self) -> DataFrame:
+        """Labelled pixels with temperature class, rain, position and area."""
+
+        def build() -> DataFrame:
+            fields = self.field().select("frame_id", "y", "x", "tb", "rain")
+            return (
+                self.labels()
+                .join(fields, ["frame_id", "y", "x"])
+                .join(self.grid(), ["y", "x"])
+                .withColumn("cloudtype", physics.cloud_type("tb", TB_CORE, TB_COLD, TB_WARM, TB_CLOUD))
+            )
+
+        return self.keep("cloud_pixels", build)
+
+    def feature_stats(self) -> DataFrame:
+        return self.keep(
+            "feature_stats", lambda: stats.feature_stats(self.cloud_pixels(), stats.tb_extras())
+        )
+
+    def all_series(self) -> DataFrame:
+        return self.keep(
+            "all_series", lambda: stats.track_series(self.points(), self.feature_stats(), self.frames())
+        )
+
+    def series(self) -> DataFrame:
+        """Track series without short unlinked tracks."""
+        return self.keep(
+            "series",
+            lambda: stats.drop_short_tracks(self.all_series(), stats.track_ends(self.all_series()), 2),
+        )
+
+    def ends(self) -> DataFrame:
+        return self.keep("ends", lambda: stats.track_ends(self.series()))
+
+    # -- systems --------------------------------------------------------------
+    def systems(self) -> DataFrame:
+        return self.keep(
+            "systems",
+            lambda: systems.cold_systems(self.series(), SYSTEM_AREA, SYSTEM_HOURS, SYSTEM_GAP, DT_H),
+        )
+
+    def attached(self) -> DataFrame:
+        return self.keep(
+            "attached",
+            lambda: systems.attachments(
+                self.series(), self.ends(), self.systems(), 12, 12, DT_H, F.col("core_area") + F.col("cold_area")
+            ),
+        )
+
+    def system_series(self) -> DataFrame:
+        return self.keep(
+            "system_series", lambda: systems.system_series(self.series(), self.systems(), SYSTEM_AREA)
+        )
+
+    def system_pixels(self) -> DataFrame:
+        def build() -> DataFrame:
+            members = precip.system_features(self.system_series(), self.attached())
+            return precip.system_pixels(self.cloud_pixels(), members)
+
+        return self.keep("system_pixels", build)
+
+    def rain_features(self) -> tuple[DataFrame, DataFrame]:
+        made: dict[str, DataFrame] = {}
+
+        def build(which: str) -> DataFrame:
+            if not made:
+                made["f"], made["n"] = precip.rain_features(
+                    self.system_pixels(), self.ws, RAIN_MIN, RAIN_HEAVY, 100.0, PIXEL_KM, 3, (NY, NX)
+                )
+            return made[which]
+
+        return (
+            self.keep("rain_features", lambda: build("f")),
+            self.keep("rain_feature_counts", lambda: build("n")),
+        )
+
+    def rain_totals(self) -> DataFrame:
+        return self.keep(
+            "rain_totals",
+            lambda: precip.rain_totals(self.system_pixels(), RAIN_MIN, RAIN_HEAVY, (90.0, 100.0)),
+        )
+
+    def assignment(self) -> DataFrame:
+        return self.keep(
+            "assignment", lambda: mapback.feature_assignment(self.system_series(), self.attached())
+        )

@@ -28,6 +28,18 @@ def grid_frames(
     )
 
 
+def lingering(pixels: DataFrame, months: int) -> DataFrame:
+    """Add each monthly pixel sum to the following months as well (a moving sum).
+
+    Runs on the already aggregated pixels, so the copies are pixel-sized.
+    """
+    values = [c for c in pixels.columns if c not in ("ts", "y", "x")]
+    copies = pixels.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(months - 1)))).withColumn(
+        "ts", F.add_months("ts", F.col("_k")).cast("timestamp")
+    )
+    return copies.groupBy("ts", "y", "x").agg(*[F.sum(v).alias(v) for v in values])
+
+
 def frame_table(pixels: DataFrame, step_s: int | None = None) -> DataFrame:
     """(frame_id, ts, epoch_s); with ``step_s`` frames are placed on an even clock."""
     frames = frame_index(pixels)
