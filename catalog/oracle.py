@@ -76,10 +76,12 @@ grid AS (
 
 
 def rnd(columns: str, digits: int = 9, **special: int) -> str:
-    """Select list of rounded columns."""
-    return ", ".join(
-        f"round({c}, {special.get(c, digits)}) + 0.0::DOUBLE AS {c}" for c in columns.split()
-    )
+    """Select list of rounded columns (areas and volumes to six places at most)."""
+
+    def places(c: str) -> int:
+        return special.get(c, min(digits, 6) if "area" in c or "vol" in c else digits)
+
+    return ", ".join(f"round({c}, {places(c)}) + 0.0::DOUBLE AS {c}" for c in columns.split())
 
 
 def regions_sql(name: str, source: str, where: str, wrap: str = "") -> str:

@@ -21,10 +21,10 @@ def system_rain_totals(spark, sf):
     return rounded(Stages(spark, sf).rain_totals())
 
 
-@query("rain_features", sql.query("rain_features", f"SELECT track_id, frame_id, time_idx, pf_rank, pf_npix, {sql.rnd(SHAPES, pf_skewness=6)} FROM rain_features"))
+@query("rain_features", sql.query("rain_features", f"SELECT track_id, frame_id, time_idx, pf_rank, pf_npix, {sql.rnd(SHAPES, pf_skewness=6, pf_eccentricity=6, pf_orientation=6)} FROM rain_features"))
 def rain_features(spark, sf):
     feats, _ = Stages(spark, sf).rain_features()
-    return rounded(feats.drop("_cy", "_cx", "_hy", "_hx"), pf_skewness=6)
+    return rounded(feats.drop("_cy", "_cx", "_hy", "_hx"), pf_skewness=6, pf_eccentricity=6, pf_orientation=6)
 
 
 @query("rain_feature_centroids", sql.query(("rain_features", "grid"), """

@@ -8,7 +8,7 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("tracking", "statistics", "rain")
+MODULES = ("tracking", "statistics", "rain", "radar", "moving")
 
 
 def query(name: str, oracle: str | None = None):

@@ -35,9 +35,13 @@ RAIN_MIN, RAIN_HEAVY = 3.0, 6.0
 
 def rounded(df: DataFrame, digits: int = 9, **special: int) -> DataFrame:
     """Doubles rounded for comparison; adding zero folds the two zeros into one."""
+
+    def places(name: str) -> int:
+        return special.get(name, min(digits, 6) if "area" in name or "vol" in name else digits)
+
     return df.select(
         *[
-            (F.round(f.name, special.get(f.name, digits)) + 0.0).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
+            (F.round(f.name, places(f.name)) + 0.0).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
             for f in df.schema.fields
         ]
     )

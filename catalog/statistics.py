@@ -157,7 +157,7 @@ def unwrap_positions(spark, sf):
 
 
 @query("dense_statistics", sql.query("series", """
-SELECT track_id, k AS time_idx, round(area, 9) + 0.0::DOUBLE AS area, base_time
+SELECT track_id, k AS time_idx, round(area, 6) + 0.0::DOUBLE AS area, base_time
 FROM (SELECT DISTINCT track_id FROM series), (SELECT unnest(range((SELECT max(time_idx) + 1 FROM series))) AS k)
 LEFT JOIN (SELECT track_id AS t, time_idx AS i, area, base_time FROM series) ON t = track_id AND i = k"""))
 def dense_statistics(spark, sf):
@@ -166,7 +166,7 @@ def dense_statistics(spark, sf):
     return rounded(flat.select("track_id", "time_idx", F.col("s.area").alias("area"), F.col("s.base_time").alias("base_time")))
 
 
-@query("sparse_statistics", sql.query("series", "SELECT track_id, time_idx, round(area, 9) + 0.0::DOUBLE AS area, base_time FROM series"))
+@query("sparse_statistics", sql.query("series", "SELECT track_id, time_idx, round(area, 6) + 0.0::DOUBLE AS area, base_time FROM series"))
 def sparse_statistics(spark, sf):
     dense = stats.to_dense(Stages(spark, sf).series(), ["area", "base_time"])
     return rounded(stats.to_sparse(dense, ["area", "base_time"]))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftfield.operators import label, shapes
+from driftfield.operators.ranking import exact_quantile
 from driftfield.workspace import Workspace
 
 KEYS = ["track_id", "frame_id"]
@@ -42,12 +43,13 @@ def rain_totals(
         "total_heavyrain": F.sum(F.when(hard, r)),
         "total_heavyvolrain": F.sum(F.when(hard, r * area)),
         "rainrate_heavyrain": F.avg(F.when(hard, r)),
-        "rainrate_p95": F.percentile(F.when(wet, r), F.lit(0.95)),
     }
     if land is not None:
         on_land = wet & F.col("landfrac").between(*land)
         agg["pf_landfrac"] = F.sum(on_land.cast("int")) / F.nullif(F.sum(wet.cast("int")), F.lit(0))
-    return pixels.groupBy(*KEYS, "time_idx").agg(*[c.alias(n) for n, c in agg.items()])
+    totals = pixels.groupBy(*KEYS, "time_idx").agg(*[c.alias(n) for n, c in agg.items()])
+    p95 = exact_quantile(pixels.where(wet), KEYS, "rain", 0.95, "rainrate_p95")
+    return totals.join(p95, KEYS, "left")
 
 
 def rain_features(

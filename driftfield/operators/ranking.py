@@ -75,3 +75,49 @@ def frame_index(times: DataFrame, ts: str = "ts") -> DataFrame:
         [F.col(ts)],
         "frame_id",
     )
+
+
+QUANTILE_BINS = 1024
+
+
+def exact_quantile(
+    df: DataFrame, keys: Sequence[str], value: str, q: float, out: str, bins: int = QUANTILE_BINS
+) -> DataFrame:
+    """Exact quantile per group with linear interpolation, for groups of any size.
+
+    Distinct values are counted first, then binned between the group's extremes;
+    only the bins that hold the two neighbouring order statistics are sorted.
+    """
+    keys = list(keys)
+    freq = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c")
+    )
+    span = freq.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    binned = freq.join(span, keys).withColumn(
+        "_b", F.when(width > 0, F.floor((F.col("_v") - F.col("_lo")) / width)).otherwise(0)
+    )
+    rank = (F.col("_n") - 1) * q
+    below = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = (
+        binned.groupBy(*keys, "_b")
+        .agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_bc").over(below), F.lit(0)))
+        .where(
+            ((F.col("_before") <= F.floor(rank)) & (F.floor(rank) < F.col("_before") + F.col("_bc")))
+            | ((F.col("_before") <= F.ceil(rank)) & (F.ceil(rank) < F.col("_before") + F.col("_bc")))
+        )
+        .select(*keys, "_b", "_before")
+    )
+    within = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cells = binned.join(wanted, [*keys, "_b"]).withColumn("_upto", F.col("_before") + F.sum("_c").over(within))
+
+    def holds(r: Column) -> Column:
+        return F.max(F.when((F.col("_upto") > r) & (F.col("_upto") - F.col("_c") <= r), F.col("_v")))
+
+    picked = cells.groupBy(*keys).agg(
+        holds(F.floor(rank)).alias("_a"), holds(F.ceil(rank)).alias("_z"), F.first("_n").alias("_n")
+    )
+    return picked.select(
+        *keys, (F.col("_a") + (F.col("_z") - F.col("_a")) * (rank - F.floor(rank))).alias(out)
+    )
