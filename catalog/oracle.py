@@ -25,6 +25,8 @@ def query(needs: tuple[str, ...] | str, select: str) -> str:
 
     for name in (needs,) if isinstance(needs, str) else needs:
         visit(name)
+    if not ordered:
+        return f"WITH {select.strip()}"
     ctes = ",\n".join(FRAGMENTS[n][1] for n in ordered)
     return f"WITH RECURSIVE {ctes}\n{select.strip()}"
 
