@@ -165,9 +165,9 @@ def seasonal_rain(spark, sf):
     )
 
 
-@query("diurnal_cycle", sql.query("tracked_field", "SELECT x, CAST(hour AS INTEGER) AS hour, round(avg(rain), 9) + 0.0::DOUBLE AS rain FROM tracked_field GROUP BY 1, 2"))
+@query("diurnal_cycle", sql.query("tracked_field", "SELECT x, CAST(hour AS INTEGER) AS hour, round(avg(rain), 11) + 0.0::DOUBLE AS rain FROM tracked_field GROUP BY 1, 2"))
 def diurnal_cycle(spark, sf):
-    return rounded(analysis.diurnal_cycle(tracked_field(Stages(spark, sf)), ["x"], F.col("hour"), "rain"))
+    return rounded(analysis.diurnal_cycle(tracked_field(Stages(spark, sf)), ["x"], F.col("hour"), "rain"), 11)
 
 
 @query("diurnal_harmonics", sql.query("tracked_field", f"""
