@@ -175,7 +175,8 @@ def fill_missing_median(spark, sf):
     # the whole frame box takes part, so absent grid pixels are rows with a missing value
     st = Stages(spark, sf)
     px = st.field().select("frame_id", "y", "x", F.when(F.col("z") <= 2, F.col("tb")).alias("tb"), F.lit(True).alias("real"))
-    cells = st.frames().select("frame_id").join(F.broadcast(st.grid().select("y", "x")))
+    rows, cols = F.sequence(F.lit(0), F.lit(NY - 1)), F.sequence(F.lit(0), F.lit(NX - 1))
+    cells = st.frames().select("frame_id", F.explode(rows).alias("y")).withColumn("x", F.explode(cols))
     full = cells.join(px, ["frame_id", "y", "x"], "left")
     return image.fill_median(full, "tb", 5).where("real").select("frame_id", "y", "x", "tb")
 

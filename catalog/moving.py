@@ -49,8 +49,7 @@ feature_motion AS MATERIALIZED (
 
 def moves(st: Stages):
     def build():
-        rain = st.field().select("frame_id", "y", "x", "rain")
-        mapped = mapback.map_tracks(st.labels(), st.assignment(), rain)
+        mapped = mapback.map_tracks(st.labels(), st.assignment())
         px = mapped.where("cloudtracknumber > 0").select(
             F.col("cloudtracknumber").alias("track_id"), "frame_id", "y", "x", F.col("rain").alias("value")
         )

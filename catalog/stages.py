@@ -10,6 +10,7 @@ then shared by the queries that start from it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,14 +55,25 @@ def forget_stages() -> None:
     _memo.clear()
 
 
+@dataclass(frozen=True)
+class FieldSpec:
+    """How ``lineitem`` becomes frames: time step, grid size, steps a pixel lingers."""
+
+    unit: str = "month"
+    ny: int = NY
+    nx: int = NX
+    linger: int = LINGER
+
+
 class Stages:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, spec: FieldSpec = FieldSpec()):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.spec = spec
         self.ws: Workspace = workspace_for(spark)
 
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.spec, name)
         if key not in _memo:
             _memo[key] = self.ws.write(build(), name.replace("/", "_"))
         return _memo[key]
@@ -70,28 +82,36 @@ class Stages:
         return tables.read_table(self.spark, self.sf_dir, name)
 
     # -- field -----------------------------------------------------------
+    def ship_time(self):
+        return F.date_trunc(self.spec.unit, "l_shipdate").cast("timestamp")
+
     def raw_field(self) -> DataFrame:
-        """Monthly pixel sums, each still felt in the next three months."""
+        """Pixel sums per time step, each still felt in the following steps."""
+        spec = self.spec
         part = F.col("l_partkey")
         rows = self.table("lineitem").select("l_shipdate", "l_partkey", "l_quantity", "l_discount")
-        monthly = tables.grid_frames(
+        step = tables.grid_frames(
             rows,
-            F.date_trunc("month", "l_shipdate"),
-            F.floor(part / NX) % NY,
-            part % NX,
+            self.ship_time(),
+            F.floor(part / spec.nx) % spec.ny,
+            part % spec.nx,
             {"v": F.sum("l_quantity"), "d": F.sum(F.round(F.col("l_discount") * 100))},
         )
-        return tables.lingering(monthly, LINGER)
+        return tables.lingering(step, spec.linger, spec.unit)
 
     def frames(self) -> DataFrame:
-        return self.keep("frames", lambda: tables.frame_table(self.raw_field(), STEP_S))
+        def build() -> DataFrame:
+            times = self.table("lineitem").select(self.ship_time().alias("ts")).distinct()
+            return tables.frame_table(tables.lingering_times(times, self.spec.linger, self.spec.unit), STEP_S)
+
+        return self.keep("frames", build)
 
     def field(self) -> DataFrame:
         """frame_id, y, x, v, z, tb, rain."""
 
         def build() -> DataFrame:
             px = self.raw_field().join(self.frames().select("frame_id", "ts"), "ts").drop("ts")
-            px = tables.standardised(tables.standardised(px, "v", "z"), "d", "zd")
+            px = tables.standardised(px, {"v": "z", "d": "zd"})
             return px.select(
                 "frame_id", "y", "x", "v",
                 F.round("z", 6).alias("z"),
@@ -104,9 +124,9 @@ class Stages:
     def grid(self) -> DataFrame:
         """y, x, lat, lon, area_km2, landfrac of the synthetic 0.1-degree grid."""
         cells = (
-            self.spark.range(NY)
+            self.spark.range(self.spec.ny)
             .select(F.col("id").cast("int").alias("y"))
-            .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(NX - 1))))
+            .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(self.spec.nx - 1))))
             .withColumns(
                 {
                     "lat": (F.col("y") - 10) / 10,
@@ -120,8 +140,9 @@ class Stages:
     # -- generic tracking ---------------------------------------------------
     def regions(self) -> DataFrame:
         def build() -> DataFrame:
-            cold = self.field().where(F.col("tb") < COLD_K).select("frame_id", "y", "x")
-            return label.label_regions(cold, self.ws, shape=(NY, NX))
+            # the fields ride along, so statistics never join back to the full field
+            cold = self.field().where(F.col("tb") < COLD_K).select("frame_id", "y", "x", "tb", "rain")
+            return label.label_regions(cold, self.ws, shape=(self.spec.ny, self.spec.nx))
 
         return self.keep("regions", build)
 
@@ -148,12 +169,8 @@ class Stages:
         """Labelled pixels with temperature class, rain, position and area."""
 
         def build() -> DataFrame:
-            fields = self.field().select("frame_id", "y", "x", "tb", "rain")
-            return (
-                self.labels()
-                .join(fields, ["frame_id", "y", "x"])
-                .join(self.grid(), ["y", "x"])
-                .withColumn("cloudtype", physics.cloud_type("tb", TB_CORE, TB_COLD, TB_WARM, TB_CLOUD))
+            return self.labels().join(self.grid(), ["y", "x"]).withColumn(
+                "cloudtype", physics.cloud_type("tb", TB_CORE, TB_COLD, TB_WARM, TB_CLOUD)
             )
 
         return self.keep("cloud_pixels", build)
@@ -211,7 +228,7 @@ class Stages:
         def build(which: str) -> DataFrame:
             if not made:
                 made["f"], made["n"] = precip.rain_features(
-                    self.system_pixels(), self.ws, RAIN_MIN, RAIN_HEAVY, 100.0, PIXEL_KM, 3, (NY, NX)
+                    self.system_pixels(), self.ws, RAIN_MIN, RAIN_HEAVY, 100.0, PIXEL_KM, 3, (self.spec.ny, self.spec.nx)
                 )
             return made[which]
 

@@ -110,7 +110,7 @@ pixel_tracks AS MATERIALIZED (
 @query("map_pixels", sql.query("pixel_tracks", "SELECT * FROM pixel_tracks"))
 def map_pixels(spark, sf):
     st = Stages(spark, sf)
-    return mapback.map_tracks(st.labels(), st.assignment())
+    return mapback.map_tracks(st.labels().drop("tb", "rain"), st.assignment())
 
 
 @query("map_pixels_rain", sql.query("pixel_tracks", """
@@ -118,8 +118,7 @@ SELECT p.frame_id, p.y, p.x, p.cloudtracknumber, CASE WHEN f.rain > 3 THEN p.clo
 FROM pixel_tracks p JOIN field f USING (frame_id, y, x)"""))
 def map_pixels_rain(spark, sf):
     st = Stages(spark, sf)
-    rain = st.field().select("frame_id", "y", "x", "rain")
-    return mapback.map_tracks(st.labels(), st.assignment(), rain, rain_min=3.0).select(
+    return mapback.map_tracks(st.labels(), st.assignment(), rain_min=3.0).select(
         "frame_id", "y", "x", "cloudtracknumber", "pcptracknumber"
     )
 

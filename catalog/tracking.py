@@ -17,7 +17,7 @@ def gridded_field(spark, sf):
 
 @query("label_components", sql.query("regions", "SELECT frame_id, y, x, region FROM regions"))
 def label_components(spark, sf):
-    return Stages(spark, sf).regions()
+    return Stages(spark, sf).regions().select("frame_id", "y", "x", "region")
 
 
 @query("sort_renumber", sql.query("labels", "SELECT frame_id, y, x, feature_id FROM labels"))

@@ -44,12 +44,10 @@ def with_cell_area(grid: DataFrame, radius_km: float = EARTH_KM) -> DataFrame:
 
 def with_mean_spacing_area(grid: DataFrame, radius_km: float = EARTH_KM) -> DataFrame:
     """Add ``area_km2`` = R^2 cos(lat) dlat dlon with mean grid spacings."""
-    spacing = grid.agg(
-        ((F.max("lat") - F.min("lat")) / (F.countDistinct("y") - 1)).alias("_dlat"),
-        ((F.max("lon") - F.min("lon")) / (F.countDistinct("x") - 1)).alias("_dlon"),
-    )
-    area = F.cos(F.radians("lat")) * F.radians("_dlat") * F.radians("_dlon") * radius_km**2
-    return grid.join(F.broadcast(spacing)).withColumn("area_km2", area).drop("_dlat", "_dlon")
+    dlat = grid.agg((F.max("lat") - F.min("lat")) / (F.max("y") - F.min("y"))).scalar()
+    dlon = grid.agg((F.max("lon") - F.min("lon")) / (F.max("x") - F.min("x"))).scalar()
+    area = F.cos(F.radians("lat")) * F.radians(dlat) * F.radians(dlon) * radius_km**2
+    return grid.withColumn("area_km2", area)
 
 
 def mean_pixel_length(area: str = "area_km2") -> Column:

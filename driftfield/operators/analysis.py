@@ -187,9 +187,9 @@ def kernel_density(rows: DataFrame, keys: Sequence[str], value: str, points: Seq
 
 def occurrence_frequency(pixels: DataFrame, mask: Column) -> DataFrame:
     """Share of all frames in which the mask holds, per pixel."""
-    frames = pixels.agg(F.countDistinct("frame_id").alias("_n"))
+    frames = pixels.select("frame_id").distinct().agg(F.count(F.lit(1))).scalar()
     counts = pixels.groupBy("y", "x").agg(F.sum(F.coalesce(mask.cast("int"), F.lit(0))).alias("_k"))
-    return counts.join(F.broadcast(frames)).select("y", "x", (F.col("_k") / F.col("_n")).alias("frequency"))
+    return counts.select("y", "x", (F.col("_k") / frames).alias("frequency"))
 
 
 def tracks_in_region(

@@ -16,14 +16,7 @@ PIXEL = ["frame_id", "y", "x"]
 
 def _ranked_labels(px: DataFrame, ws: Workspace, shape, tile: int, **limits) -> DataFrame:
     regions = ws.write(label.label_regions(px, ws, shape=shape, tile=tile), "cloud_regions")
-    if limits.get("area_col"):
-        sized = regions.join(px.select(*PIXEL, limits["area_col"]).dropDuplicates(PIXEL), PIXEL) if limits[
-            "area_col"
-        ] not in regions.columns else regions
-    else:
-        sized = regions
-    ranked = label.rank_regions(sized, **limits)
-    return label.renumber(regions, ranked).select(*PIXEL, "feature_id")
+    return label.renumber(regions, label.rank_regions(regions, **limits)).select(*PIXEL, "feature_id")
 
 
 def grow_cold_clouds(
@@ -37,6 +30,7 @@ def grow_cold_clouds(
     warm_expansion: bool = False,
     area_col: str = "area_km2",
     tile: int = image.TILE,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Clouds grown from cold cores of the smoothed temperature, plus isolated cold areas.
 
@@ -44,10 +38,12 @@ def grow_cold_clouds(
     Thresholds are core, cold, warm and cloud.  A frame without any core keeps
     its cold areas instead.  Result: cloudtype, convcold_cloudnumber (core and
     cold part) and cloudnumber (with the warm part); 0 where there is no cloud.
+    Columns in ``carry`` are kept.
     """
     core_t, cold_t, warm_t, cloud_t = thresholds
     tb = F.col("tb")
-    base = df.select(*PIXEL, "tb", area_col).withColumn("cloudtype", physics.cloud_type("tb", core_t, cold_t, warm_t, cloud_t))
+    kept = dict.fromkeys([*PIXEL, "tb", area_col, *carry])
+    base = df.select(*kept).withColumn("cloudtype", physics.cloud_type("tb", core_t, cold_t, warm_t, cloud_t))
     base = ws.write(base, "cloud_pixels")
     smooth = image.smooth_box(base.select(*PIXEL, "tb"), "tb", smooth_size, shape, tile=tile)
     cores_px = ws.write(smooth.where(F.col("smooth") < core_t).select(*PIXEL), "core_pixels")
@@ -82,12 +78,12 @@ def grow_cold_clouds(
     plain = state.where(F.col("_cored").isNull() & (F.col("cloudtype") == physics.COLD))
     regions = ws.write(label.label_regions(plain.select(*PIXEL, area_col), ws, shape=shape, tile=tile), "plain_regions")
     big = regions.groupBy("frame_id", "region").agg(F.sum(area_col).alias("_a")).where(F.col("_a") >= min_area)
-    kept = regions.join(big.select("frame_id", "region"), ["frame_id", "region"], "left_semi").select(*PIXEL, "region")
-    second = label.renumber(kept, label.rank_regions(kept))
+    large = regions.join(big.select("frame_id", "region"), ["frame_id", "region"], "left_semi").select(*PIXEL, "region")
+    second = label.renumber(large, label.rank_regions(large))
 
     numbers = first.unionByName(second).withColumnRenamed("feature_id", "convcold_cloudnumber")
     out = (
-        state.select(*PIXEL, "tb", "cloudtype", area_col)
+        state.select(*kept, "cloudtype")
         .join(numbers, PIXEL, "left")
         .withColumn("convcold_cloudnumber", F.coalesce("convcold_cloudnumber", F.lit(0)))
         .withColumn("cloudnumber", F.col("convcold_cloudnumber"))

@@ -31,13 +31,8 @@ def connected_components(
         .distinct(),
         "edges",
     )
-    mark = _fingerprint(current)
-    while mark[0]:
+    while not _is_forest_of_stars(current, keys):
         current = ws.write(_small_star(_large_star(current, keys), keys), "stars")
-        after = _fingerprint(current)
-        if after == mark:
-            break
-        mark = after
     stars = current.select(*keys, F.col("u").alias("node"), F.col("v").alias("component"))
     hubs = current.select(*keys, F.col("v").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(hubs).distinct()
@@ -66,8 +61,10 @@ def _small_star(edges: DataFrame, keys: list[str]) -> DataFrame:
     return moved.unionByName(own).where("u != v").distinct()
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*edges.columns)).alias("h")
-    ).first()
-    return row["n"], row["h"]
+def _is_forest_of_stars(edges: DataFrame, keys: list[str]) -> bool:
+    """Every larger vertex has one edge, and no centre is itself a larger vertex."""
+    ends = edges.select(*keys, F.col("u").alias("n"), F.lit(1).alias("low"), F.lit(0).alias("top")).unionByName(
+        edges.select(*keys, F.col("v").alias("n"), F.lit(0).alias("low"), F.lit(1).alias("top")).distinct()
+    )
+    odd = ends.groupBy(*keys, "n").agg((F.sum("low") + F.max("top")).alias("role")).where("role > 1")
+    return odd.isEmpty()

@@ -49,22 +49,23 @@ def map_tracks(
 ) -> DataFrame:
     """Pixels with their track numbers; unclaimed pixels get 0.
 
-    With ``fields`` (rain, dbz_comp per pixel) the rain and echo masks carry the
-    track number only above their thresholds.
+    The rain and echo masks carry the track number only above their thresholds.
+    They use the columns rain and dbz_comp of ``labels``, or of ``fields`` where
+    the labels were made without them.
     """
     numbers = [c for c in assignment.columns if c.endswith("tracknumber")]
     out = labels.join(assignment, ["frame_id", "feature_id"], "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers})
     if fields is not None:
         out = out.join(fields, ["frame_id", "y", "x"], "left")
-        if rain_min is not None:
-            out = out.withColumn(
-                "pcptracknumber", F.when(F.col("rain") > rain_min, F.col("cloudtracknumber")).otherwise(0)
-            )
-        if dbz_min is not None:
-            out = out.withColumn(
-                "dbztracknumber", F.when(F.col("dbz_comp") > dbz_min, F.col("cloudtracknumber")).otherwise(0)
-            )
+    if rain_min is not None:
+        out = out.withColumn(
+            "pcptracknumber", F.when(F.col("rain") > rain_min, F.col("cloudtracknumber")).otherwise(0)
+        )
+    if dbz_min is not None:
+        out = out.withColumn(
+            "dbztracknumber", F.when(F.col("dbz_comp") > dbz_min, F.col("cloudtracknumber")).otherwise(0)
+        )
     return out
 
 

@@ -199,9 +199,9 @@ def unwrap_positions(series: DataFrame, columns: dict[str, float], max_fraction:
 
 def to_dense(series: DataFrame, columns: list[str]) -> DataFrame:
     """One array per statistic and track, padded with NULL to the longest track."""
-    longest = series.agg(F.max("time_idx").alias("_last"))
-    slots = series.select("track_id").distinct().join(F.broadcast(longest)).select(
-        "track_id", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("time_idx")
+    longest = series.agg(F.max("time_idx")).scalar()
+    slots = series.select("track_id").distinct().select(
+        "track_id", F.explode(F.sequence(F.lit(0), longest)).alias("time_idx")
     )
     rows = slots.join(series.select("track_id", "time_idx", *columns), ["track_id", "time_idx"], "left")
     packed = rows.groupBy("track_id").agg(

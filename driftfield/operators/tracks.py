@@ -51,7 +51,6 @@ def link_groups(links: DataFrame, ws: Workspace, othresh: float) -> tuple[DataFr
         comp = connected_components(
             forward.select("ref_frame", F.col("r").alias("src"), F.col("n").alias("dst")), ws, ["ref_frame"]
         )
-    comp = ws.write(comp, "forward_components")
     of_ref = comp.select("ref_frame", F.col("node").alias("r"), F.col("component").alias("_cr"))
     of_new = comp.select("ref_frame", F.col("node").alias("n"), F.col("component").alias("_cn"))
     edges = ws.write(
@@ -174,17 +173,24 @@ def resolve_pairs(
     return refs, news
 
 
+HOPS = 3
+
+
 def chain_roots(parents: DataFrame, ws: Workspace) -> DataFrame:
-    """(node, root) for every node with a parent, by pointer doubling."""
+    """(node, root) for every node with a parent, by pointer jumping.
+
+    A round looks up the pointer of a pointer three times in the table written by
+    the round before, so the reach of every pointer grows fourfold per round.
+    """
     state = ws.write(parents.select("node", F.col("parent").alias("root")), "chains")
     while True:
         hop = state.select(F.col("node").alias("root"), F.col("root").alias("_up"))
-        state = ws.write(
-            state.select("node", "root")
-            .join(hop, "root", "left")
-            .select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("moved")),
-            "chains",
-        )
+        step = state.select("node", "root")
+        for _ in range(HOPS):
+            step = step.join(hop, "root", "left").select(
+                "node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("moved")
+            )
+        state = ws.write(step, "chains")
         if state.where("moved").isEmpty():
             return state.select("node", "root")
 

@@ -36,24 +36,20 @@ def run_convective(
     grown = ws.write(
         clouds.grow_cold_clouds(
             with_area, ws, bands, opt.cloud_area, opt.min_core_npix, opt.smooth_size, opt.shape,
-            opt.warm_expansion, tile=opt.tile,
+            opt.warm_expansion, tile=opt.tile, carry=("rain",),
         ),
         "grown",
     )
-    labels = ws.write(
-        grown.where("convcold_cloudnumber > 0").select(
-            "frame_id", "y", "x", F.col("convcold_cloudnumber").alias("feature_id")
-        ),
-        "labels",
-    )
-    features = ws.write(labels.groupBy("frame_id", "feature_id").agg(F.count(F.lit(1)).alias("npix")), "features")
-    fields = field.select("frame_id", "y", "x", "tb", "rain")
+    # tb and rain ride along with the clouds, so nothing joins back to the full field
     pixels = ws.write(
-        labels.join(fields, ["frame_id", "y", "x"])
-        .join(grown.select("frame_id", "y", "x", "cloudtype"), ["frame_id", "y", "x"])
-        .join(grid.select("y", "x", "lat", "lon", "area_km2", "landfrac"), ["y", "x"]),
+        grown.where("convcold_cloudnumber > 0")
+        .withColumn("feature_id", F.col("convcold_cloudnumber"))
+        .select("frame_id", "y", "x", "feature_id", "tb", "rain", "cloudtype", "area_km2")
+        .join(grid.select("y", "x", "lat", "lon", "landfrac"), ["y", "x"]),
         "cloud_pixels",
     )
+    labels = pixels.select("frame_id", "y", "x", "feature_id", "rain")
+    features = ws.write(labels.groupBy("frame_id", "feature_id").agg(F.count(F.lit(1)).alias("npix")), "features")
     tracked = build_tracks(labels, features, frames, pixels, ws, opt, stats.tb_extras())
     chosen = ws.write(
         systems.cold_systems(tracked.series, opt.system_area, opt.system_hours, opt.system_gap, opt.dt_h), "systems"
@@ -88,9 +84,7 @@ def run_convective(
     final = series.join(keep, "track_id", "left_semi")
     parts = attached.join(keep, "track_id", "left_semi")
     mapped = ws.write(
-        mapback.map_tracks(
-            labels, mapback.feature_assignment(final, parts), field.select("frame_id", "y", "x", "rain"), opt.pcp_thresh
-        ),
+        mapback.map_tracks(labels, mapback.feature_assignment(final, parts), rain_min=opt.pcp_thresh),
         "pixel_tracks",
     )
     moving = mapped.where("pcptracknumber > 0").select(

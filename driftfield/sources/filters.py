@@ -27,14 +27,16 @@ def open_interval(value: Column | str, low: float, high: float) -> Column:
 def box_hull(df: DataFrame, grid: DataFrame, lat: tuple[float, float], lon: tuple[float, float]) -> DataFrame:
     """Pixels in the index rectangle spanned by the grid cells inside a lat/lon box.
 
-    The hull is one row (four numbers), joined as such.
+    The four limits are scalar subqueries, so the pixels are only filtered.
     """
-    hull = grid.where(F.col("lat").between(*lat) & F.col("lon").between(*lon)).agg(
-        F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1")
+    inside = grid.where(F.col("lat").between(*lat) & F.col("lon").between(*lon))
+
+    def limit(fn, col: str) -> Column:
+        return inside.agg(fn(col)).scalar()
+
+    return df.where(
+        F.col("y").between(limit(F.min, "y"), limit(F.max, "y")) & F.col("x").between(limit(F.min, "x"), limit(F.max, "x"))
     )
-    return df.join(
-        F.broadcast(hull), F.col("y").between(F.col("_y0"), F.col("_y1")) & F.col("x").between(F.col("_x0"), F.col("_x1"))
-    ).drop("_y0", "_y1", "_x0", "_x1")
 
 
 def complete_frames(df: DataFrame, value: str, cells: int, max_missing: float) -> DataFrame:

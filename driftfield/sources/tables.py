@@ -28,35 +28,46 @@ def grid_frames(
     )
 
 
-def lingering(pixels: DataFrame, months: int) -> DataFrame:
-    """Add each monthly pixel sum to the following months as well (a moving sum).
+def lingering_times(times: DataFrame, steps: int, unit: str = "month") -> DataFrame:
+    """Each ``ts`` and the following ``steps - 1`` ones (months or weeks)."""
+    copies = times.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    if unit == "month":
+        moved = F.add_months("ts", F.col("_k")).cast("timestamp")
+    else:
+        moved = F.col("ts") + F.make_dt_interval(F.col("_k") * 7)
+    return copies.withColumn("ts", moved).drop("_k")
+
+
+def lingering(pixels: DataFrame, steps: int, unit: str = "month") -> DataFrame:
+    """Add each pixel sum to the following steps as well (a moving sum).
 
     Runs on the already aggregated pixels, so the copies are pixel-sized.
     """
     values = [c for c in pixels.columns if c not in ("ts", "y", "x")]
-    copies = pixels.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(months - 1)))).withColumn(
-        "ts", F.add_months("ts", F.col("_k")).cast("timestamp")
-    )
+    copies = lingering_times(pixels, steps, unit)
     return copies.groupBy("ts", "y", "x").agg(*[F.sum(v).alias(v) for v in values])
 
 
-def frame_table(pixels: DataFrame, step_s: int | None = None) -> DataFrame:
-    """(frame_id, ts, epoch_s); with ``step_s`` frames are placed on an even clock."""
-    frames = frame_index(pixels)
+def frame_table(times: DataFrame, step_s: int | None = None) -> DataFrame:
+    """(frame_id, ts, epoch_s) of all distinct ``ts``; with ``step_s`` on an even clock."""
+    frames = frame_index(times)
     epoch = F.col("frame_id") * step_s if step_s else F.unix_timestamp("ts")
     return frames.select("frame_id", "ts", epoch.cast("long").alias("epoch_s"))
 
 
-def standardised(pixels: DataFrame, value: str, out: str) -> DataFrame:
-    """Add the deviation of ``value`` from its frame mean in standard deviations.
+def standardised(pixels: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add deviations from the frame mean in standard deviations (value column -> new column).
 
-    The per-frame moments are a frame-sized table, joined back by frame.
+    The moments of all columns come from one aggregation to a frame-sized table,
+    joined back by frame.
     """
     moments = pixels.groupBy("frame_id").agg(
-        F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s")
-    )
-    return (
-        pixels.join(moments, "frame_id")
-        .withColumn(out, F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(0.0))
-        .drop("_m", "_s")
+        *[F.avg(v).alias(f"_m_{v}") for v in columns], *[F.stddev_pop(v).alias(f"_s_{v}") for v in columns]
     )
+    out = pixels.join(moments, "frame_id")
+    return out.withColumns(
+        {
+            z: F.when(F.col(f"_s_{v}") > 0, (F.col(v) - F.col(f"_m_{v}")) / F.col(f"_s_{v}")).otherwise(0.0)
+            for v, z in columns.items()
+        }
+    ).drop(*[f"_{k}_{v}" for v in columns for k in "ms"])
