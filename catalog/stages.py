@@ -156,7 +156,9 @@ class Stages:
         return link.frame_pairs(self.frames(), timegap_h)
 
     def links(self) -> DataFrame:
-        return self.keep("links", lambda: link.overlap_links(self.labels(), self.pairs(), OTHRESH))
+        return self.keep(
+            "links", lambda: link.overlap_links(self.labels(), self.pairs(), OTHRESH, features=self.features())
+        )
 
     def points(self) -> DataFrame:
         return self.keep(

@@ -43,17 +43,26 @@ def overlap_links(
     othresh: float,
     drift: DataFrame | None = None,
     shape: tuple[int, int] | None = None,
+    features: DataFrame | None = None,
 ) -> DataFrame:
     """Links whose overlap exceeds ``othresh`` of either feature (both tests strict).
 
     One equi-join on (frame, y, x) yields both directions.  The join key is
     unique per pixel, so the shuffle is even however unequal frames or features
-    are; counts are pre-aggregated before they move.
+    are; counts are pre-aggregated before they move.  Feature sizes come from
+    ``features`` (npix) where given, else from the labels; shifted labels are
+    counted again, because pixels may have left the grid.
     """
     px = labels.select("frame_id", "y", "x", "feature_id")
     ref = shift_labels(px, drift, shape) if drift is not None else px
-    ref_px = ref.groupBy("frame_id", "feature_id").agg(F.count(F.lit(1)).alias("ref_px"))
-    new_px = px.groupBy("frame_id", "feature_id").agg(F.count(F.lit(1)).alias("new_px"))
+
+    def sizes(of: DataFrame, name: str, known: bool) -> DataFrame:
+        if known:
+            return features.select("frame_id", "feature_id", F.col("npix").alias(name))
+        return of.groupBy("frame_id", "feature_id").agg(F.count(F.lit(1)).alias(name))
+
+    ref_px = sizes(ref, "ref_px", features is not None and drift is None)
+    new_px = sizes(px, "new_px", features is not None)
     steps = pairs.select("frame_id", "next_frame")
     left = ref.join(steps, "frame_id").select(
         F.col("frame_id").alias("ref_frame"),

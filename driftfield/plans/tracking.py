@@ -33,7 +33,7 @@ def build_tracks(
 ) -> TrackTables:
     """``labels``: frame_id, y, x, feature_id; ``pixels``: the same with lat, lon, area_km2 and fields."""
     pairs = link.frame_pairs(frames, opt.timegap_h)
-    links = ws.write(link.overlap_links(labels, pairs, opt.othresh, drift, opt.shape), "links")
+    links = ws.write(link.overlap_links(labels, pairs, opt.othresh, drift, opt.shape, features), "links")
     points = ws.write(tracks.number_tracks(features, links, pairs, ws, opt.othresh), "track_points")
     per_feature = stats.feature_stats(
         pixels, extra, lon_range if opt.periodic_x else None, lat_range if opt.periodic_y else None
