@@ -229,14 +229,20 @@ def dilate_cores(
 
 def expand_cores(
     df: DataFrame, label: str, radii_km: Sequence[float], dx_m: float, dy_m: float,
-    out: str = "cell", tile: int = TILE,
+    out: str = "cell", tile: int = TILE, nearest: bool = False,
 ) -> DataFrame:
     """Grow numbered cores outward radius by radius; the smallest number wins a contested pixel.
 
-    ``df`` holds every grid pixel with label 0 outside cores.
+    ``df`` holds every grid pixel with label 0 outside cores.  With ``nearest``
+    every pixel within the largest radius goes to its closest core instead.
     """
     cols = df.columns
     none = np.iinfo(np.int64).max
+    if nearest:
+        reach = max(radii_km) * 1000
+        ny, nx = int(reach / dy_m), int(reach / dx_m)
+        metres = {np.hypot(i * dy_m, j * dx_m) for i in range(ny + 1) for j in range(nx + 1)}
+        radii_km = sorted(m / 1000 for m in metres if 0 < m <= reach)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         p = Patch(pdf)
@@ -244,7 +250,7 @@ def expand_cores(
         source = np.where(core > 0, core, none)
         cell = core.copy()
         for r in radii_km:
-            near = disk_min(source, disk_spans(r * 1000 / dy_m, r * 1000 / dx_m), none)
+            near = disk_min(source, disk_spans(r * 1000 / dy_m + 1e-9, r * 1000 / dx_m + 1e-9), none)
             claim = (cell == 0) & (near < none)
             cell[claim] = near[claim]
         return pdf[cols].assign(**{out: p.take(cell).astype(np.int32)})

@@ -147,3 +147,42 @@ def echo_extras(
             F.sum(F.when(F.col("dbz_comp") >= dbz, F.col("area_km2"))), F.lit(0.0)
         )
     return pixels.groupBy(*keys).agg(*[c.alias(n) for n, c in agg.items()])
+
+
+def core_features(
+    pixels: DataFrame,
+    ws: Workspace,
+    flag: str,
+    pixel_km: float,
+    keep: int | None = 3,
+    min_npix: int = 0,
+    echo_tops: tuple[int, ...] = (),
+    shape: tuple[int, int] | None = None,
+    tile: int = label.TILE,
+) -> DataFrame:
+    """The largest convective cores per (track, frame): place, area, ellipse, perimeter, echo tops.
+
+    ``pixels`` carry lat, lon, area_km2, dbz_comp and echotopNN; ``flag`` marks core pixels.
+    """
+    px = pixels.where(F.col(flag) == 1).select(*KEYS, "y", "x")
+    regions = ws.write(label.label_regions(px, ws, keys=KEYS, shape=shape, tile=tile), "core_regions")
+    ranked = label.rank_regions(regions, min_npix, keys=KEYS).select(
+        *KEYS, "region", F.col("feature_id").alias("core_rank")
+    )
+    chosen = ranked.where(F.col("core_rank") <= keep) if keep else ranked
+    chosen = ws.write(regions.join(chosen, [*KEYS, "region"]), "chosen_cores")
+    full = chosen.join(pixels, [*KEYS, "y", "x"])
+    tops = {f"pf_coremaxechotop{t}": F.max(f"echotop{t}") for t in echo_tops}
+    moments = shapes.region_moments(
+        full, [*KEYS, "region", "core_rank"], "dbz_comp",
+        {"pf_corelon": F.avg("lon"), "pf_corelat": F.avg("lat"), "pf_corearea": F.sum("area_km2"), **tops},
+    )
+    ellipse = {f"pf_core{n}": c for n, c in shapes.shape_columns(pixel_km).items()}
+    length = shapes.perimeters(chosen, KEYS, tile)
+    drop = ["_mx", "_my", "_vx", "_vy", "_cxy", "_wx", "_wy", "mean", "peak", "total", "skewness", "region", "perimeter"]
+    return (
+        moments.withColumns(ellipse)
+        .join(length, [*KEYS, "region"])
+        .withColumn("pf_coreperimeter", F.col("perimeter") * pixel_km)
+        .drop(*drop)
+    )

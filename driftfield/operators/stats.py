@@ -197,6 +197,31 @@ def unwrap_positions(series: DataFrame, columns: dict[str, float], max_fraction:
     return out.drop(*[f"_turn_{c}" for c in columns])
 
 
+def periodic_shift(pixels: DataFrame, keys: list[str], axis: str, size: int) -> DataFrame:
+    """Shift that rolls each feature away from the periodic edge (0 = leave it).
+
+    The largest gap between occupied indices must exceed half the domain; the
+    part behind the gap then moves to the front.
+    """
+    used = pixels.select(*keys, axis).distinct()
+    along = Window.partitionBy(*keys).orderBy(axis)
+    gaps = used.withColumn("_next", F.lead(axis).over(along)).withColumn("_gap", F.col("_next") - F.col(axis))
+    widest = gaps.groupBy(*keys).agg(F.max(F.struct("_gap", (-F.col(axis)).alias("_at"), "_next")).alias("_g"))
+    shift = F.when(F.col("_g._gap") > size * 0.5, F.lit(size) - F.col("_g._next")).otherwise(0)
+    return widest.select(*keys, shift.cast("int").alias("shift"))
+
+
+def feature_bounds(pixels: DataFrame, keys: list[str], shape: tuple[int, int], margin: int = 10) -> DataFrame:
+    """Index box of each feature with a margin, clipped to the grid (upper ends exclusive)."""
+    out = pixels.groupBy(*keys)
+    aggs = []
+    for axis, size in zip(("y", "x"), shape):
+        low, high = F.min(axis), F.max(axis)
+        aggs.append(F.when(low <= margin, 0).otherwise(low - margin).alias(f"min{axis}"))
+        aggs.append(F.when(high >= size - margin, size).otherwise(high + margin + 1).alias(f"max{axis}"))
+    return out.agg(*aggs)
+
+
 def to_dense(series: DataFrame, columns: list[str]) -> DataFrame:
     """One array per statistic and track, padded with NULL to the longest track."""
     longest = series.agg(F.max("time_idx")).scalar()
