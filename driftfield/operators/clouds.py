@@ -157,13 +157,10 @@ def link_rain_clouds(df: DataFrame, ws: Workspace, skip_last: bool = True) -> Da
         touch = touch.join(last, "frame_id").where(F.col(rain) < F.col("_last")).drop("_last")
     touch = ws.write(touch, "rain_cloud_pairs")
     pairs = touch.where(f"{cloud} > 0")
-    clusters = connected_components(
-        pairs.select(
-            "frame_id", (F.col(rain) * 2 + 1).cast("long").alias("src"), (F.col(cloud) * 2).cast("long").alias("dst")
-        ),
-        ws,
-        ["frame_id"],
+    nodes = pairs.select(
+        "frame_id", (F.col(rain) * 2 + 1).cast("long").alias("src"), (F.col(cloud) * 2).cast("long").alias("dst")
     )
+    clusters = connected_components(nodes, ws, ["frame_id"])
     open_px = touch.where(f"{cloud} = 0").select("frame_id", rain, F.col("shared").alias("bare"))
     of_rain = clusters.where("node % 2 = 1").select(
         "frame_id", ((F.col("node") - 1) / 2).cast("int").alias(rain), F.col("component").alias("cluster")

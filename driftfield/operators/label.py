@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftfield.operators.components import connected_components
+from driftfield.operators.components import connected_components, hook
 from driftfield.operators.ranking import bucketed_row_number
 from driftfield.operators.tiles import TILE, with_tiles
 from driftfield.workspace import Workspace
@@ -36,7 +36,6 @@ def region_roots(y: np.ndarray, x: np.ndarray, split: np.ndarray | None = None)
     x = x - x.min()
     slot = np.full((y.max() + 2, x.max() + 2), -1, dtype=np.int64)
     slot[y, x] = np.arange(n)
-    parent = np.arange(n)
     a, b = [], []
     for other in (slot[y + 1, x], slot[y, x + 1]):
         touch = other >= 0
@@ -46,18 +45,7 @@ def region_roots(y: np.ndarray, x: np.ndarray, split: np.ndarray | None = None)
             here, there = here[same], there[same]
         a.append(here)
         b.append(there)
-    a, b = np.concatenate(a), np.concatenate(b)
-    while len(a):
-        ra, rb = parent[a], parent[b]
-        apart = ra != rb
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
-        while True:
-            hop = parent[parent]
-            if np.array_equal(hop, parent):
-                break
-            parent = hop
-    return parent
+    return hook(n, np.concatenate(a), np.concatenate(b))
 
 
 def label_regions(

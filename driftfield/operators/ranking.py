@@ -41,40 +41,34 @@ def running_total(
 ) -> DataFrame:
     """Exclusive running total of ``value`` in bucket order.
 
-    The first order column is the coarse level: its totals are accumulated
-    first, the finer columns only within it.
+    Within a partition the buckets are few and one window does.  Without one, the
+    first order column is the coarse level: its totals are accumulated first, the
+    finer columns only within it.
     """
-    part = list(part)
-    head, tail = order[0], list(order[1:])
-    coarse = df.groupBy(*part, head).agg(F.sum(value).alias("_t"))
-    w = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
-    before = w.orderBy(head).rowsBetween(Window.unboundedPreceding, -1)
-    coarse = coarse.select(*part, head, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
+    part, order = list(part), list(order)
+
+    def before(w) -> Column:
+        return F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    if part:
+        return df.withColumn(out, before(Window.partitionBy(*part).orderBy(*order)))
+    head, tail = order[0], order[1:]
+    coarse = df.groupBy(head).agg(F.sum(value).alias(value))
+    coarse = coarse.select(head, before(Window.partitionBy(F.lit(0)).orderBy(head)).alias("_base"))
     if not tail:
-        return df.join(coarse, part + [head]).withColumnRenamed("_base", out)
-    inner = (
-        Window.partitionBy(*part, head)
-        .orderBy(*tail)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+        return df.join(coarse, head).withColumnRenamed("_base", out)
     return (
-        df.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-        .join(coarse, part + [head])
+        df.withColumn("_in", before(Window.partitionBy(head).orderBy(*tail)))
+        .join(coarse, head)
         .withColumn(out, F.col("_base") + F.col("_in"))
         .drop("_base", "_in")
     )
 
 
 def frame_index(times: DataFrame, ts: str = "ts") -> DataFrame:
-    """Dense 1-based ``frame_id`` per distinct time, numbered day by day."""
+    """Dense 1-based ``frame_id`` per distinct time, numbered month by month."""
     distinct = times.select(ts).where(F.col(ts).isNotNull()).distinct()
-    return bucketed_row_number(
-        distinct,
-        [],
-        {"_year": F.year(ts), "_day": F.dayofyear(ts)},
-        [F.col(ts)],
-        "frame_id",
-    )
+    return bucketed_row_number(distinct, [], {"_month": F.date_trunc("month", ts)}, [F.col(ts)], "frame_id")
 
 
 QUANTILE_BINS = 1024

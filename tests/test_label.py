@@ -70,12 +70,13 @@ def test_renumber_pair(spark):
     assert feats.count() == 2
 
 
-def test_components_of_a_long_path_and_a_hub(spark, ws):
+@pytest.mark.parametrize("limit", [0, 250, 10_000])
+def test_components_of_a_long_path_and_a_hub(spark, ws, limit):
     path = [(1, i, i + 1) for i in range(0, 200)]
     hub = [(1, 1000, 1000 + i) for i in range(1, 300)]
     other = [(2, 5, 7), (2, 9, 7)]
     edges = spark.createDataFrame(path + hub + other, "k long, src long, dst long")
-    got = components.connected_components(edges, ws, ["k"]).toPandas()
+    got = components.connected_components(edges, ws, ["k"], direct_limit=limit).toPandas()
     assert (got[(got.k == 1) & (got.node <= 200)].component == 0).all()
     assert (got[(got.k == 1) & (got.node >= 1000)].component == 1000).all()
     assert (got[got.k == 2].component == 5).all()
