@@ -52,17 +52,32 @@ def echo_extras(spark, sf):
     return rounded(extras(Stages(spark, sf)))
 
 
-CORE = (
-    "pf_corelon pf_corelat pf_corearea pf_coremajoraxis pf_coreminoraxis pf_coreaspectratio pf_coreeccentricity "
-    "pf_coreorientation pf_coreperimeter pf_coremaxechotop20 pf_coremaxechotop30"
-)
+sql.fragment("core_features", ("echo_pixels",), """
+kpx AS MATERIALIZED (SELECT *, CAST(y AS BIGINT) * 4294967296 + x AS p FROM echo_pixels WHERE core = 1),
+kedge AS MATERIALIZED (
+  SELECT a.track_id, a.frame_id, a.p, b.p AS q FROM kpx a JOIN kpx b USING (track_id, frame_id) WHERE abs(a.y - b.y) + abs(a.x - b.x) = 1),
+kreach AS (
+  SELECT track_id, frame_id, p, p AS q FROM kpx UNION
+  SELECT r.track_id, r.frame_id, r.p, e.q FROM kreach r JOIN kedge e ON e.track_id = r.track_id AND e.frame_id = r.frame_id AND e.p = r.q),
+kreg AS MATERIALIZED (
+  SELECT k.*, m.region FROM kpx k JOIN (SELECT track_id, frame_id, p, min(q) AS region FROM kreach GROUP BY 1, 2, 3) m USING (track_id, frame_id, p)),
+kmom AS (
+  SELECT track_id, frame_id, region, row_number() OVER (PARTITION BY track_id, frame_id ORDER BY count(*) DESC, region DESC) AS core_rank,
+         count(*) AS npix, avg(lon) AS pf_corelon, avg(lat) AS pf_corelat, sum(area_km2) AS pf_corearea,
+         max(echotop20) AS pf_coremaxechotop20, max(echotop30) AS pf_coremaxechotop30,
+         var_pop(x::DOUBLE) AS vx, var_pop(y::DOUBLE) AS vy, covar_pop(x::DOUBLE, y::DOUBLE) AS c
+  FROM kreg GROUP BY 1, 2, 3),
+core_features AS (
+  SELECT *, 44.0::DOUBLE * sqrt((vx + vy) / 2 + sqrt(pow((vx - vy) / 2, 2) + c * c)) AS pf_coremajoraxis FROM kmom WHERE core_rank <= 3)
+""")
+CORE = "pf_corelon pf_corelat pf_corearea pf_coremajoraxis pf_coremaxechotop20 pf_coremaxechotop30"
 
 
-@query("core_features")
+@query("core_features", sql.query("core_features", f"SELECT track_id, frame_id, core_rank, npix, {sql.rnd(CORE)} FROM core_features"))
 def core_features(spark, sf):
     st = Stages(spark, sf)
     out = precip.core_features(echo_pixels(st), st.ws, "core", PIXEL_KM, 3, 0, (20, 30), (NY, NX))
-    return rounded(out)
+    return rounded(out.select("track_id", "frame_id", "core_rank", "npix", *CORE.split()))
 
 
 @query("robust_by_radar", sql.query(("echo_extras", "rain_features"), """

@@ -116,7 +116,21 @@ def weighted_remap(spark, sf):
     return rounded(regrid.apply_weights(px, weights, "tb"))
 
 
-@query("healpix_cells")
+sql.fragment("healpix", ("field", "grid"), """
+hp AS (
+  SELECT y, x, CAST(floor((pmod_tt + 0.5) * 256 - zz * 192) AS BIGINT) AS jp, CAST(floor((pmod_tt + 0.5) * 256 + zz * 192) AS BIGINT) AS jm
+  FROM (SELECT y, x, (lon / 90.0::DOUBLE) % 4 AS pmod_tt, sin(radians(lat)) AS zz FROM grid)),
+hf AS (
+  SELECT y, x, CAST(CASE WHEN jp // 256 = jm // 256 THEN (jp // 256) % 4 + 4 WHEN jp // 256 < jm // 256 THEN (jp // 256) % 4
+                         ELSE (jm // 256) % 4 + 8 END AS BIGINT) AS face,
+         CAST(jm % 256 AS BIGINT) AS ix, CAST(255 - jp % 256 AS BIGINT) AS iy FROM hp),
+hcell AS (
+  SELECT y, x, CAST(face * 65536 + list_sum([(((ix >> k) & 1) << (2 * k)) + (((iy >> k) & 1) << (2 * k + 1)) for k in range(8)]) AS BIGINT) AS cell FROM hf)
+""")
+
+
+@query("healpix_cells", sql.query("healpix", """
+SELECT frame_id, cell, round(avg(tb), 9) AS tb, count(*) AS npix FROM field JOIN hcell USING (y, x) GROUP BY 1, 2"""))
 def healpix_cells(spark, sf):
     """Mean temperature per nested cell of the pixels that fall into it."""
     st = Stages(spark, sf)

@@ -169,7 +169,42 @@ def link_overlap_drift(spark, sf):
     return link.overlap_links(st.labels(), st.pairs(), 0.3, drift, (NY, NX))
 
 
-@query("smooth_trajectory")
+sql.fragment("smooth_trajectory", ("system_series",), """
+pt AS MATERIALIZED (SELECT track_id, time_idx AS i, meanlon, meanlat, area FROM system_series),
+scan AS (
+  SELECT track_id, s, i, i AS li, meanlon AS lo, meanlat AS la, TRUE AS ok FROM pt, range(3) r(s) WHERE i = s
+  UNION ALL
+  SELECT track_id, s, i, CASE WHEN fine THEN i ELSE li END, CASE WHEN fine THEN meanlon ELSE lo END,
+         CASE WHEN fine THEN meanlat ELSE la END, fine
+  FROM (SELECT c.track_id, c.s, p.i, c.li, c.lo, c.la, p.meanlon, p.meanlat,
+               2 * 6371 * asin(sqrt(pow(sin(radians(p.meanlat - c.la) / 2), 2) + cos(radians(c.la)) * cos(radians(p.meanlat))
+                 * pow(sin(radians(p.meanlon - c.lo) / 2), 2))) / (p.i - c.li) <= 12 AS fine
+        FROM scan c JOIN pt p ON p.track_id = c.track_id AND p.i = c.i + 1)),
+pick AS (
+  SELECT track_id, arg_min(s, bad * 10 + s) AS s FROM (SELECT track_id, s, count(*) FILTER (NOT ok) AS bad FROM scan GROUP BY 1, 2) GROUP BY 1),
+mark AS (
+  SELECT p.*, coalesce(c.ok, FALSE) AS ok FROM pt p JOIN pick USING (track_id) LEFT JOIN scan c ON c.track_id = p.track_id AND c.s = pick.s AND c.i = p.i),
+near AS (
+  SELECT *, max(CASE WHEN ok THEN i END) OVER (PARTITION BY track_id ORDER BY i) AS a,
+         min(CASE WHEN ok THEN i END) OVER (PARTITION BY track_id ORDER BY i DESC) AS b FROM mark),
+fixed AS MATERIALIZED (
+  SELECT n.track_id, n.i, n.meanlon, n.meanlat, n.area,
+         CASE WHEN n.ok OR ((n.a IS NULL OR n.b IS NULL) AND n.i < 2) THEN n.meanlon ELSE p.meanlon + (q.meanlon - p.meanlon) * (n.i - n.a) / (n.b - n.a) END AS sx,
+         CASE WHEN n.ok OR ((n.a IS NULL OR n.b IS NULL) AND n.i < 2) THEN n.meanlat ELSE p.meanlat + (q.meanlat - p.meanlat) * (n.i - n.a) / (n.b - n.a) END AS sy
+  FROM near n LEFT JOIN pt p ON p.track_id = n.track_id AND p.i = n.a LEFT JOIN pt q ON q.track_id = n.track_id AND q.i = n.b),
+still AS (
+  SELECT *, coalesce(sx = meanlon AND sy = meanlat, FALSE) AS same FROM fixed),
+around AS (
+  SELECT *, max(CASE WHEN same THEN i END) OVER (PARTITION BY track_id ORDER BY i) AS a,
+         min(CASE WHEN same THEN i END) OVER (PARTITION BY track_id ORDER BY i DESC) AS b FROM still)
+""")
+
+
+@query("smooth_trajectory", sql.query("smooth_trajectory", f"""
+SELECT track_id, time_idx, {sql.rnd('meanlon meanlat area meanlon_smooth meanlat_smooth area_smooth')} FROM (
+  SELECT n.track_id, n.i AS time_idx, n.meanlon, n.meanlat, n.area, n.sx AS meanlon_smooth, n.sy AS meanlat_smooth,
+         CASE WHEN n.same OR n.a IS NULL OR n.b IS NULL THEN n.area ELSE p.area + (q.area - p.area) * (n.i - n.a) / (n.b - n.a) END AS area_smooth
+  FROM around n LEFT JOIN pt p ON p.track_id = n.track_id AND p.i = n.a LEFT JOIN pt q ON q.track_id = n.track_id AND q.i = n.b)"""))
 def smooth_trajectory(spark, sf):
     rows = Stages(spark, sf).system_series().select("track_id", "time_idx", "meanlon", "meanlat", "area")
     return rounded(smooth.smooth_tracks(rows, max_kmh=12.0, values=("area",)))

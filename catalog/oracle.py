@@ -403,7 +403,7 @@ rain_features AS MATERIALIZED (
          4 * sqrt(l1) * 11.0::DOUBLE AS pf_majoraxis, 4 * sqrt(l2) * 11.0::DOUBLE AS pf_minoraxis,
          CASE WHEN l2 > 0 THEN sqrt(l1) / sqrt(l2) END AS pf_aspectratio,
          CASE WHEN l1 > 0 THEN sqrt(1 - l2 / l1) ELSE 0 END AS pf_eccentricity,
-         degrees(CASE WHEN abs(vx - vy) < 1e-12 THEN (CASE WHEN cxy > 0 THEN pi() / 4 ELSE -pi() / 4 END)
+         degrees(CASE WHEN abs(vx - vy) < 1e-12 THEN (CASE WHEN cxy > 1e-12 THEN pi() / 4 ELSE -pi() / 4 END)
                       ELSE 0.5 * atan2(CASE WHEN abs(cxy) < 1e-12 THEN 0 ELSE 2 * cxy END, vy - vx) END) AS pf_orientation,
          len * 11.0::DOUBLE AS pf_perimeter, pf_lat_maxrainrate, pf_lon_maxrainrate,
          round_even(my, 0) AS cy, round_even(mx, 0) AS cx, round_even(wy, 0) AS hy, round_even(wx, 0) AS hx

@@ -251,11 +251,37 @@ def box_mean_reflectivity(spark, sf):
     return rounded(out.drop("dbz_comp"), 8)
 
 
-@query("cold_pool_intensity", None)
+sql.fragment("cold_pool", ("volume",), """
+buoy AS MATERIALIZED (
+  SELECT frame_id, y, x, z, height_m, 9.81::DOUBLE * (300.0::DOUBLE + d / 10 - avg(300.0::DOUBLE + d / 10) OVER w) / avg(300.0::DOUBLE + d / 10) OVER w AS b
+  FROM volume WINDOW w AS (PARTITION BY frame_id, z)),
+low AS (
+  SELECT *, z - row_number() OVER (PARTITION BY frame_id, y, x ORDER BY z) AS run FROM buoy WHERE b < -0.002),
+layer AS (
+  SELECT l.frame_id, l.y, l.x, list(b ORDER BY z) AS bs, list(height_m ORDER BY z) AS hs, len(list(b)) AS n
+  FROM low l JOIN (SELECT frame_id, y, x, arg_min(b, z) AS sfc FROM buoy GROUP BY 1, 2, 3) s USING (frame_id, y, x)
+  JOIN (SELECT frame_id, y, x, arg_min(run, z) AS run0 FROM low GROUP BY 1, 2, 3) r USING (frame_id, y, x)
+  WHERE sfc < -0.002 AND run = run0 GROUP BY 1, 2, 3 HAVING count(*) > 1),
+pool AS (
+  SELECT *, CASE WHEN n = 2 THEN (bs[1] + bs[2]) / 2 * (hs[2] - hs[1]) ELSE
+    list_sum([(hs[i + 2] - hs[i]) / 6 * (bs[i] * (2 - (hs[i + 2] - hs[i + 1]) / (hs[i + 1] - hs[i]))
+      + bs[i + 1] * pow(hs[i + 2] - hs[i], 2) / ((hs[i + 1] - hs[i]) * (hs[i + 2] - hs[i + 1]))
+      + bs[i + 2] * (2 - (hs[i + 1] - hs[i]) / (hs[i + 2] - hs[i + 1]))) for i in range(1, n - 1, 2)])
+    + CASE WHEN n % 2 = 1 THEN 0 ELSE
+        bs[n] * (2 * pow(hs[n] - hs[n - 1], 2) + 3 * (hs[n - 1] - hs[n - 2]) * (hs[n] - hs[n - 1])) / (6 * (hs[n] - hs[n - 2]))
+        + bs[n - 1] * (pow(hs[n] - hs[n - 1], 2) + 3 * (hs[n - 1] - hs[n - 2]) * (hs[n] - hs[n - 1])) / (6 * (hs[n - 1] - hs[n - 2]))
+        - bs[n - 2] * pow(hs[n] - hs[n - 1], 3) / (6 * (hs[n - 1] - hs[n - 2]) * (hs[n] - hs[n - 2])) END END AS integral
+  FROM layer)
+""")
+
+
+@query("cold_pool_intensity", sql.query("cold_pool", """
+SELECT frame_id, y, x, hs[1] AS cp_base, hs[n] AS cp_top, hs[n] - hs[1] AS cp_depth,
+       round(CASE WHEN integral <= 0 THEN sqrt(-2 * integral) END, 6) + 0.0::DOUBLE AS cp_intensity FROM pool"""))
 def cold_pool_intensity(spark, sf):
     rows = volume(Stages(spark, sf)).withColumn("theta", F.lit(300.0) + F.col("d") / 10)
     rows = rows.withColumn("buoyancy", physics.buoyancy("theta"))
-    return rounded(vertical.cold_pool(rows, "buoyancy", -0.002, 0.0))
+    return rounded(vertical.cold_pool(rows, "buoyancy", -0.002, 0.0), 6)
 
 
 @query("buoyancy", sql.query("volume", f"""

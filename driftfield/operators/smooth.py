@@ -10,6 +10,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftfield.functions.geo import EARTH_KM
@@ -95,4 +96,5 @@ def smooth_tracks(
             pdf[f"{v}_smooth"] = fill_changed(pdf[v].to_numpy(float), moved)
         return pdf
 
-    return series.groupBy("track_id").applyInPandas(kernel, schema)
+    out = series.groupBy("track_id").applyInPandas(kernel, schema)
+    return out.withColumns({c: F.nanvl(c, F.lit(None)) for c in out_cols})

@@ -16,6 +16,7 @@ from driftfield.workspace import Workspace  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("tests", "8")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
