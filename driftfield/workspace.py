@@ -26,8 +26,13 @@ class Workspace:
             root = tempfile.mkdtemp(prefix="driftfield-")
         self.base = f"{root.rstrip('/')}/driftfield-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def folder(self, name: str) -> str:
+        """A folder that nothing else uses, as a URI."""
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:12]}"
+        return path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.folder(name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
