@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftfield.llm import bitplanes, packing
+from driftfield.llm import bitplanes, chunk_bpe, packing
 from driftfield.workspace import workspace_for
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -26,6 +26,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+@query
+def op1_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(BYTE_BPE)
+    return chunk_bpe.encode_by_chunks(documents(spark, sf_dir), workspace_for(spark), path, chunk_bpe.DIGESTS)
+
+
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = workspace_for(spark)
