@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftfield.llm.encode import encoded_blocks
+from driftfield.llm.encode import encoded_blocks, small_batches
 
 MAGIC = b"BPLANES1"
 BLOCK_IDS = 1 << 16
@@ -191,6 +191,7 @@ def write_token_files(
                 {"shard": [number], "path": [path], "docs": [n], "ids": [total], "bytes": [size]}
             )
 
+    small_batches(documents.sparkSession)
     ordered = documents.select(F.col(doc).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     ordered = ordered.repartitionByRange("_doc", F.xxhash64("_text")).sortWithinPartitions("_doc", F.xxhash64("_text"), "_text")
     return ordered.mapInArrow(shard, MANIFEST)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftfield.llm.encode import PieceEncoder, byte_lengths, encoder_for
+from driftfield.llm.encode import PieceEncoder, byte_lengths, encoder_for, small_batches
 from driftfield.llm.words import mix, text_blocks
 from driftfield.workspace import Workspace
 
@@ -254,6 +254,7 @@ def encode_by_chunks(
     documents: DataFrame, ws: Workspace, tokenizer: str, output: Output = IDS, doc: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, columns of ``output``) for every row of ``documents``."""
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col(doc).cast("long").alias("_doc"), F.col(text).alias("_text"))
     docs = docs.withColumn("_key", F.coalesce(F.col("_doc"), F.lit(-(1 << 63) + 1)))
 

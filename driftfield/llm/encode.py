@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import pyarrow as pa
 from driftfield.llm.words import text_blocks
 
 #: Distinct pieces a worker remembers before it starts anew (bounds its memory, never the result).
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 _TOGETHER = 128
 _SPACED = re.compile(r"\s ")
 
@@ -63,27 +64,59 @@ class PieceEncoder:
 
     def forget(self) -> None:
         self.pieces = _Pieces()
-        self.ids = np.zeros(1 << 20, np.int32)
-        self.offset = np.zeros(1 << 18, np.int64)
-
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _spaced(self, words: list[str]) -> list:
-        """Ids of " " + word for each word."""
-        if not self.byte_level:
-            return self._whole([" " + w for w in words])
-        runs, out = range(0, len(words), _TOGETHER), []
-        for at, ids in zip(runs, self._whole([" " + " ".join(words[a : a + _TOGETHER]) for a in runs]), strict=True):
-            part = words[at : at + _TOGETHER]
-            ends = np.cumsum([len(w.encode()) + 1 for w in part])
+        self.ids = np.zeros(1 << 18, np.int32)
+        self.offset = np.zeros(1 << 16, np.int64)
+        self.used = np.zeros(1 << 16, np.int32)
+
+    def shrink(self) -> None:
+        """Keep the pieces met most often, at most half as many as may be remembered."""
+        used = self.used[: self.pieces.size]
+        least = 2
+        while np.count_nonzero(used >= least) > self.cache_pieces // 2:
+            least *= 2
+        kept = np.flatnonzero(used >= least)
+        sizes = self.offset[kept + 1] - self.offset[kept]
+        ids = self._gathered(kept)
+        names = np.array(list(self.pieces), object)[kept].tolist()
+        self.forget()
+        for name in names:
+            self.pieces[name]
+        self.pieces.new = []
+        self._store(0, ids, sizes)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) by the library."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())), sizes
+
+    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for " " + word of each word; many words go through the library as one text."""
+        if self.byte_level and words:
+            runs = range(0, len(words), _TOGETHER)
+            ids, _ = self._whole([" " + " ".join(words[a : a + _TOGETHER]) for a in runs])
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)) + 1)
             reach = np.cumsum(self.token_bytes[ids])
             cut = np.searchsorted(reach, ends)
             if len(reach) and cut[-1] < len(reach) and np.array_equal(reach[cut], ends):
-                out += np.split(np.asarray(ids, np.int32), cut[:-1] + 1)
-            else:
-                out += self._whole([" " + w for w in part])
-        return out
+                return ids, np.diff(cut + 1, prepend=0)
+        return self._whole([" " + w for w in words])
+
+    def _store(self, first: int, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep the ids of the pieces numbered from ``first`` on."""
+        start, last = int(self.offset[first]), first + len(sizes)
+        while len(self.ids) < start + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
+        while len(self.offset) <= last:
+            self.offset = np.concatenate([self.offset, np.zeros(len(self.offset), np.int64)])
+            self.used = np.concatenate([self.used, np.zeros(len(self.used), np.int32)])
+        self.ids[start : start + len(ids)] = ids
+        self.offset[first + 1 : last + 1] = start + np.cumsum(sizes)
+
+    def _gathered(self, pieces: np.ndarray) -> np.ndarray:
+        sizes = self.offset[pieces + 1] - self.offset[pieces]
+        ends = np.cumsum(sizes)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.offset[pieces] - (ends - sizes), sizes)]
 
     def _learn(self) -> None:
         """Encode the pieces met since the last call. A piece starts with its space, or with NUL where the text starts."""
@@ -92,28 +125,26 @@ class PieceEncoder:
             return
         self.pieces.new = []
         first = self.pieces.size - len(new)
-        joined = [k for k, w in enumerate(new) if w[:1] != "\0" and w and not w[-1].isspace()]
-        alone = [k for k, w in enumerate(new) if w[:1] == "\0" or not w or w[-1].isspace()]
-        got: list = [None] * len(new)
-        for k, ids in zip(joined, self._spaced([new[k] for k in joined]), strict=True):
-            got[k] = ids
-        for k, ids in zip(alone, self._whole([new[k][1:] if new[k][:1] == "\0" else " " + new[k] for k in alone]), strict=True):
-            got[k] = ids
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        start = int(self.offset[first])
-        need, pieces = start + int(sizes.sum()), self.pieces.size
-        while len(self.ids) < need:
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
-        while len(self.offset) <= pieces:
-            self.offset = np.concatenate([self.offset, np.zeros(len(self.offset), np.int64)])
-        if need > start:
-            self.ids[start:need] = np.concatenate([np.asarray(g, np.int32) for g in got])
-        self.offset[first + 1 : pieces + 1] = start + np.cumsum(sizes)
+        odd = [k for k, w in enumerate(new) if not w or w[0] == "\0" or w[-1].isspace()]
+        if odd:
+            alone = np.zeros(len(new), bool)
+            alone[odd] = True
+            order = np.concatenate([np.flatnonzero(~alone), odd])
+            ids, sizes = self._spaced([w for w, a in zip(new, alone.tolist(), strict=True) if not a])
+            more, more_sizes = self._whole([new[k][1:] if new[k][:1] == "\0" else " " + new[k] for k in odd])
+            ids, ordered = np.concatenate([ids, more]), np.concatenate([sizes, more_sizes])
+            start = (np.cumsum(ordered) - ordered)[np.argsort(order)]
+            sizes = ordered[np.argsort(order)]
+            ends = np.cumsum(sizes)
+            ids = ids[np.arange(len(ids)) + np.repeat(start - (ends - sizes), sizes)]
+        else:
+            ids, sizes = self._spaced(new)
+        self._store(first, ids, sizes)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text)."""
         if self.pieces.size > self.cache_pieces:
-            self.forget()
+            self.shrink()
         numbers: list[int] = []
         count = np.zeros(len(texts), np.int64)
         number, whole = self.pieces.__getitem__, []
@@ -128,18 +159,21 @@ class PieceEncoder:
             numbers.extend(map(number, rest))
             count[k] = 1 + len(rest)
         self._learn()
-        at = np.asarray(numbers, np.int64)
-        sizes = self.offset[at + 1] - self.offset[at]
-        ends = np.cumsum(sizes)
-        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.offset[at] - (ends - sizes), sizes)]
+        at = np.fromiter(numbers, np.int64, len(numbers))
+        if len(at):
+            met = np.bincount(at)
+            self.used[: len(met)] += met.astype(np.int32)
+        ends = np.cumsum(self.offset[at + 1] - self.offset[at])
+        ids = self._gathered(at)
         last = np.cumsum(count)
         reach = np.concatenate([[0], ends])
         lengths = reach[last] - reach[last - count]
         if whole:
             parts = np.split(ids, np.cumsum(lengths)[:-1])
-            for k, got in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
-                parts[k] = np.asarray(got, np.int32)
-                lengths[k] = len(got)
+            got, sizes = self._whole([texts[k] for k in whole])
+            for k, part in zip(whole, np.split(got, np.cumsum(sizes)[:-1]), strict=True):
+                parts[k] = part
+                lengths[k] = len(part)
             ids = np.concatenate(parts)
         return ids, lengths
 
@@ -168,3 +202,11 @@ def encoded_blocks(texts: pa.Array, path: str) -> Iterator[tuple[int, int, np.nd
     texts = texts.cast(pa.large_string())
     for at, to, _, _ in text_blocks(texts):
         yield at, to, *encoder.encode([t or "" for t in texts.slice(at, to - at).to_pylist()])
+
+
+#: Rows of text in one Arrow batch: bounds what a worker and its JVM hold at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftfield.llm.encode import encoded_blocks
+from driftfield.llm.encode import encoded_blocks, small_batches
 from driftfield.operators.ranking import bucketed_row_number
 from driftfield.workspace import Workspace
 
 CAPACITY = 2048
 #: Rows of the run table up to which every task gets all of it.
 BROADCAST_RUNS = 200_000
-_RANGE = 1 << 15
+_RANGE = 1 << 11
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -67,6 +67,7 @@ def token_pieces(
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
+    small_batches(documents.sparkSession)
     return documents.select(F.col(doc).cast("long"), F.col(text)).mapInArrow(cut, PIECES)
 
 
