@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftfield.llm import bitplanes, chunk_bpe, packing
+from driftfield.llm import bitplanes, chunk_bpe, merkle, packing
 from driftfield.workspace import workspace_for
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -32,6 +32,14 @@ def op1_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encode_by_chunks(documents(spark, sf_dir), workspace_for(spark), path, chunk_bpe.DIGESTS)
 
 
+@query
+def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprint_edits(documents(spark, sf_dir), workspace_for(spark))
+
+
+ORACLES["op2_merkle_fingerprints"] = merkle.ORACLE
+
+
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = workspace_for(spark)
