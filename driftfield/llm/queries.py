@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from driftfield.llm import bitplanes, chunk_bpe, merkle, packing
+from driftfield.llm import bitplanes, chunk_bpe, maxscore, merkle, packing
 from driftfield.workspace import workspace_for
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -40,6 +40,14 @@ def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op2_merkle_fingerprints"] = merkle.ORACLE
 
 
+@query
+def op3_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5, scale=256.0)
+
+
+ORACLES["op3_maxscore_top_k"] = maxscore.ORACLE
+
+
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = workspace_for(spark)
