@@ -110,33 +110,28 @@ def fingerprint_edits(documents: DataFrame, ws: Workspace, doc: str = "doc_id",
     Documents follow each other by id (null first; repeated ids by text; repeated rows are
     one document in this order and give a row each).
     """
-    docs = documents.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = docs.withColumns(
-        {
-            "k": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))),
-            "h": F.xxhash64("text"),
-            "n": F.char_length("text").cast("long"),
-        }
-    )
-    order = successors(docs.select("k", "h", "n"), ws, ["k", "h"]).select("k", "h", "prev_k", "prev_h", "prev_n")
-    order = ws.write(order, "neighbours")
-    placed = docs.join(order, ["k", "h"]).withColumn("fingerprint", fingerprint(F.col("text")))
-    following = (
-        placed.select(
-            F.col("prev_k").alias("k"),
-            F.col("prev_h").alias("h"),
-            F.substring(F.col("text"), F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("start"),
-            F.col("fingerprint").alias("next_fingerprint"),
-        )
-        .dropDuplicates(["k", "h"])
-    )
+    none = F.lit(-(1 << 63))
+    docs = documents.select(
+        F.coalesce(F.col(doc).cast("long"), none).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")
+    ).withColumn("h", F.xxhash64("text"))
+    keys = docs.select("k", "h", F.char_length("text").cast("long").alias("n"))
+    order = ws.write(successors(keys, ws, ["k", "h"]).drop("next_k", "next_h", "next_n"), "neighbours")
+    # both uses take the same columns of ``docs``, so texts are shuffled once
+    placed = docs.join(order, ["k", "h"])
+    following = placed.select(
+        F.col("prev_k").alias("k"),
+        F.col("prev_h").alias("h"),
+        F.substring(F.col("text"), F.lit(1), F.floor(F.col("prev_n") / 4).cast("int")).alias("start"),
+        fingerprint(F.col("text")).alias("next_fingerprint"),
+    ).dropDuplicates(["k", "h"])
+    placed = placed.withColumn("fingerprint", fingerprint(F.col("text")))
     kept = F.substring(F.col("text"), F.lit(1), (F.col("n") - F.floor(F.col("n") / 4)).cast("int"))
     return (
         placed.join(following, ["k", "h"])
         .withColumn("edited", F.concat(kept, F.col("start")))
         .withColumn("edited_fingerprint", fingerprint(F.col("edited")))
         .select(
-            "doc_id",
+            F.when(F.col("k") != none, F.col("k")).alias("doc_id"),
             F.col("n").alias("n_chars"),
             F.sha2("edited", 256).alias("edited_sha256"),
             "fingerprint",
