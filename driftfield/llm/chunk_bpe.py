@@ -11,7 +11,7 @@ Such places end a pre-token in any byte-level file, so agreement means the ids o
 text.
 
 Only digests are shuffled to find shared chunks (counted before the shuffle), texts move
-once, and ids only for documents that take chunks from others.  A chunk that a third of all
+once (compressed), and ids only for documents that take chunks from others.  A chunk that a third of all
 documents share is a hot key of a join whose other side has one row for it.
 
 Null texts count as empty and give no ids. Repeated rows give a row each. Special tokens in
@@ -290,10 +290,14 @@ def encode_by_chunks(
     out_type = _arrow_struct(documents.sparkSession, fields)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         codec = codec_for(tokenizer)
+        decompress = zstandard.ZstdDecompressor().decompress
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at, to, data, offsets in text_blocks(batch.column(1)):
+            whole = pa.array([decompress(z.as_buffer()) for z in batch.column(1)], pa.large_binary())
+            for at, to, data, offsets in text_blocks(whole.cast(pa.large_string())):
                 raw = memoryview(data.tobytes())
                 roles = batch.column(2).slice(at, to - at).to_pylist()
                 texts: list[str] = []
@@ -338,7 +342,19 @@ def encode_by_chunks(
                 )
                 row += n
 
-    staged = docs.join(roles, "_key", "left").select("_doc", "_text", "_shared").mapInArrow(encode, stage_schema)
+    def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = batch.column(2).cast(pa.large_binary()).fill_null(b"")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([compress(t.as_buffer()) for t in texts], pa.binary())],
+                names=["_key", "_doc", "_zip"],
+            )
+
+    moved = docs.select("_key", "_doc", "_text").mapInArrow(zipped, "_key long, _doc long, _zip binary")
+    staged = moved.join(roles, "_key", "left").select("_doc", "_zip", "_shared").mapInArrow(encode, stage_schema)
     staged = ws.write(staged, "encoded")
     finished = staged.where("done is not null").select("doc_id", "done.*")
 
