@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftfield.llm import bitplanes, chunk_bpe, maxscore, merkle, packing
+from driftfield.llm import bitplanes, chunk_bpe, factorization, importance, maxscore, merkle, packing
 from driftfield.workspace import workspace_for
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -48,6 +49,13 @@ def op3_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op3_maxscore_top_k"] = maxscore.ORACLE
 
 
+@query
+def op4_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    selection, keys = importance.select(documents(spark, sf_dir), labels, workspace_for(spark))
+    return keys.withColumn("kept", F.col("key") >= selection.least_key)
+
+
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = workspace_for(spark)
@@ -55,6 +63,31 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(ws.write(pieces, "pieces"), ws)
 
 
+def remainder(doc_id: str, n: int) -> Column:
+    """crc32 of the id as text, mod ``n``: tells the documents held out from learning."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
+
+
+TOXIC_FROM = 0.3
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with ``score``, learnt from the labels of documents that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return factorization.scored(docs, factorization.learn(docs, labels, remainder("doc_id", 4) != 2))
+
+
+@query
+def op6_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(spark, documents(spark, sf_dir), sf_dir)
+    return scored.select(
+        "doc_id",
+        (remainder("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = workspace_for(spark)

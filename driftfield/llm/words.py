@@ -23,6 +23,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _INSIDE = np.ones(256, bool)
 _INSIDE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+#: Bytes of words that consist of letters only (all bytes of other scripts count as letters).
+LETTERS = np.zeros(256, bool)
+LETTERS[97:123] = True
+LETTERS[128:] = True
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
@@ -96,10 +100,10 @@ def text_blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tup
         at = to
 
 
-def words_in(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """The words of documents whose bytes are ``data[offsets[i]:offsets[i + 1]]``."""
+def words_in(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = _INSIDE) -> Words:
+    """The words of documents whose bytes are ``data[offsets[i]:offsets[i + 1]]``; ``kind`` tells which bytes words have."""
     data = _LOWER[data]
-    inside = _INSIDE[data]
+    inside = kind[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = inside.copy()
@@ -110,9 +114,11 @@ def words_in(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, start, np.flatnonzero(ends) + 1, np.searchsorted(start, offsets))
 
 
-def word_blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def word_blocks(
+    texts: pa.Array, block_bytes: int = BLOCK_BYTES, kind: np.ndarray = _INSIDE
+) -> Iterator[tuple[int, int, Words]]:
     for at, to, data, offsets in text_blocks(texts, block_bytes):
-        yield at, to, words_in(data, offsets)
+        yield at, to, words_in(data, offsets, kind)
 
 
 def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
