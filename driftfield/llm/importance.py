@@ -31,7 +31,7 @@ from driftfield.llm.encode import small_batches
 from driftfield.llm.words import Words, mix, word_blocks
 from driftfield.workspace import Workspace
 
-BUCKETS = 1 << 16
+BUCKETS = 10_000
 SMOOTHING = 0.5
 #: Labelled documents that take part (a bounded sample; all, where there are fewer).
 SAMPLE = 20_000
@@ -61,7 +61,7 @@ class Weights:
 
 
 def labelled_sample(labels: DataFrame, sample: int, doc: str = "doc_id", label: str = "quality") -> DataFrame:
-    """(_doc, _good, _fit): at most ``sample`` labelled documents, half of them for fitting; one that any label calls bad is bad."""
+    """(_doc, _good, _fit): at most ``sample`` labelled documents, three quarters of them for fitting; one that any label calls bad is bad."""
     chosen = (
         labels.where(F.col(doc).isNotNull() & F.col(label).isNotNull())
         .groupBy(F.col(doc).cast("long").alias("_doc"))
@@ -69,7 +69,7 @@ def labelled_sample(labels: DataFrame, sample: int, doc: str = "doc_id", label:
         .orderBy(F.xxhash64("_doc"), "_doc")
         .limit(sample)
     )
-    return chosen.withColumn("_fit", F.pmod(F.xxhash64("_doc"), F.lit(2)) == 0)
+    return chosen.withColumn("_fit", F.pmod(F.xxhash64("_doc"), F.lit(4)) != 0)
 
 
 def learn(documents: DataFrame, chosen: DataFrame, buckets: int = BUCKETS, doc: str = "doc_id", text: str = "text") -> Weights:

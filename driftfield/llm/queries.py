@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftfield.llm import bitplanes, chunk_bpe, factorization, importance, maxscore, merkle, packing
+from driftfield.llm import bitplanes, chunk_bpe, factorization, importance, jaccard, maxscore, merkle, packing
 from driftfield.workspace import workspace_for
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -88,6 +88,11 @@ def op6_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(documents(spark, sf_dir), workspace_for(spark))
+
+
 @query
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = workspace_for(spark)
