@@ -1,15 +1,71 @@
-"""Documents to packed sequences: quality, toxicity, near duplicates, packing."""
+"""Documents to packed training sequences: quality, toxicity, near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of ``documents``.  ``run`` writes the result of every stage as Parquet in the shared
+folder and reads it again for the next one, so a lost executor costs tasks, not stages.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftfield.llm import importance, jaccard, packing
+from driftfield.llm.queries import TOXIC_FROM, WORD_BPE, toxicity
+from driftfield.workspace import workspace_for
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by importance resampling; the others go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    selection, _ = importance.select(docs, labels, workspace_for(spark))
+    drawn = importance.weighted(docs, selection.weights).where(F.col("key") >= selection.least_key)
+    return drawn.select(*docs.columns)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine does not call toxic."""
+    return toxicity(spark, docs, sf_dir).where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component: the one with the smallest id.
+
+    Rows that repeat an id are one document (the one with the smallest text stays). Rows
+    without an id stay once per text.
+    """
+    ws = workspace_for(spark)
+    found = jaccard.similar_components(docs, ws)
+    kept = ws.write(found.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct(), "kept")
+    others = [c for c in docs.columns if c != "doc_id"]
+    first = F.min(F.struct("text", *[c for c in others if c != "text"])).alias("_row")
+    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "_row.*")
+    nameless = docs.where("doc_id is null").groupBy("text").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return named.select(*docs.columns).unionByName(nameless)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their sequence and place in it."""
+    ws = workspace_for(spark)
+    pieces = packing.token_pieces(docs, public_tokenizers.path(WORD_BPE), end_id=0)
+    return packing.pack(ws.write(pieces, "pieces"), ws)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("toxicity", toxic),
+    ("n-gram Jaccard join", near_duplicates),
+    ("best-fit packing", pack),
+]
 
-STAGES: list = []
+#: Fitted models, tokenizers and components have no SQL; tests/llm hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = workspace_for(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = ws.write(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return docs
