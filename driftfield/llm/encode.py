@@ -102,6 +102,20 @@ class PieceEncoder:
                 return ids, np.diff(cut + 1, prepend=0)
         return self._whole([" " + w for w in words])
 
+    def spaced_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of " " + word for words without spaces."""
+        odd = np.array([not w or w[-1].isspace() for w in words], bool)
+        ids, sizes = self._spaced([w for w, o in zip(words, odd.tolist(), strict=True) if not o])
+        if not odd.any():
+            return ids, sizes
+        more, more_sizes = self._whole([" " + w for w, o in zip(words, odd.tolist(), strict=True) if o])
+        all_sizes = np.zeros(len(words), np.int64)
+        all_sizes[~odd], all_sizes[odd] = sizes, more_sizes
+        out = np.zeros(int(all_sizes.sum()), np.int32)
+        is_odd = np.repeat(odd, all_sizes)
+        out[~is_odd], out[is_odd] = ids, more
+        return out, all_sizes
+
     def _store(self, first: int, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Keep the ids of the pieces numbered from ``first`` on."""
         start, last = int(self.offset[first]), first + len(sizes)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftfield.llm import bitplanes, chunk_bpe, factorization, importance, jaccard, maxscore, merkle, packing
+from driftfield.llm import bitplanes, chunk_bpe, factorization, importance, jaccard, language_model, maxscore, merkle, packing
 from driftfield.workspace import workspace_for
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -88,6 +88,13 @@ def op6_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(BYTE_BPE)
+    held_out = remainder("doc_id", 7) == 2
+    return language_model.score_texts(documents(spark, sf_dir), workspace_for(spark), path, held_out, end_id=50256)
+
+
 @query
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(documents(spark, sf_dir), workspace_for(spark))
