@@ -2,8 +2,9 @@
 
 Inputs and outputs are classes of subword ids: frequent ids are classes of their own, the
 others share classes of about equal weight, within which the corpus counts give the
-probabilities.  One attention layer with learnt positions and one hidden layer, each added
-to what comes in.  Windows of a text overlap, and every token is scored once, in the window
+probabilities.  The output is a tree of two levels: a softmax over groups of classes, and one
+over the classes of the group.  One attention layer with learnt positions and one hidden
+layer, each added to what comes in.  Windows of a text overlap, and every token is scored once, in the window
 that gives it the longest context.
 """
 
@@ -13,15 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WINDOW = 64
-STRIDE = 48
+WINDOW = 48
+STRIDE = 36
 WIDTH = 32
 HIDDEN = 48
-OWN_CLASSES = 208
-SHARED_CLASSES = 48
-RATE = 4e-3
-STEP_WINDOWS = 24
-SHAPES = ("embed", "place", "query", "key", "value", "mixed", "up", "up_bias", "down", "out", "out_bias")
+OWN_CLASSES = 896
+SHARED_CLASSES = 128
+GROUP = 32
+RATE = 1e-2
+STEP_WINDOWS = 12
+SHAPES = (
+    "embed", "place", "query", "key", "value", "mixed", "up", "up_bias", "down", "out", "out_bias", "leaf", "leaf_bias"
+)
 
 
 @dataclass(frozen=True)
@@ -37,14 +41,13 @@ class Classes:
         weight = counts.astype(np.float64) + 1.0
         order = np.argsort(-counts, kind="stable")
         of = np.empty(len(counts), np.int64)
-        own = min(own, len(counts))
         of[order[:own]] = np.arange(own)
         tail = order[own:]
         if len(tail):
             upto = np.cumsum(weight[tail])
             of[tail] = own + np.minimum((shared * (upto - weight[tail] / 2) / upto[-1]).astype(np.int64), shared - 1)
         total = np.bincount(of, weight, own + shared)
-        return cls(of, np.log(weight / total[of]), np.log((total + 1e-9) / weight.sum()))
+        return cls(of, np.log(weight / total[of]), np.log((total + 1e-3) / weight.sum()))
 
     @property
     def size(self) -> int:
@@ -69,8 +72,10 @@ def fresh(classes: Classes, seed: int = 11) -> dict[str, np.ndarray]:
         "up": drawn(d, HIDDEN, scale=d**-0.5),
         "up_bias": np.zeros(HIDDEN, np.float32),
         "down": drawn(HIDDEN, d, scale=HIDDEN**-0.5),
-        "out": drawn(d, c, scale=0.02),
-        "out_bias": classes.prior.astype(np.float32),
+        "out": drawn(d, c // GROUP, scale=0.02),
+        "out_bias": (top := np.log(np.exp(classes.prior).reshape(-1, GROUP).sum(axis=1))).astype(np.float32),
+        "leaf": drawn(c // GROUP, d, GROUP, scale=0.02),
+        "leaf_bias": (classes.prior.reshape(-1, GROUP) - top[:, None]).astype(np.float32),
     }
 
 
@@ -87,52 +92,92 @@ def unpacked(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return out
 
 
-_HIDE = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+_SEEN = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+_SAFE = 60.0
+
+
+def _exp(z: np.ndarray) -> np.ndarray:
+    """exp in place; rows are only shifted where values are large."""
+    if z.size and not -_SAFE < float(z.min()) <= float(z.max()) < _SAFE:
+        z -= z.max(axis=-1, keepdims=True)
+        np.maximum(z, -_SAFE, out=z)
+    return np.exp(z, out=z)
 
 
 def _hidden(model, x):
     """Everything up to the output layer, with what the gradients need."""
     t = x.shape[1]
     e = model["embed"][x] + model["place"][:t]
-    q, k, v = e @ model["query"], e @ model["key"], e @ model["value"]
-    s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + _HIDE[:t, :t]
-    s -= s.max(axis=2, keepdims=True)
-    a = np.exp(s, out=s)
+    three = e @ np.concatenate([model["query"] * np.float32(WIDTH**-0.5), model["key"], model["value"]], axis=1)
+    q, k, v = three[..., :WIDTH], three[..., WIDTH : 2 * WIDTH], three[..., 2 * WIDTH :]
+    a = _exp(q @ k.transpose(0, 2, 1))
+    a *= _SEEN[:t, :t]
     a /= a.sum(axis=2, keepdims=True)
     m = a @ v
     h = e + m @ model["mixed"]
-    u = h @ model["up"] + model["up_bias"]
-    r = np.maximum(u, 0)
+    r = h @ model["up"]
+    r += model["up_bias"]
+    np.maximum(r, 0, out=r)
     return e, q, k, v, a, m, h, r, h + r @ model["down"]
 
 
+def _groups(group: np.ndarray):
+    """(group, its rows) of every group that occurs."""
+    order = np.argsort(group, kind="stable")
+    values, first = np.unique(group[order], return_index=True)
+    return zip(values.tolist(), np.split(order, first[1:]), strict=True) if len(order) else ()
+
+
 def log_probability(model, classes: Classes, x: np.ndarray, target: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """Natural log probability of the asked targets; ``x`` are classes of the tokens before them."""
     g = _hidden(model, x)[-1][asked]
-    logits = g @ model["out"] + model["out_bias"]
-    logits -= logits.max(axis=1, keepdims=True)
     ids = target[asked]
-    own = logits[np.arange(len(ids)), classes.of[ids]].astype(np.float64)
-    np.exp(logits, out=logits)
-    return own - np.log(logits.sum(axis=1, dtype=np.float64)) + classes.within[ids]
+    own = classes.of[ids]
+    group, member = own // GROUP, own % GROUP
+    z = g @ model["out"]
+    z += model["out_bias"]
+    z = _exp(z)
+    p = z[np.arange(len(ids)), group] / z.sum(axis=1)
+    for c, rows in _groups(group):
+        z = g[rows] @ model["leaf"][c]
+        z += model["leaf_bias"][c]
+        z = _exp(z)
+        p[rows] *= z[np.arange(len(rows)), member[rows]] / z.sum(axis=1)
+    return np.log(np.maximum(p, 1e-30).astype(np.float64)) + classes.within[ids]
+
+
+def _softmax_gradient(g, weight, bias, y):
+    """(loss of every row, gradient of the logits)."""
+    z = g @ weight + bias
+    z -= z.max(axis=1, keepdims=True)
+    p = np.exp(z)
+    total = p.sum(axis=1, keepdims=True)
+    at = np.arange(len(y)), y
+    loss = np.log(total[:, 0]) - z[at]
+    p /= total
+    p[at] -= 1.0
+    return loss, p
 
 
 def gradients(model, x: np.ndarray, y: np.ndarray, asked: np.ndarray):
     """(mean loss over the asked positions, its gradient); ``y`` are classes."""
     e, q, k, v, a, m, h, r, g = _hidden(model, x)
-    rows = g[asked]
-    logits = rows @ model["out"] + model["out_bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    p = np.exp(logits)
-    total = p.sum(axis=1, keepdims=True)
-    p /= total
-    at = np.arange(len(rows)), y[asked]
-    loss = float((np.log(total[:, 0]) - logits[at]).mean())
-    p[at] -= 1.0
+    rows, own = g[asked], y[asked]
+    group, member = own // GROUP, own % GROUP
+    losses, p = _softmax_gradient(rows, model["out"], model["out_bias"], group)
     p /= len(rows)
     d = {"out": rows.T @ p, "out_bias": p.sum(axis=0)}
+    back = p @ model["out"].T
+    d["leaf"], d["leaf_bias"] = np.zeros_like(model["leaf"]), np.zeros_like(model["leaf_bias"])
+    for c, some in _groups(group):
+        more, p = _softmax_gradient(rows[some], model["leaf"][c], model["leaf_bias"][c], member[some])
+        p /= len(rows)
+        losses[some] += more
+        d["leaf"][c], d["leaf_bias"][c] = rows[some].T @ p, p.sum(axis=0)
+        back[some] += p @ model["leaf"][c].T
+    loss = float(losses.mean())
     dg = np.zeros_like(g)
-    dg[asked] = p @ model["out"].T
+    dg[asked] = back
 
     def flat(z):
         return z.reshape(-1, z.shape[-1])
@@ -144,8 +189,8 @@ def gradients(model, x: np.ndarray, y: np.ndarray, asked: np.ndarray):
     d["mixed"] = flat(m).T @ flat(dh)
     dm = dh @ model["mixed"].T
     da, dv = dm @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dm
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    dq, dk = ds @ k * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ q
     de = dh
     for name, dz in (("query", dq), ("key", dk), ("value", dv)):
         d[name] = flat(e).T @ flat(dz)

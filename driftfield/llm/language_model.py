@@ -6,8 +6,8 @@ A text is its words in lower case (A-Z only), joined by single spaces, then an e
    their subword ids, their counts in training documents, and the texts as word numbers.
 2. Words of all blocks meet their total count in one shuffle by word; a word has one row per
    block, however often it occurs.  Subword counts of all training documents give the classes.
-3. The model is trained where the blocks are: every task takes steps on a share of the windows
-   of every training document, starting from the same model; the results are averaged (in
+3. The model is trained where the blocks are: a task takes steps on a share of the windows of
+   every training document in its blocks, starting from the same model; the results are averaged (in
    groups first) and the next round starts from the average.
 4. Blocks are joined with their words' totals and scored: sums of log counts for the base, and
    batches of overlapping windows for the model.
@@ -36,7 +36,9 @@ from driftfield.workspace import Workspace
 BLOCK_BYTES = 12 << 20
 ROUNDS = 2
 #: One in so many windows of each training document takes part in a round.
-WINDOW_SHARE = 24
+WINDOW_SHARE = 128
+#: Windows one task learns from in a round; more of them need more tasks.
+TASK_WINDOWS = 12_000
 
 _BLOCK = (
     "block long, docs array<long>, held array<boolean>, counts binary, numbers binary, word_ids binary, "
@@ -143,16 +145,19 @@ def _averaged(models: DataFrame) -> np.ndarray | None:
     return np.frombuffer(bytes(rows[0].model), "<f4") if rows and rows[0].steps else None
 
 
-def trained(stage: DataFrame, classes: attention.Classes, end: int, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """The model after all rounds."""
+def trained(
+    stage: DataFrame, classes: attention.Classes, end: int, subwords: int, rounds: int = ROUNDS, share: int = WINDOW_SHARE
+) -> dict[str, np.ndarray]:
+    """The model after all rounds; ``subwords`` tells how many training documents have."""
     spark = stage.sparkSession
+    tasks = max(1, round(subwords / attention.STRIDE / share / TASK_WINDOWS))
     model = attention.fresh(classes)
     for turn in range(rounds):
         given = spark.sparkContext.broadcast((attention.packed(model), classes))
 
         def learn(batches: Iterator[pa.RecordBatch], given=given, turn=turn) -> Iterator[pa.RecordBatch]:
             flat, classes = given.value
-            trainer = attention.Trainer(attention.unpacked(flat, attention.fresh(classes)), attention.RATE / (1 + turn))
+            trainer = attention.Trainer(attention.unpacked(flat, attention.fresh(classes)), attention.RATE / (1 + 2 * turn))
             for batch in batches:
                 for row in batch.to_pylist():
                     held = np.asarray(row["held"], bool)
@@ -160,7 +165,7 @@ def trained(stage: DataFrame, classes: attention.Classes, end: int, rounds: int
                     ids, lengths = _texts(counts, numbers, _unzip(row["word_ids"], "<i4"), row["words"], end, ~held)
                     doc, start = attention.window_starts(lengths)
                     draw = mix((doc.astype(np.uint64) << np.uint64(24)) + (start // attention.STRIDE).astype(np.uint64) + np.uint64(turn << 60) + np.uint64(row["block"]))
-                    chosen = np.flatnonzero(draw % np.uint64(WINDOW_SHARE) == 0)
+                    chosen = np.flatnonzero(draw % np.uint64(share) == 0)
                     chosen = chosen[np.argsort(mix(draw[chosen]), kind="stable")]
                     for k in range(0, len(chosen), attention.STEP_WINDOWS):
                         part = chosen[k : k + attention.STEP_WINDOWS]
@@ -176,7 +181,7 @@ def trained(stage: DataFrame, classes: attention.Classes, end: int, rounds: int
             )
 
         columns = ["block", "held", "counts", "numbers", "word_ids", F.size("words").alias("words")]
-        got = _averaged(stage.select(*columns).mapInArrow(learn, "task int, steps long, model binary"))
+        got = _averaged(stage.select(*columns).coalesce(tasks).mapInArrow(learn, "task int, steps long, model binary"))
         if got is not None:
             model = attention.unpacked(got, model)
     return model
@@ -213,7 +218,7 @@ def score_texts(
         counts[r.id] = r.n
     counts[end_id] += texts
     classes = attention.Classes.from_counts(counts)
-    model = trained(stage, classes, end_id)
+    model = trained(stage, classes, end_id, int(counts.sum()))
     given = spark.sparkContext.broadcast((attention.packed(model), classes))
     norm = np.log10(float(tokens + distinct + 1))
 

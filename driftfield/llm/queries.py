@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftfield.llm import bitplanes, chunk_bpe, factorization, importance, jaccard, language_model, maxscore, merkle, packing
+from driftfield.llm import bitplanes, chunk_bpe, factorization, importance, jaccard, language_model, maxscore, merkle, packing, token_rollup
 from driftfield.workspace import workspace_for
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -100,6 +100,34 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(documents(spark, sf_dir), workspace_for(spark))
 
 
+@query
+def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after all documents came in, bad ones went, toxic ones lost their first line, and the first batch came again."""
+    ws = workspace_for(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    path = public_tokenizers.path(BYTE_BPE)
+
+    def events(rows: DataFrame, op: str, name: str) -> DataFrame:
+        counted = token_rollup.count_words(rows).withColumn("version", F.lit("words"))
+        counted = counted.unionByName(token_rollup.count_tokens(rows, path).withColumn("version", F.lit("byte_bpe_50k")))
+        return ws.write(counted.withColumns({"op": F.lit(op), "seq": F.lit(0)}), name)
+
+    bad = labels.where("quality = 0").select("doc_id").distinct()
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    shorter = docs.join(toxic, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"^[^\n]*\n?", ""))
+    gone = docs.select("doc_id", "source", "lang").join(bad, "doc_id", "left_semi")
+    gone = gone.withColumns({"tokens": F.lit(0).cast("long"), "op": F.lit("delete"), "seq": F.lit(0)})
+    gone = gone.withColumn("version", F.explode(F.array(F.lit("words"), F.lit("byte_bpe_50k"))))
+    rollup = token_rollup.TokenRollup(spark, ws.folder("rollup"))
+    loaded = events(docs, "insert", "loaded")
+    rollup.apply("load", loaded)
+    rollup.apply("bad quality", gone)
+    rollup.apply("toxic", events(shorter, "revise", "shorter"))
+    rollup.apply("load", loaded)
+    return rollup.totals()
+
+
 @query
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = workspace_for(spark)
