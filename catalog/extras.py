@@ -68,7 +68,7 @@ kmom AS (
          var_pop(x::DOUBLE) AS vx, var_pop(y::DOUBLE) AS vy, covar_pop(x::DOUBLE, y::DOUBLE) AS c
   FROM kreg GROUP BY 1, 2, 3),
 core_features AS (
-  SELECT *, 44.0::DOUBLE * sqrt((vx + vy) / 2 + sqrt(pow((vx - vy) / 2, 2) + c * c)) AS pf_coremajoraxis FROM kmom WHERE core_rank <= 3)
+  SELECT *, 44.0::DOUBLE * sqrt((vx + vy) / 2 + sqrt(pow((vx - vy) / 2, 2) + c * c)) AS pf_coremajoraxis FROM kmom)
 """)
 CORE = "pf_corelon pf_corelat pf_corearea pf_coremajoraxis pf_coremaxechotop20 pf_coremaxechotop30"
 
@@ -76,7 +76,7 @@ CORE = "pf_corelon pf_corelat pf_corearea pf_coremajoraxis pf_coremaxechotop20 p
 @query("core_features", sql.query("core_features", f"SELECT track_id, frame_id, core_rank, npix, {sql.rnd(CORE)} FROM core_features"))
 def core_features(spark, sf):
     st = Stages(spark, sf)
-    out = precip.core_features(echo_pixels(st), st.ws, "core", PIXEL_KM, 3, 0, (20, 30), (NY, NX))
+    out = precip.core_features(echo_pixels(st), st.ws, "core", PIXEL_KM, None, 0, (20, 30), (NY, NX))
     return rounded(out.select("track_id", "frame_id", "core_rank", "npix", *CORE.split()))
 
 
@@ -122,9 +122,9 @@ SELECT frame_id, feature_id, CASE WHEN gap > 10 THEN CAST(20 - nx AS INTEGER) EL
   SELECT frame_id, feature_id, max(g) AS gap, arg_max(n, g * 1000 - x) AS nx FROM (
     SELECT *, coalesce(n - x, -1) AS g FROM (
       SELECT frame_id, feature_id, x, lead(x) OVER (PARTITION BY frame_id, feature_id ORDER BY x) AS n
-      FROM (SELECT DISTINCT frame_id, feature_id % 3 AS feature_id, x FROM labels))) GROUP BY 1, 2)"""))
+      FROM (SELECT DISTINCT frame_id, feature_id, x FROM labels))) GROUP BY 1, 2)"""))
 def periodic_shift(spark, sf):
-    px = Stages(spark, sf).labels().select("frame_id", (F.col("feature_id") % 3).alias("feature_id"), "x")
+    px = Stages(spark, sf).labels().select("frame_id", "feature_id", "x")
     return stats.periodic_shift(px, ["frame_id", "feature_id"], "x", NX)
 
 

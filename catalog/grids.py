@@ -14,11 +14,15 @@ from driftfield.operators import image, label, link, regrid
 from driftfield.sources import filters, tables
 
 
-@query("cell_area", sql.query("grid", "SELECT y, x, round(area_km2, 6) AS area_km2 FROM grid"))
+@query("cell_area", sql.query(("labels", "grid"), """
+SELECT frame_id, feature_id, round(sum(area_km2), 5) AS area_km2, round(min(area_km2), 6) AS least_km2, round(max(area_km2), 6) AS most_km2
+FROM labels JOIN grid USING (y, x) GROUP BY 1, 2"""))
 def cell_area(spark, sf):
     st = Stages(spark, sf)
-    used = st.field().select("y", "x").distinct()
-    return rounded(st.grid().join(used, ["y", "x"], "left_outer").select("y", "x", "area_km2"), 6)
+    out = st.labels().join(st.grid(), ["y", "x"]).groupBy("frame_id", "feature_id").agg(
+        F.sum("area_km2").alias("area_km2"), F.min("area_km2").alias("least_km2"), F.max("area_km2").alias("most_km2")
+    )
+    return rounded(out, 6, area_km2=5)
 
 
 @query("mean_spacing_area", sql.query("field", """
@@ -40,10 +44,11 @@ def mean_pixel_length(spark, sf):
 
 
 @query("olr_to_tb", sql.query("field", """
-SELECT frame_id, y, x, round((sqrt(1.228::DOUBLE * 1.228 + 4 * -1.106e-3::DOUBLE * tf) - 1.228) / (2 * -1.106e-3::DOUBLE), 6) AS tb
-FROM (SELECT *, pow((250 - 40 * z) / 5.67e-8::DOUBLE, 0.25) AS tf FROM field WHERE z BETWEEN -1.5 AND 3)"""))
+SELECT frame_id, y, x, CASE WHEN inner_part >= 0 THEN round((sqrt(greatest(inner_part, 0)) - 1.228) / (2 * -1.106e-3::DOUBLE), 6) END AS tb
+FROM (SELECT *, 1.228::DOUBLE * 1.228 + 4 * -1.106e-3::DOUBLE * tf AS inner_part
+      FROM (SELECT *, CASE WHEN 250 - 40 * z >= 0 THEN pow(greatest(250 - 40 * z, 0) / 5.67e-8::DOUBLE, 0.25) END AS tf FROM field))"""))
 def olr_to_tb(spark, sf):
-    px = Stages(spark, sf).field().where("z between -1.5 and 3")
+    px = Stages(spark, sf).field()
     return rounded(px.select("frame_id", "y", "x", physics.olr_to_tb(F.lit(250.0) - F.col("z") * 40.0).alias("tb")), 6)
 
 
@@ -192,7 +197,7 @@ def fill_missing_median(spark, sf):
     rows, cols = F.sequence(F.lit(0), F.lit(NY - 1)), F.sequence(F.lit(0), F.lit(NX - 1))
     cells = st.frames().select("frame_id", F.explode(rows).alias("y")).withColumn("x", F.explode(cols))
     full = cells.join(px, ["frame_id", "y", "x"], "left")
-    return image.fill_median(full, "tb", 5).where("real").select("frame_id", "y", "x", "tb")
+    return image.fill_median(full, "tb", 5, shape=(NY, NX)).where("real").select("frame_id", "y", "x", "tb")
 
 
 @query("cell_bounds", sql.query(("grid", "field"), """

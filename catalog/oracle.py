@@ -362,7 +362,7 @@ pf_rank AS MATERIALIZED (
   SELECT track_id, frame_id, region, row_number() OVER (PARTITION BY track_id, frame_id ORDER BY n DESC, region DESC) AS pf_rank
   FROM (SELECT track_id, frame_id, region, count(*) AS n FROM wet_region GROUP BY 1, 2, 3 HAVING count(*) > 1)),
 pf_px AS MATERIALIZED (
-  SELECT w.*, k.pf_rank FROM wet_region w JOIN pf_rank k USING (track_id, frame_id, region) WHERE k.pf_rank <= 3),
+  SELECT w.*, k.pf_rank FROM wet_region w JOIN pf_rank k USING (track_id, frame_id, region)),
 pf_near AS MATERIALIZED (
   SELECT a.track_id, a.frame_id, a.region, a.y, a.x,
          count(*) FILTER (abs(b.y - a.y) + abs(b.x - a.x) = 1) AS sides

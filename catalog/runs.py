@@ -91,9 +91,10 @@ def streamed_frames(spark, sf):
             .select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
         )
         u = F.col("user_id")
-        windows = stream.pixel_windows(records, "ts", "1 day", "1 day", F.floor(u / 16) % 16, u % 16, "value")
-        path = f"{st.ws.base}/stream-{abs(hash(sf))}"
-        stream.write_updates(windows, f"{path}/updates", f"{path}/offsets")
-        return stream.latest(spark.read.parquet(f"{path}/updates"), "value")
+        path = st.ws.folder("stream")
+        stream.write_updates(
+            records, "ts", "1 day", F.floor(u / 16) % 16, u % 16, "value", f"{path}/updates", f"{path}/offsets"
+        )
+        return stream.totals(spark.read.parquet(f"{path}/updates"), "value")
 
     return rounded(st.keep("streamed", build), 6)

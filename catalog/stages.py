@@ -230,7 +230,7 @@ class Stages:
         def build(which: str) -> DataFrame:
             if not made:
                 made["f"], made["n"] = precip.rain_features(
-                    self.system_pixels(), self.ws, RAIN_MIN, RAIN_HEAVY, 100.0, PIXEL_KM, 3, (self.spec.ny, self.spec.nx)
+                    self.system_pixels(), self.ws, RAIN_MIN, RAIN_HEAVY, 100.0, PIXEL_KM, None, (self.spec.ny, self.spec.nx)
                 )
             return made[which]
 

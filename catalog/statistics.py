@@ -72,11 +72,11 @@ def main_tracks(spark, sf):
     return rounded(systems.main_tracks(st.series(), st.ends(), 3, 700.0, DT_H))
 
 
-@query("link_merge_split_main", sql.query("main_attached", f"{ATTACHED} FROM main_attached WHERE slot <= 1"))
+@query("link_merge_split_main", sql.query("main_attached", f"{ATTACHED} FROM main_attached"))
 def link_merge_split_main(spark, sf):
     st = Stages(spark, sf)
     main = systems.main_tracks(st.series(), st.ends(), 3, 700.0, DT_H)
-    return rounded(systems.attachments(st.series(), st.ends(), main, 12, 12, DT_H, F.col("area"), slots=1))
+    return rounded(systems.attachments(st.series(), st.ends(), main, 12, 12, DT_H, F.col("area")))
 
 
 sql.fragment("assignment", ("system_series", "attached"), """

@@ -25,9 +25,10 @@ def nan_to_null(c: Column | str) -> Column:
 
 
 def olr_to_tb(olr: Column | str) -> Column:
-    """Brightness temperature [K] of outgoing longwave radiation [W m-2]."""
+    """Brightness temperature [K] of outgoing longwave radiation [W m-2]; NULL where no temperature emits it."""
     flux = F.pow(_col(olr) / STEFAN, 0.25)
-    return (F.sqrt(OLR_A * OLR_A + 4.0 * OLR_B * flux) - OLR_A) / (2.0 * OLR_B)
+    inner = OLR_A * OLR_A + 4.0 * OLR_B * flux
+    return F.when((_col(olr) >= 0) & (inner >= 0), (F.sqrt(inner) - OLR_A) / (2.0 * OLR_B))
 
 
 def scaled_rain(rate: Column | str, factor: float = 1.0) -> Column:

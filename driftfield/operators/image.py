@@ -134,19 +134,23 @@ def smooth_box(
 
 
 def fill_median(
-    df: DataFrame, value: str, size: int, tile: int = TILE
+    df: DataFrame, value: str, size: int, tile: int = TILE, shape: tuple[int, int] | None = None
 ) -> DataFrame:
     """Replace missing values by the median of their box.
 
     Cells outside the grid count as zero and missing ones as the largest, so a
-    mostly missing box gives no median.
+    mostly missing box gives no median.  ``shape`` is the grid's size; cells inside
+    it that have no row are missing too.  Without it the rows' extent is the grid.
     """
     r = size // 2
     cols = df.columns
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         p = Patch(pdf)
-        v = np.pad(p.grid(pdf[value].to_numpy(float)), r, constant_values=0.0)
+        v = np.pad(p.grid(pdf[value].to_numpy(float)), r, constant_values=0.0 if shape is None else np.nan)
+        for axis, first in ((0, p.y0), (1, p.x0)) if shape is not None else ():
+            at = np.arange(first - r, first - r + v.shape[axis])
+            np.moveaxis(v, axis, 0)[(at < 0) | (at >= shape[axis])] = 0.0
         own = pdf[value].to_numpy(float)
         gaps = np.nonzero(~np.isfinite(own))[0]
         if len(gaps):

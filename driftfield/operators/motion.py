@@ -15,7 +15,8 @@ from driftfield.operators.ranking import exact_quantile
 from driftfield.workspace import Workspace
 
 MAX_BOX = 1 << 20
-DIGITS = 8
+#: Significant digits kept of the largest value a correlation can have; what lies below is the transform's own error.
+DIGITS = 10
 
 
 def _pow2(n: int) -> int:
@@ -48,6 +49,7 @@ def correlate(
         rows.groupBy(*keys).agg(
             F.min("y").alias("_y0"), F.min("x").alias("_x0"),
             (F.max("y") - F.min("y") + 1).alias("height"), (F.max("x") - F.min("x") + 1).alias("width"),
+            *[_steps(a, b).alias(f"_q_{out}") for a, b, out in products],
         ),
         "boxes",
     )
@@ -81,7 +83,8 @@ def correlate(
         out = {"height": h, "width": w, "dy": np.repeat(dy, len(dx)), "dx": np.tile(dx, len(dy))}
         for a, b, name in products:
             full = np.fft.irfft2(np.conj(fa[a]) * fb[b], size)
-            out[name] = full[np.ix_(dy % size[0], dx % size[1])].ravel()
+            q = float(pdf[f"_q_{name}"].iat[0])
+            out[name] = np.rint(full[np.ix_(dy % size[0], dx % size[1])].ravel() * q) / q
         frame = pd.DataFrame(out)
         for k in keys:
             frame[k] = pdf[k].iat[0]
@@ -92,12 +95,24 @@ def correlate(
     out = direct
     if not box.where(~small).isEmpty():
         wide = used.join(box.where(~small), keys)
-        out = direct.unionByName(_by_lines(wide, keys, lefts, rights, products, schema, span))
-    for _, _, name in products:
-        out = out.withColumn(name, F.round(name, DIGITS))
+        lines = _by_lines(wide, keys, lefts, rights, products, schema, span)
+        lines = lines.join(box.select(*keys, *[f"_q_{n}" for _, _, n in products]), keys)
+        for _, _, name in products:
+            lines = lines.withColumn(name, F.rint(F.col(name) * F.col(f"_q_{name}")) / F.col(f"_q_{name}"))
+        out = direct.unionByName(lines.select(*schema.names))
     return out
 
 
+def _steps(a: str, b: str):
+    """Power of ten that keeps DIGITS digits of the bound sqrt(sum a^2 sum b^2) on a correlation of a and b."""
+
+    def power(c: str, side: int):
+        return F.sum(F.when(F.col("side") == side, F.col(c).cast("double") * F.col(c)))
+
+    bound = F.sqrt(F.coalesce(power(a, 0), F.lit(0.0)) * F.coalesce(power(b, 1), F.lit(0.0)))
+    return F.pow(F.lit(10.0), DIGITS - F.ceil(F.log10(F.greatest(bound, F.lit(1e-200)))))
+
+
 def _by_lines(wide: DataFrame, keys, lefts, rights, products, schema, span) -> DataFrame:
     """The two-dimensional transform as row, column and row steps."""
     fields = {f.name: f for f in wide.schema.fields}

@@ -1,4 +1,4 @@
-"""Rain inside tracked systems: totals per time and the largest rain features."""
+"""Rain inside tracked systems: totals per time and rain features by size."""
 
 from __future__ import annotations
 
@@ -59,14 +59,15 @@ def rain_features(
     heavy: float,
     min_area: float,
     pixel_km: float,
-    keep: int | None = 3,
+    keep: int | None = None,
     shape: tuple[int, int] | None = None,
     tile: int = label.TILE,
 ) -> tuple[DataFrame, DataFrame]:
     """Contiguous rain features per (track, frame).
 
-    Returns (features, counts): the ``keep`` largest per system and time as
-    pf_rank 1.., and pf_npf, the number of all features above the size limit.
+    Returns (features, counts): all features of a system and time above the size
+    limit, by size as pf_rank 1.. (the ``keep`` largest, if asked for), and pf_npf,
+    their number.
     """
     wet = pixels.where(F.col("rain") > rain_min).select(*KEYS, "y", "x")
     regions = ws.write(label.label_regions(wet, ws, keys=KEYS, shape=shape, tile=tile), "rain_regions")
@@ -154,13 +155,13 @@ def core_features(
     ws: Workspace,
     flag: str,
     pixel_km: float,
-    keep: int | None = 3,
+    keep: int | None = None,
     min_npix: int = 0,
     echo_tops: tuple[int, ...] = (),
     shape: tuple[int, int] | None = None,
     tile: int = label.TILE,
 ) -> DataFrame:
-    """The largest convective cores per (track, frame): place, area, ellipse, perimeter, echo tops.
+    """Convective cores per (track, frame) by size (the ``keep`` largest, if asked for): place, area, ellipse, perimeter, echo tops.
 
     ``pixels`` carry lat, lon, area_km2, dbz_comp and echotopNN; ``flag`` marks core pixels.
     """

@@ -197,6 +197,17 @@ def unwrap_positions(series: DataFrame, columns: dict[str, float], max_fraction:
     return out.drop(*[f"_turn_{c}" for c in columns])
 
 
+def coordinate_ranges(grid: DataFrame, periodic_y: bool, periodic_x: bool) -> dict[str, tuple[float, float] | None]:
+    """lat_range and lon_range of the pixel centres along periodic axes, as one row of extremes."""
+    if not (periodic_y or periodic_x):
+        return {"lat_range": None, "lon_range": None}
+    r = grid.agg(*[f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("low", F.min), ("high", F.max))]).first()
+    return {
+        "lat_range": (r.low_lat, r.high_lat) if periodic_y else None,
+        "lon_range": (r.low_lon, r.high_lon) if periodic_x else None,
+    }
+
+
 def periodic_shift(pixels: DataFrame, keys: list[str], axis: str, size: int) -> DataFrame:
     """Shift that rolls each feature away from the periodic edge (0 = leave it).
 

@@ -7,6 +7,7 @@ in a frame, start and end time) is computed as a result and never written back.
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
 from pathlib import Path
@@ -23,6 +24,7 @@ CONFIG_NAMES = {
     "datatimeresolution": "dt_h",
     "pixel_radius": "pixel_km",
     "pbc_direction": "periodic",
+    "pbc_max_domain_fraction": "wrap_fraction",
     "cloudtb_core": "tb_core",
     "cloudtb_cold": "tb_cold",
     "cloudtb_warm": "tb_warm",
@@ -58,13 +60,15 @@ CONFIG_NAMES = {
 class _FromConfig:
     @classmethod
     def from_config(cls, config: Mapping):
-        """Options from a mapping with either option or configuration names."""
+        """Options from a mapping with either option or configuration names; names that neither has are reported."""
         known = {f.name for f in fields(cls)}
         values = {}
         for name, value in config.items():
             option = name if name in known else CONFIG_NAMES.get(name)
             if option in known:
                 values[option] = tuple(value) if isinstance(value, list) else value
+            elif option is None:
+                warnings.warn(f"{cls.__name__} has no option {name!r}", stacklevel=2)
         return cls(**values)
 
     @classmethod
@@ -88,6 +92,7 @@ class TrackingOptions(_FromConfig):
     duration_range: tuple[int, int] = (2, 20)
     drop_short: bool = True
     periodic: str = "none"
+    wrap_fraction: float = 0.5
     pixel_km: float = 10.0
     tile: int = 256
 
@@ -129,7 +134,7 @@ class ConvectiveOptions(TrackingOptions):
     rain_min: float = 2.0
     rain_heavy: float = 10.0
     rain_area: float = 648.0
-    keep_features: int = 3
+    keep_features: int | None = None
     axis_min: float = 100.0
     axis_max: float = 1800.0
     rain_hours: float = 4.0

@@ -52,6 +52,6 @@ def run_cells(
         .join(grid, ["y", "x"])
     )
     tracked = build_tracks(
-        labels, features, frames, pixels, ws, opt, stats.radar_extras(tuple(opt.echo_tops)), drift
+        labels, features, frames, pixels, ws, opt, stats.radar_extras(tuple(opt.echo_tops)), drift, grid
     )
     return CellResult(found, labels, tracked)

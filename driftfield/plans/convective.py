@@ -50,7 +50,7 @@ def run_convective(
     )
     labels = pixels.select("frame_id", "y", "x", "feature_id", "rain")
     features = ws.write(labels.groupBy("frame_id", "feature_id").agg(F.count(F.lit(1)).alias("npix")), "features")
-    tracked = build_tracks(labels, features, frames, pixels, ws, opt, stats.tb_extras())
+    tracked = build_tracks(labels, features, frames, pixels, ws, opt, stats.tb_extras(), grid=grid)
     chosen = ws.write(
         systems.cold_systems(tracked.series, opt.system_area, opt.system_hours, opt.system_gap, opt.dt_h), "systems"
     )

@@ -45,7 +45,7 @@ def run_generic(
     """``field``: frame_id, y, x, value; ``grid``: y, x, lat, lon, area_km2; ``frames``: frame_id, epoch_s."""
     labels, features = identify(field, grid, ws, opt, value)
     pixels = labels.join(grid.select("y", "x", "lat", "lon", "area_km2"), ["y", "x"])
-    tracked = build_tracks(labels, features, frames, pixels, ws, opt)
+    tracked = build_tracks(labels, features, frames, pixels, ws, opt, grid=grid)
     main = ws.write(systems.main_tracks(tracked.series, tracked.ends, opt.main_hours, opt.main_area, opt.dt_h), "main")
     attached = ws.write(
         systems.attachments(

@@ -1,8 +1,8 @@
 """Gridded frames from a stream of point records.
 
-Pixels of a frame are windowed sums with a watermark; each micro-batch appends
-the sums that changed, and the latest sum of a pixel is the valid one, so a
-batch that is written twice does no harm.
+Every micro-batch writes its own sums per frame and pixel into a folder of its
+own, and a pixel's value is the sum over the batches.  No state is kept and no
+record is too late; a batch that is written twice replaces itself.
 """
 
 from __future__ import annotations
@@ -11,34 +11,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def pixel_windows(
-    records: DataFrame, time: str, length: str, late: str, y: Column, x: Column, value: str
-) -> DataFrame:
-    """(ts, y, x, value): sums per time window and pixel of a streaming or static input."""
+def pixel_windows(records: DataFrame, time: str, length: str, y: Column, x: Column, value: str) -> DataFrame:
+    """(ts, y, x, value): sums per time window and pixel."""
     return (
-        records.withWatermark(time, late)
-        .groupBy(F.window(time, length).alias("w"), y.cast("int").alias("y"), x.cast("int").alias("x"))
+        records.groupBy(F.window(time, length).alias("w"), y.cast("int").alias("y"), x.cast("int").alias("x"))
         .agg(F.sum(value).alias(value))
         .select(F.col("w.start").alias("ts"), "y", "x", value)
     )
 
 
-def write_updates(stream: DataFrame, path: str, checkpoint: str):
-    """Run the stream over what is available, appending changed pixels per batch."""
+def write_updates(
+    records: DataFrame, time: str, length: str, y: Column, x: Column, value: str, path: str, checkpoint: str
+) -> None:
+    """Run the stream over what is available; each batch adds its sums under ``path``."""
 
-    def append(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(path)
+    def add(batch: DataFrame, batch_id: int) -> None:
+        sums = pixel_windows(batch, time, length, y, x, value)
+        sums.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     query = (
-        stream.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(append)
-        .start()
+        records.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(add).start()
     )
     query.awaitTermination()
 
 
-def latest(updates: DataFrame, value: str) -> DataFrame:
-    """The valid sum of each pixel: that of its last batch."""
-    return updates.groupBy("ts", "y", "x").agg(F.max_by(value, "batch").alias(value))
+def totals(updates: DataFrame, value: str) -> DataFrame:
+    """The sum of each pixel over all batches."""
+    return updates.groupBy("ts", "y", "x").agg(F.sum(value).alias(value))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from driftfield.operators import mapback, shapes, stats, systems
 from driftfield.options import ConvectiveOptions, GenericOptions
-from tests.conftest import drawn
+from tests.conftest import clock, drawn
 
 
 def series(spark, tracks):
@@ -92,3 +92,22 @@ def test_options_read_configuration_names():
     opt = ConvectiveOptions.from_config({"cloudtb_core": 220, "mcs_tb_area_thresh": 30000, "timegap": 1.1, "unknown": 1})
     assert (opt.tb_core, opt.system_area, opt.timegap_h) == (220, 30000, 1.1)
     assert GenericOptions.from_config({"field_thresh": [1.6, 1000], "pbc_direction": "x"}).periodic_x
+
+
+def test_a_feature_across_a_periodic_edge(spark, ws):
+    from driftfield.plans.generic import run_generic
+
+    columns = {1: (16, 17, 18), 2: (17, 18, 19), 3: (18, 19, 0), 4: (19, 0, 1), 5: (0, 1, 2), 6: (1, 2, 3)}
+    rows = [(f, y, x, 5.0) for f, xs in columns.items() for y in (2, 3) for x in xs]
+    field = spark.createDataFrame(rows, "frame_id long, y int, x int, value double")
+    cells = [(y, x, float(y), 18.0 * x, 1.0) for y in range(6) for x in range(20)]
+    grid = spark.createDataFrame(cells, "y int, x int, lat double, lon double, area_km2 double")
+    opt = GenericOptions(
+        shape=(6, 20), periodic="x", field_range=(1.0, 9.0), min_npix=1, main_hours=1, main_area=1.0, drop_short=False
+    )
+    result = run_generic(field, grid, clock(spark, [1, 2, 3, 4, 5, 6]), ws, opt)
+    series = result.tracks.series.orderBy("time_idx").collect()
+    assert len({r.track_id for r in series}) == 1 and len(series) == 6
+    assert all(r.pbc_flag == 1 for r in series)
+    steps = [b.meanlon - a.meanlon for a, b in zip(series, series[1:])]
+    assert all(0 <= s < 60 for s in steps) and series[-1].meanlon > 342
