@@ -9,8 +9,9 @@ product decides which rows can meet:
    The same pass counts shingles in a sketch of fixed size, which orders columns from rare to
    common.  The order need not be exact for exact results; it keeps columns that many texts
    share (passages, boilerplate) out of the prefixes.
-2. Rows that share a column of their prefixes become neighbours of the column's smallest row.
-   Connected rows form families; a similar pair is always inside one family.
+2. Rows that share a column of their prefixes and have similar sizes become neighbours, by way
+   of one row for each column and range of sizes.  Connected rows form families; a similar
+   pair is always inside one family.
 3. Families are laid out in blocks of rows by set size.  A task multiplies two blocks, a run
    of columns at a time, accumulates overlaps and drops pairs below the bound that their sizes
    set.  It returns a spanning forest of the links it found and the number of links per row,
@@ -45,7 +46,7 @@ from driftfield.workspace import Workspace
 
 SHINGLE = 4
 PERCENT = 85
-SKETCH_BITS = 24
+SKETCH_BITS = 25
 FILTER_BITS = 27
 _SLICE_BITS = 6
 BLOCK_ROWS = 512
@@ -155,7 +156,7 @@ def merged_sketch(rows: DataFrame) -> np.ndarray:
 
 
 def prefixes(documents: DataFrame, levels: np.ndarray, size: int, percent: int, text: str) -> DataFrame:
-    """(column, digest): the columns of each distinct set that a similar set must share one of."""
+    """(column, digest, n): the columns of each distinct set that a similar set must share one of."""
     order_of = documents.sparkSession.sparkContext.broadcast(levels)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +175,36 @@ def prefixes(documents: DataFrame, levels: np.ndarray, size: int, percent: int,
                 start = np.searchsorted(owner, np.arange(words.docs))
                 first = np.arange(len(owner)) - start[owner] < length[owner]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[first].view(np.int64)), pa.array(sets.digest[owner[first]])], names=["column", "digest"]
+                    [
+                        pa.array(h[first].view(np.int64)),
+                        pa.array(sets.digest[owner[first]]),
+                        pa.array(n[owner[first]].astype(np.int32)),
+                    ],
+                    names=["column", "digest", "n"],
                 )
 
-    return documents.select(F.col(text)).mapInArrow(pick, "column long, digest long")
+    return documents.select(F.col(text)).mapInArrow(pick, "column long, digest long, n int")
+
+
+def neighbours(rows: DataFrame, percent: int) -> DataFrame:
+    """(digest, other): edges that connect all rows with a common column and sizes that allow a link.
+
+    Sizes fall into ranges as wide as a link allows, so all rows of a column and range meet in
+    its smallest digest; a range meets the next one where its largest row can link with that
+    one's smallest.
+    """
+    span = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(float(np.log(100 / percent)), 1e-9))).cast("long")
+    ranged = rows.withColumn("span", span)
+    hubs = ranged.groupBy("column", "span").agg(
+        F.count(F.lit(1)).alias("times"), F.min("digest").alias("hub"), F.min("n").alias("low"), F.max("n").alias("high")
+    )
+    after = hubs.select("column", (F.col("span") - 1).alias("span"), F.col("hub").alias("next"), F.col("low").alias("next_low"))
+    across = hubs.join(after, ["column", "span"]).where(100 * F.col("high") >= percent * F.col("next_low"))
+    inside = ranged.join(hubs.where("times > 1").select("column", "span", "hub"), ["column", "span"])
+    edges = inside.select("digest", F.col("hub").alias("other")).unionByName(
+        across.select(F.col("hub").alias("digest"), F.col("next").alias("other"))
+    )
+    return edges.where("digest <> other").distinct()
 
 
 def digest_filter(members: DataFrame) -> np.ndarray:
@@ -208,7 +235,7 @@ def _with_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def needed_sets(documents: DataFrame, wanted: np.ndarray, size: int, text: str) -> DataFrame:
-    """(digest, n, hashes) of the distinct sets that pass the filter."""
+    """(digest, hashes) of the distinct sets that pass the filter."""
     bits_of = documents.sparkSession.sparkContext.broadcast(wanted)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,11 +248,10 @@ def needed_sets(documents: DataFrame, wanted: np.ndarray, size: int, text: str)
                 rows = _fresh(sets.digest, sets.count * hit, seen)
                 blobs = [sets.hash[a : a + n].tobytes() for a, n in zip(sets.first[rows], sets.count[rows])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sets.digest[rows]), pa.array(sets.count[rows].astype(np.int64)), pa.array(blobs, pa.binary())],
-                    names=["digest", "n", "hashes"],
+                    [pa.array(sets.digest[rows]), pa.array(blobs, pa.binary())], names=["digest", "hashes"]
                 )
 
-    return documents.select(F.col(text)).mapInArrow(pick, "digest long, n long, hashes binary")
+    return documents.select(F.col(text)).mapInArrow(pick, "digest long, hashes binary")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -260,12 +286,12 @@ def linked(overlap: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, percent
 LINKS = "digest long, other long, links long"
 
 
-def family_links(members: DataFrame, ws: Workspace, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Spanning links and link counts of (family, digest, n, copies, hashes): a row per set and block pair."""
-    place = bucketed_row_number(
-        members.select("family", "digest", "n"), ["family"], {"_size": F.col("n")}, [F.col("digest")], "_row"
-    ).withColumn("block", F.floor((F.col("_row") - 1) / block_rows).cast("int"))
-    place = ws.write(place.select("family", "digest", "n", "block"), "blocks")
+def layout(members: DataFrame, ws: Workspace, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Where the sets (family, digest, n, copies) are needed: first and second block of every product, and the own one."""
+    place = bucketed_row_number(members, ["family"], {"_size": F.col("n")}, [F.col("digest")], "_row").withColumn(
+        "block", F.floor((F.col("_row") - 1) / block_rows).cast("int")
+    )
+    place = ws.write(place.drop("_row"), "blocks")
     span = place.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = span.select("family", F.col("block").alias("second"), F.col("low").alias("low2"))
     pairs = (
@@ -276,7 +302,11 @@ def family_links(members: DataFrame, ws: Workspace, percent: int, block_rows: in
         .select("family", "first", "second")
     )
     sides = pairs.select("*", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
-    laid = members.join(place.select("digest", "block"), "digest").join(sides, ["family", "block"])
+    return place.join(sides, ["family", "block"])
+
+
+def family_links(laid: DataFrame, percent: int) -> DataFrame:
+    """Spanning links and link counts, a row per set and product, of laid out sets with their hashes."""
 
     def multiply(table: pa.Table) -> pa.Table:
         first, second = table["first"][0].as_py(), table["second"][0].as_py()
@@ -319,19 +349,21 @@ def similar_components(
     levels = merged_sketch(stage.where("slice is not null").select("slice", "part", "counts"))
     docs = stage.where("slice is null").select("doc_id", "digest", "n")
     classes = ws.write(
-        docs.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "classes"
+        docs.where("n > 0").groupBy("digest").agg(
+            F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")
+        ),
+        "classes",
     )
 
     rows = ws.write(prefixes(documents, levels, size, percent, text), "prefixes")
-    common = rows.groupBy("column").agg(F.count(F.lit(1)).alias("_n"), F.min("digest").alias("hub")).where("_n > 1")
-    edges = rows.join(common, "column").where(F.col("digest") != F.col("hub")).select("digest", "hub").distinct()
-    families = connected_components(edges, ws, src="digest", dst="hub")
-    families = ws.write(families.select(F.col("node").alias("digest"), F.col("component").alias("family")), "families")
-
-    sets = needed_sets(documents, digest_filter(families), size, text).join(families, "digest")
-    sets = sets.groupBy("digest").agg(F.first("family").alias("family"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
-    members = ws.write(sets.join(classes.select("digest", "copies"), "digest"), "members")
-    links = ws.write(family_links(members, ws, percent, block_rows), "links")
+    families = connected_components(neighbours(rows, percent), ws, src="digest", dst="other")
+    families = families.select(F.col("node").alias("digest"), F.col("component").alias("family"))
+    members = ws.write(families.join(classes.select("digest", "n", "copies"), "digest"), "families")
+
+    wanted = digest_filter(members)
+    places = ws.write(layout(members, ws, percent, block_rows), "layout")
+    sets = needed_sets(documents, wanted, size, text).groupBy("digest").agg(F.first("hashes").alias("hashes"))
+    links = ws.write(family_links(sets.join(places, "digest"), percent), "links")
 
     joined = connected_components(links, ws, src="digest", dst="other")
     joined = joined.select(F.col("node").alias("digest"), "component").join(classes, "digest")
