@@ -38,13 +38,17 @@ def tracked_field(st: Stages):
 
 
 @query("monthly_rain_map", sql.query("tracked_field", """
-SELECT period, y, x, round(sum(rain), 9) + 0.0::DOUBLE AS precipitation,
+SELECT month_of, y, x, round(sum(rain), 9) + 0.0::DOUBLE AS precipitation,
        round(coalesce(sum(rain) FILTER (cloudtracknumber > 0), 0), 9) + 0.0::DOUBLE AS mcs_precipitation,
        count(*) FILTER (cloudtracknumber > 0) AS mcs_cloud_count, count(*) FILTER (pcptracknumber > 0) AS mcs_precipitation_count,
        count(*) FILTER (rain > 2) AS precipitation_count, any_value(n) AS ntimes
-FROM tracked_field JOIN (SELECT period, count(DISTINCT frame_id) AS n FROM tracked_field GROUP BY 1) USING (period) GROUP BY 1, 2, 3"""))
+FROM (SELECT *, period * 100 + month AS month_of FROM tracked_field)
+JOIN (SELECT year(ts) * 100 + month(ts) AS month_of, count(*) AS n FROM frames GROUP BY 1) USING (month_of) GROUP BY 1, 2, 3"""))
 def monthly_rain_map(spark, sf):
-    return rounded(analysis.month_map(tracked_field(Stages(spark, sf)), "period", rain_min=2.0))
+    st = Stages(spark, sf)
+    px = tracked_field(st).withColumn("month_of", F.col("period") * 100 + F.col("month"))
+    frames = st.frames().select("frame_id", (F.year("ts") * 100 + F.month("ts")).alias("month_of"))
+    return rounded(analysis.month_map(px, frames, "month_of", rain_min=2.0))
 
 
 @query("hovmoller_rain", sql.query("tracked_field", f"""

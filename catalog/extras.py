@@ -70,13 +70,21 @@ kmom AS (
 core_features AS (
   SELECT *, 44.0::DOUBLE * sqrt((vx + vy) / 2 + sqrt(pow((vx - vy) / 2, 2) + c * c)) AS pf_coremajoraxis FROM kmom)
 """)
+
+
+def core_rows(st: Stages):
+    return st.keep(
+        "core_features",
+        lambda: precip.core_features(echo_pixels(st), st.ws, "core", PIXEL_KM, None, 0, (20, 30), (NY, NX)),
+    )
+
+
 CORE = "pf_corelon pf_corelat pf_corearea pf_coremajoraxis pf_coremaxechotop20 pf_coremaxechotop30"
 
 
 @query("core_features", sql.query("core_features", f"SELECT track_id, frame_id, core_rank, npix, {sql.rnd(CORE)} FROM core_features"))
 def core_features(spark, sf):
-    st = Stages(spark, sf)
-    out = precip.core_features(echo_pixels(st), st.ws, "core", PIXEL_KM, None, 0, (20, 30), (NY, NX))
+    out = core_rows(Stages(spark, sf))
     return rounded(out.select("track_id", "frame_id", "core_rank", "npix", *CORE.split()))
 
 
@@ -99,10 +107,11 @@ def robust_by_radar(spark, sf):
 @query("life_cycle")
 def life_cycle(spark, sf):
     st = Stages(spark, sf)
-    largest = st.rain_features()[0].where("pf_rank = 1").select("track_id", "time_idx", F.col("pf_majoraxis").alias("core_axis"))
-    rows = extras(st).select(
-        "track_id", "time_idx", F.col("pf_ccarea").alias("core_area"), F.col("pf_sfarea").alias("sf_area")
-    ).join(largest, ["track_id", "time_idx"], "left")
+    cores = core_rows(st).groupBy("track_id", "frame_id").agg(
+        F.max("pf_corearea").alias("core_area"), F.max("pf_coremajoraxis").alias("core_axis")
+    )
+    rows = extras(st).select("track_id", "frame_id", "time_idx", F.col("pf_sfarea").alias("sf_area"))
+    rows = rows.join(cores, ["track_id", "frame_id"], "left").drop("frame_id")
     return systems.life_cycle(rows, 4, DT_H, line_km=20.0)
 
 

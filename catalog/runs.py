@@ -77,6 +77,34 @@ def mask_export(spark, sf):
     return sinks.mask_table(mapback.map_tracks(st.labels(), st.assignment()))
 
 
+@query("masks_by_day", sql.query(("pixel_tracks", "frames"), """
+SELECT CAST(t.ts AS DATE) AS date, frame_id, y, x, cloudtracknumber FROM pixel_tracks JOIN frames t USING (frame_id)"""))
+def masks_by_day(spark, sf):
+    """Pixel masks written by day and read back."""
+    st = Stages(spark, sf)
+    path = st.ws.folder("masks")
+    mapped = mapback.map_tracks(st.labels(), st.assignment()).select("frame_id", "y", "x", "cloudtracknumber")
+    sinks.write_by_day(mapped, st.frames(), path)
+    return spark.read.parquet(path).select("date", "frame_id", "y", "x", "cloudtracknumber")
+
+
+@query("stage_tables_written", sql.query(("points", "links"), """
+SELECT 'points' AS kind, frame_id, feature_id AS id, track_id AS value FROM points
+UNION ALL SELECT 'links', ref_frame, ref_id, overlap_px FROM links"""))
+def stage_tables_written(spark, sf):
+    """Track numbers and links written as tables and read back."""
+    st = Stages(spark, sf)
+    path = st.ws.folder("tables")
+    sinks.write_tables({"points": st.points(), "links": st.links()}, path)
+    points = spark.read.parquet(f"{path}/points").select(
+        F.lit("points").alias("kind"), "frame_id", F.col("feature_id").cast("long").alias("id"), F.col("track_id").alias("value")
+    )
+    links = spark.read.parquet(f"{path}/links").select(
+        F.lit("links").alias("kind"), F.col("ref_frame").alias("frame_id"), F.col("ref_id").cast("long").alias("id"), F.col("overlap_px").alias("value")
+    )
+    return points.unionByName(links)
+
+
 @query("streamed_frames", """
 SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, CAST((user_id // 16) % 16 AS INTEGER) AS y, CAST(user_id % 16 AS INTEGER) AS x,
        round(sum(value), 6) AS value FROM events GROUP BY 1, 2, 3""")

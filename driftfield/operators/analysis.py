@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def month_map(pixels: DataFrame, time_key: str, rain: str = "rain", rain_min: float | None = None, hours: float = 1.0) -> DataFrame:
-    """Rain totals and system counts per (time_key, y, x), with the frames behind them.
+def month_map(
+    pixels: DataFrame, frames: DataFrame, time_key: str, rain: str = "rain", rain_min: float | None = None, hours: float = 1.0
+) -> DataFrame:
+    """Rain totals and system counts per (time_key, y, x), with the number of frames behind them.
 
-    ``pixels`` carry frame_id, rain, cloudtracknumber and pcptracknumber (0 = none).
+    ``pixels`` carry frame_id, time_key, rain, cloudtracknumber and pcptracknumber (0 = none);
+    ``frames`` has a row per frame with its time_key.
     """
     r = F.col(rain) * hours
     cloud, wet = F.col("cloudtracknumber") > 0, F.col("pcptracknumber") > 0
@@ -25,9 +28,7 @@ def month_map(pixels: DataFrame, time_key: str, rain: str = "rain", rain_min: fl
     if rain_min is not None:
         agg.append(F.sum((F.col(rain) > rain_min).cast("int")).alias("precipitation_count"))
     maps = pixels.groupBy(time_key, "y", "x").agg(*agg)
-    # frames per period from a frame-sized table, not from the pixels of the map
-    frames = pixels.select(time_key, "frame_id").distinct().groupBy(time_key).agg(F.count(F.lit(1)).alias("ntimes"))
-    return maps.join(frames, time_key)
+    return maps.join(frames.groupBy(time_key).agg(F.count(F.lit(1)).alias("ntimes")), time_key)
 
 
 def hovmoller(pixels: DataFrame, band: Column | None = None, rain: str = "rain") -> DataFrame:
@@ -104,18 +105,24 @@ def statistics_map(pixels: DataFrame, stats: DataFrame, values: Sequence[str], p
     """
     px = pixels.join(stats, ["track_id", "frame_id"])
     wet = F.col("wet")
-    agg = [
-        F.count(F.lit(1)).alias("nhour_ccs"),
-        F.sum(wet.cast("int")).alias("nhour_pf"),
-        F.countDistinct("track_id").alias("nmcs_ccs"),
-        F.countDistinct(F.when(wet, F.col("track_id"))).alias("nmcs_pf"),
-        F.sum((F.col("starts") & (F.col("time_idx") == 0)).cast("int")).alias("initiation"),
-        (F.coalesce(F.sum("ccs_area"), F.lit(0.0)) / F.count(F.lit(1))).alias("ccs_area"),
-    ]
-    wet_hours = F.nullif(F.sum(wet.cast("int")), F.lit(0))
-    for v in ("pf_area", *values):
-        agg.append((F.coalesce(F.sum(F.when(wet, F.col(v))), F.lit(0.0)) / wet_hours).alias(v))
-    return px.groupBy(period, "y", "x").agg(*agg)
+    sums = ["ccs_area", "pf_area", *values]
+    # a row per track first: what follows counts tracks without distinct aggregates
+    per_track = px.groupBy(period, "y", "x", "track_id").agg(
+        F.count(F.lit(1)).alias("hours"),
+        F.sum(wet.cast("int")).alias("wet_hours"),
+        F.sum((F.col("starts") & (F.col("time_idx") == 0)).cast("int")).alias("starts"),
+        *[F.sum(F.when(wet | F.lit(v == "ccs_area"), F.col(v))).alias(v) for v in sums],
+    )
+    hours, wet_hours = F.sum("hours"), F.nullif(F.sum("wet_hours"), F.lit(0))
+    return per_track.groupBy(period, "y", "x").agg(
+        hours.alias("nhour_ccs"),
+        F.sum("wet_hours").alias("nhour_pf"),
+        F.count(F.lit(1)).alias("nmcs_ccs"),
+        F.sum((F.col("wet_hours") > 0).cast("int")).alias("nmcs_pf"),
+        F.sum("starts").alias("initiation"),
+        (F.coalesce(F.sum("ccs_area"), F.lit(0.0)) / hours).alias("ccs_area"),
+        *[(F.coalesce(F.sum(v), F.lit(0.0)) / wet_hours).alias(v) for v in sums[1:]],
+    )
 
 
 def lifetime_map(

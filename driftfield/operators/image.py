@@ -21,14 +21,15 @@ REACH = 32
 
 
 class Patch:
-    """Dense view of a tile's pixels, clipped to their bounding box."""
+    """Dense view of a tile's pixels: their bounding box, or the given box (y0, x0, end y, end x)."""
 
-    def __init__(self, pdf: pd.DataFrame):
+    def __init__(self, pdf: pd.DataFrame, box: tuple[int, int, int, int] | None = None):
         self.y = pdf["y"].to_numpy(np.int64)
         self.x = pdf["x"].to_numpy(np.int64)
-        self.y0, self.x0 = self.y.min(), self.x.min()
-        self.yy, self.xx = self.y - self.y0, self.x - self.x0
-        self.shape = (self.yy.max() + 1, self.xx.max() + 1)
+        y0, x0, y1, x1 = box or (self.y.min(), self.x.min(), self.y.max() + 1, self.x.max() + 1)
+        self.y0, self.x0 = y0, x0
+        self.yy, self.xx = self.y - y0, self.x - x0
+        self.shape = (y1 - y0, x1 - x0)
 
     def grid(self, values, fill=np.nan, dtype=float) -> np.ndarray:
         out = np.full(self.shape, fill, dtype=dtype)

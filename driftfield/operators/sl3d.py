@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftfield.operators.image import Patch
-from driftfield.operators.tiles import TILE, tile_apply
+from driftfield.operators.tiles import TILE, tile_apply, tile_box
 
+# fixed values: class numbers
 NO_ECHO, UPDRAFT, CONVECTION, RAIN_STRATIFORM, DRY_STRATIFORM, ANVIL = range(6)
 
 
+# fixed values: limits of the published classification
 @dataclass(frozen=True)
 class EchoLimits:
     box_px: int = 3
@@ -41,6 +43,21 @@ def _windows(a: np.ndarray, r: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, (2 * r + 1, 2 * r + 1))
 
 
+_ROWS_AT_ONCE = 1 << 20
+
+
+def _middle(a: np.ndarray, r: int) -> np.ndarray:
+    """Median of the box around each cell, missing values counted as the largest; some rows at a time."""
+    box = _windows(a, r)
+    size = box.shape[2] * box.shape[3]
+    step = max(1, _ROWS_AT_ONCE // max(1, size * a.shape[1]))
+    parts = [
+        np.partition(box[k : k + step].reshape(-1, a.shape[1], size), size // 2, axis=2)[:, :, size // 2]
+        for k in range(0, a.shape[0], step)
+    ]
+    return np.concatenate(parts)
+
+
 def _share(flag: np.ndarray, mode: str = "edge") -> np.ndarray:
     padded = np.pad(flag.astype(float), 1, mode=mode)
     return np.lib.stride_tricks.sliding_window_view(padded, (3, 3)).mean(axis=(2, 3))
@@ -68,8 +85,7 @@ def classify_columns(v: np.ndarray, km: np.ndarray, melt: np.ndarray, lim: EchoL
     counts = np.zeros(v.shape[1:])
     levels = np.zeros(v.shape[1:])
     for k in range(k9 + 1):
-        box = _windows(v[k], lim.box_px).reshape(*v.shape[1:], -1)
-        middle = np.sort(box, axis=2)[:, :, box.shape[2] // 2]
+        middle = _middle(v[k], lim.box_px)
         need = np.maximum(10.0 - v[k] ** 2 / 337.5, 4.0)
         counts += np.nan_to_num(v[k] - middle, nan=-np.inf) > np.nan_to_num(need, nan=np.inf)
         levels += echo[k]
@@ -92,8 +108,7 @@ def classify_columns(v: np.ndarray, km: np.ndarray, melt: np.ndarray, lim: EchoL
     cls[weak.any(axis=0) & (peak >= lim.updraft_dbz) & (cls == CONVECTION)] = UPDRAFT
     lone = (cls == UPDRAFT) & (_share(cls == UPDRAFT, "symmetric") <= 0.15)
     if lone.any():
-        box = _windows(cls, 1).reshape(*cls.shape, -1)
-        cls = np.where(lone, np.sort(box, axis=2)[:, :, 4], cls)
+        cls = np.where(lone, _middle(cls, 1), cls)
     return cls
 
 
@@ -107,7 +122,8 @@ def classify_volume(
 ) -> DataFrame:
     """(frame_id, y, x, sl3d) from rows (frame_id, y, x, z, dbz[, melting column]).
 
-    Cells closer to the grid edge than the box are 0.
+    Cells closer to the grid edge than the box are 0.  Rows that are missing count as
+    levels without echo; boxes are mirrored at the edge of the grid only.
     """
     melt = F.lit(float(melting_km)) if not isinstance(melting_km, str) else F.max(melting_km)
     km = np.asarray(heights_km, dtype=float)
@@ -117,7 +133,9 @@ def classify_volume(
     )
     packed = packed.select(
         "frame_id", "y", "x", "melt",
-        F.transform(F.sequence(F.lit(0), F.lit(nz - 1)), lambda z: F.element_at("_m", z)).alias("profile"),
+        F.transform(
+            F.sequence(F.lit(0), F.lit(nz - 1)), lambda z: F.coalesce(F.element_at("_m", z), F.lit(float("nan")))
+        ).alias("profile"),
     )
     schema = T.StructType(
         [*packed.schema.fields[:3], T.StructField("sl3d", T.IntegerType())]
@@ -126,8 +144,8 @@ def classify_volume(
     ny, nx = shape
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = Patch(pdf)
-        column = np.array([np.array([np.nan if q is None else q for q in row], dtype=float) for row in pdf["profile"]])
+        p = Patch(pdf, tile_box(pdf, tile, margin + 4, shape))
+        column = np.stack(pdf["profile"].to_numpy()).astype(float)
         v = np.stack([p.grid(column[:, k]) for k in range(nz)])
         cls = classify_columns(v, km, p.grid(pdf["melt"].to_numpy(float), 0.0), limits)
         return pdf[["frame_id", "y", "x"]].assign(sl3d=p.take(cls).astype(np.int32))

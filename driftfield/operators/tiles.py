@@ -35,6 +35,14 @@ def with_tiles(df: DataFrame, tile: int = TILE, halo: int = 0) -> DataFrame:
     return df.withColumn("_ty", F.explode(reach("y"))).withColumn("_tx", F.explode(reach("x")))
 
 
+def tile_box(pdf: pd.DataFrame, tile: int, halo: int, shape: tuple[int, int]) -> tuple[int, int, int, int]:
+    """(y0, x0, end y, end x) of a group's tile and halo inside the grid, whichever rows are present."""
+    at = [int(pdf[c].iat[0]) * tile for c in ("_ty", "_tx")]
+    low = [max(a - halo, 0) for a in at]
+    high = [min(a + tile + halo, n) for a, n in zip(at, shape, strict=True)]
+    return (*low, *high)
+
+
 def tile_apply(
     df: DataFrame,
     kernel: Callable[[pd.DataFrame], pd.DataFrame],

@@ -1,10 +1,7 @@
-"""Frame files: time from the file name, gridded contents where a reader is installed."""
+"""Frame files: time from the file name."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,38 +15,3 @@ def list_frames(spark: SparkSession, path: str, base: str, pattern: str, start=N
     )
     timed = files.withColumn("ts", name_time("path", base, pattern))
     return timed if start is None else timed.where(F.col("ts").between(start, end))
-
-
-def read_netcdf(files: DataFrame, variables: Sequence[str], time: str = "time", y: str = "lat", x: str = "lon") -> DataFrame:
-    """Long rows (ts, y, x, variables) of netCDF frames, one file per row of ``files``.
-
-    Needs xarray on the executors and paths they can open.
-    """
-    try:
-        import xarray  # noqa: F401
-    except ImportError as missing:
-        raise ImportError("netCDF input needs the xarray package") from missing
-    names = list(variables)
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-        import xarray as xr
-
-        for batch in batches:
-            for path in batch["path"]:
-                with xr.open_dataset(path.removeprefix("file:")) as ds:
-                    for step in range(ds.sizes[time]):
-                        frame = ds[names].isel({time: step})
-                        ny, nx = ds.sizes[y], ds.sizes[x]
-                        out = {
-                            "ts": pd.to_datetime(ds[time].values[step]),
-                            "y": np.repeat(np.arange(ny, dtype=np.int32), nx),
-                            "x": np.tile(np.arange(nx, dtype=np.int32), ny),
-                        }
-                        for v in names:
-                            out[v] = frame[v].transpose(y, x).values.astype(float).ravel()
-                        yield pd.DataFrame(out).dropna(how="all", subset=names)
-
-    schema = "ts timestamp, y int, x int, " + ", ".join(f"`{v}` double" for v in names)
-    rows = files.select("path").repartition("path").mapInPandas(load, schema)
-    return rows.withColumns({v: F.nanvl(v, F.lit(None)) for v in names})

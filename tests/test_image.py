@@ -197,3 +197,17 @@ def test_volume_classes_do_not_depend_on_tiles(spark):
     many = sl3d.classify_volume(df, heights, (N, N), 3.5, lim, tile=8).toPandas().sort_values(["y", "x"])
     assert (one.sl3d.to_numpy() == many.sl3d.to_numpy()).all()
     assert set(one.sl3d) > {0, 2}
+
+
+def test_volume_classes_do_not_depend_on_absent_rows(spark):
+    rng = np.random.default_rng(7)
+    v = np.full((8, N, N), np.nan)
+    v[:, 4:14, 5:15] = 15 + 40 * rng.random((8, 10, 10))
+    z, yy, xx = np.indices(v.shape).reshape(3, -1)
+    pdf = pd.DataFrame({"frame_id": 1, "y": yy.astype("int32"), "x": xx.astype("int32"), "z": z.astype("int32"), "dbz": v.ravel()})
+    df = spark.createDataFrame(pdf).withColumn("frame_id", F.col("frame_id").cast("long")).withColumn("dbz", F.nanvl("dbz", F.lit(None)))
+    heights, lim = [float(k) for k in range(1, 9)], sl3d.EchoLimits(box_px=2)
+    there = {(r.y, r.x): r.sl3d for r in sl3d.classify_volume(df, heights, (N, N), 3.5, lim, tile=64).collect()}
+    for tile in (64, 8):
+        bare = sl3d.classify_volume(df.where("dbz is not null"), heights, (N, N), 3.5, lim, tile=tile).collect()
+        assert len(bare) == 100 and all(there[r.y, r.x] == r.sl3d for r in bare)
