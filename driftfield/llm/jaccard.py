@@ -186,6 +186,12 @@ def prefixes(documents: DataFrame, levels: np.ndarray, size: int, percent: int,
     return documents.select(F.col(text)).mapInArrow(pick, "column long, digest long, n int")
 
 
+def shared_columns(rows: DataFrame, ws: Workspace) -> DataFrame:
+    """The rows of columns that more than one of them has: few, as most prefixes are of rare columns."""
+    common = rows.groupBy("column").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("column")
+    return ws.write(rows.join(common, "column").distinct(), "shared")
+
+
 def neighbours(rows: DataFrame, percent: int) -> DataFrame:
     """(digest, other): edges that connect all rows with a common column and sizes that allow a link.
 
@@ -356,7 +362,7 @@ def similar_components(
     )
 
     rows = ws.write(prefixes(documents, levels, size, percent, text), "prefixes")
-    families = connected_components(neighbours(rows, percent), ws, src="digest", dst="other")
+    families = connected_components(neighbours(shared_columns(rows, ws), percent), ws, src="digest", dst="other")
     families = families.select(F.col("node").alias("digest"), F.col("component").alias("family"))
     members = ws.write(families.join(classes.select("digest", "n", "copies"), "digest"), "families")
 
