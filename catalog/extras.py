@@ -104,7 +104,49 @@ def robust_by_radar(spark, sf):
     return systems.robust_by_radar(rows, 15.0, 2, 1, DT_H)
 
 
-@query("life_cycle")
+sql.fragment("life_stages", ("echo_extras", "core_features"), """
+lc AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT e.track_id, e.time_idx, e.pf_sfarea AS sf_area, c.core_area, c.core_axis,
+           max(e.time_idx) OVER t + 1 AS len, avg(e.pf_sfarea) OVER t AS mean_sf
+    FROM echo_extras e LEFT JOIN (
+      SELECT track_id, frame_id, max(pf_corearea) AS core_area, max(pf_coremajoraxis) AS core_axis FROM core_features GROUP BY 1, 2) c
+    USING (track_id, frame_id) WINDOW t AS (PARTITION BY e.track_id)) WHERE len * 1.0 >= 4),
+lc_flag AS (
+  SELECT 'cc' AS k, track_id, time_idx FROM lc WHERE core_area > 0
+  UNION ALL SELECT 'line', track_id, time_idx FROM lc WHERE core_axis > 20
+  UNION ALL SELECT 'sf', track_id, time_idx FROM lc WHERE core_axis > 20 AND sf_area > mean_sf),
+lc_island AS (
+  SELECT *, sum(opens) OVER (PARTITION BY k, track_id ORDER BY time_idx) AS island FROM (
+    SELECT *, CASE WHEN time_idx - lag(time_idx) OVER (PARTITION BY k, track_id ORDER BY time_idx) > 2 THEN 1 ELSE 0 END AS opens FROM lc_flag)),
+lc_run AS (
+  SELECT k, track_id, island, count(*) AS n, min(time_idx) AS a, max(time_idx) AS z, list(time_idx ORDER BY time_idx) AS times
+  FROM lc_island GROUP BY 1, 2, 3),
+lc_best AS MATERIALIZED (
+  SELECT k, track_id, a, z, CASE WHEN runs = 1 THEN range(a, z + 1) ELSE times END AS times FROM (
+    SELECT *, count(*) OVER (PARTITION BY k, track_id) AS runs,
+           row_number() OVER (PARTITION BY k, track_id ORDER BY n DESC, island) AS rn FROM lc_run) WHERE rn = 1),
+lc_all AS (
+  SELECT lc.*, cc.a AS cc_first, CASE WHEN len(li.times) > 1 THEN li.times[2] END AS second,
+         CASE WHEN len(li.times) > 1 THEN sf.z END AS sf_last,
+         CASE WHEN len(li.times) > 1 AND sf.a > li.times[2] + 2 THEN sf.a
+              WHEN len(li.times) > 1 AND list_contains(sf.times, li.times[2] + 2) THEN li.times[2] + 2 END AS mature
+  FROM lc JOIN lc_best cc ON cc.track_id = lc.track_id AND cc.k = 'cc'
+  LEFT JOIN lc_best li ON li.track_id = lc.track_id AND li.k = 'line' LEFT JOIN lc_best sf ON sf.track_id = lc.track_id AND sf.k = 'sf'),
+life_stages AS MATERIALIZED (
+  SELECT track_id, time_idx, CASE
+    WHEN sf_last < len - 1 AND time_idx > sf_last THEN 5
+    WHEN mature IS NOT NULL AND time_idx BETWEEN mature AND sf_last THEN 4
+    WHEN mature IS NOT NULL AND time_idx >= second AND time_idx < mature THEN 3
+    WHEN second > cc_first AND time_idx >= cc_first AND time_idx < second THEN 2
+    WHEN cc_first > 0 AND cc_first < len - 1 AND time_idx < cc_first THEN 1 END AS cycle_stage
+  FROM lc_all)
+""")
+
+
+@query("life_cycle", sql.query("life_stages", """
+SELECT track_id, time_idx, cycle_stage, CASE WHEN stages >= 4 THEN 1 END AS cycle_complete
+FROM life_stages JOIN (SELECT track_id, count(DISTINCT cycle_stage) AS stages FROM life_stages GROUP BY 1) USING (track_id)"""))
 def life_cycle(spark, sf):
     st = Stages(spark, sf)
     cores = core_rows(st).groupBy("track_id", "frame_id").agg(

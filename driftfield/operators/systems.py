@@ -247,7 +247,7 @@ def life_cycle(rows: DataFrame, min_hours: float, dt_h: float, line_km: float =
     ln = _longest_run(rows, line, "line")
     sf = _longest_run(rows, line & (F.col("sf_area") > F.col("_sf")), "sf")
     t = F.col("time_idx")
-    second = F.element_at("line_times", 2)
+    second = F.try_element_at("line_times", F.lit(2))
     has_line = F.size("line_times") > 1
     late = has_line & (F.col("sf_first") > second + 2)
     mature = F.when(late, F.col("sf_first")).when(
