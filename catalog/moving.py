@@ -149,8 +149,8 @@ def drift_series(spark, sf):
     return rounded(motion.smooth_advection(raw, PIXEL_KM, PIXEL_KM, STEP_S, 5).drop("speed"), 6)
 
 
-sql.fragment("drift_links", ("labels", "pairs"), f"""
-drift_table AS (SELECT frame_id, CAST(frame_id % 3 - 1 AS INTEGER) AS dy, CAST(frame_id % 2 AS INTEGER) AS dx FROM frames WHERE frame_id % 5 > 0),
+sql.fragment("drift_links", ("labels", "pairs", "drift"), f"""
+drift_table AS (SELECT frame_id, CAST(y AS INTEGER) AS dy, CAST(x AS INTEGER) AS dx FROM drift WHERE tile_y = 0 AND tile_x = 0),
 moved AS MATERIALIZED (
   SELECT * FROM (SELECT l.frame_id, l.y + coalesce(dy, 0) AS y, l.x + coalesce(dx, 0) AS x, feature_id
                  FROM labels l LEFT JOIN drift_table USING (frame_id))
@@ -162,10 +162,9 @@ moved AS MATERIALIZED (
 @query("link_overlap_drift", sql.query("drift_links", "SELECT * FROM drift_links"))
 def link_overlap_drift(spark, sf):
     st = Stages(spark, sf)
-    f = F.col("frame_id")
-    drift = st.frames().where(f % 5 > 0).select(
-        "frame_id", (f % 3 - 1).cast("int").alias("dy"), (f % 2).cast("int").alias("dx")
-    )
+    raw = st.keep("advection", lambda: advection(st))
+    moves = motion.smooth_advection(raw, PIXEL_KM, PIXEL_KM, STEP_S, 5).where("tile_y = 0 and tile_x = 0")
+    drift = moves.select("frame_id", F.col("y").cast("int").alias("dy"), F.col("x").cast("int").alias("dx"))
     return link.overlap_links(st.labels(), st.pairs(), 0.3, drift, (NY, NX))
 
 

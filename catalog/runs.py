@@ -70,6 +70,38 @@ def run_cell_tracking(spark, sf):
     )
 
 
+@query("run_cell_pixels")
+def run_cell_pixels(spark, sf):
+    """The cell run with advection: pixels with the track numbers of their cells."""
+    st = Stages(spark, sf)
+    opt = CellOptions(
+        **COMMON, othresh=OTHRESH, dx_m=1000.0, dy_m=1000.0, bkg_radius_m=3000.0, min_diff=10.0, abs_thresh=42.0,
+        core_dbz=46.0, weak_dbz=20.0, min_core_km2=2.0, expand_km=(1.0, 2.0), steps=dict(max_radius=2),
+        echo_tops=(20, 30, 40), advection=True, advect_dbz=25.0,
+    )
+    grid = st.grid().select(
+        "y", "x", "lat", "lon", "area_km2",
+        geo.semi_symmetric("x", NX).cast("double").alias("x_km"), geo.semi_symmetric("y", NY).cast("double").alias("y_km"),
+    ).withColumn("range_ok", geo.range_mask("x_km", "y_km", 8))
+    return st.keep(
+        "run_cell_pixels", lambda: cells.run_cells(volume(st).drop("d"), grid, _frames(st), st.ws, opt).pixels
+    )
+
+
+@query("run_convective_linked")
+def run_convective_linked(spark, sf):
+    """The cloud and rain run with clouds linked by their rain: the track series."""
+    st = Stages(spark, sf)
+    opt = ConvectiveOptions(
+        **COMMON, othresh=OTHRESH, cloud_area=200.0, min_core_npix=0, smooth_size=3, system_area=400.0, system_hours=3.0,
+        rain_min=3.0, rain_heavy=6.0, rain_area=100.0, link_rain=True, link_rain_min=4.0,
+    )
+    field = st.field().select("frame_id", "y", "x", "tb", "rain")
+    return rounded(
+        st.keep("run_linked", lambda: convective.run_convective(field, st.grid(), _frames(st), st.ws, opt).tracks.series)
+    )
+
+
 @query("mask_export", sql.query("pixel_tracks", """
 SELECT frame_id, y, x, cloudtracknumber AS mcs_mask, cloudmerge_tracknumber AS merge_mask, cloudsplit_tracknumber AS split_mask FROM pixel_tracks"""))
 def mask_export(spark, sf):

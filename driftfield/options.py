@@ -135,6 +135,9 @@ class ConvectiveOptions(TrackingOptions):
     rain_heavy: float = 10.0
     rain_area: float = 648.0
     keep_features: int | None = None
+    link_rain: bool = False
+    link_rain_min: float = 3.0
+    link_rain_npix: int = 1
     axis_min: float = 100.0
     axis_max: float = 1800.0
     rain_hours: float = 4.0
@@ -164,3 +167,7 @@ class CellOptions(TrackingOptions):
     echo_tops: tuple[int, ...] = (10, 20, 30, 40, 50)
     echotop_gap: int = 2
     sensitivity_dbz: float = 0.0
+    advection: bool = False
+    advect_dbz: float = 20.0
+    advect_max_speed: float = 60.0
+    advect_steps: int = 3

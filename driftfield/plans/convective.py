@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftfield.operators import clouds, link, mapback, motion, precip, smooth, stats, systems
+from driftfield.operators import clouds, label, link, mapback, motion, precip, smooth, stats, systems
 from driftfield.options import ConvectiveOptions
 from driftfield.plans.tracking import TrackTables, build_tracks
 from driftfield.workspace import Workspace
@@ -27,6 +27,23 @@ class ConvectiveResult:
     movement: DataFrame
 
 
+def link_by_rain(grown: DataFrame, ws: Workspace, opt: ConvectiveOptions) -> DataFrame:
+    """Clouds under one rain feature become one cloud; clouds are numbered by size again."""
+    at = ["frame_id", "y", "x"]
+    wet = grown.where(F.col("rain") > opt.link_rain_min).select(*at)
+    regions = ws.write(label.label_regions(wet, ws, tile=opt.tile, shape=opt.shape), "linking_rain")
+    numbers = label.renumber(regions, label.rank_regions(regions, opt.link_rain_npix))
+    rain = numbers.select(*at, F.col("feature_id").alias("pf_number"))
+    known = grown.join(rain, at, "left").withColumn("pf_number", F.coalesce("pf_number", F.lit(0)))
+    linked = clouds.link_rain_clouds(ws.write(known, "rain_numbered"), ws)
+    linked = ws.write(linked.select(*at, "pf_convcold_cloudnumber", "pf_cloudnumber"), "linked_clouds")
+    final, _ = label.renumber_pair(linked, "pf_convcold_cloudnumber", "pf_cloudnumber", min_npix=1)
+    final = final.select(
+        *at, F.col("pf_convcold_cloudnumber").alias("convcold_cloudnumber"), F.col("pf_cloudnumber").alias("cloudnumber")
+    )
+    return ws.write(grown.drop("convcold_cloudnumber", "cloudnumber").join(final, at), "rain_linked")
+
+
 def run_convective(
     field: DataFrame, grid: DataFrame, frames: DataFrame, ws: Workspace, opt: ConvectiveOptions
 ) -> ConvectiveResult:
@@ -40,6 +57,8 @@ def run_convective(
         ),
         "grown",
     )
+    if opt.link_rain:
+        grown = link_by_rain(grown, ws, opt)
     # tb and rain ride along with the clouds, so nothing joins back to the full field
     pixels = ws.write(
         grown.where("convcold_cloudnumber > 0")

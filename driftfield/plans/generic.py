@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -40,10 +41,20 @@ def identify(field: DataFrame, grid: DataFrame, ws: Workspace, opt: GenericOptio
 
 
 def run_generic(
-    field: DataFrame, grid: DataFrame, frames: DataFrame, ws: Workspace, opt: GenericOptions, value: str = "value"
+    field: DataFrame,
+    grid: DataFrame,
+    frames: DataFrame,
+    ws: Workspace,
+    opt: GenericOptions,
+    value: str = "value",
+    find: Callable[[DataFrame, DataFrame, Workspace, GenericOptions, str], tuple[DataFrame, DataFrame]] = identify,
 ) -> GenericResult:
-    """``field``: frame_id, y, x, value; ``grid``: y, x, lat, lon, area_km2; ``frames``: frame_id, epoch_s."""
-    labels, features = identify(field, grid, ws, opt, value)
+    """``field``: frame_id, y, x, value; ``grid``: y, x, lat, lon, area_km2; ``frames``: frame_id, epoch_s.
+
+    ``find`` returns (frame_id, y, x, feature_id) pixels and (frame_id, feature_id, npix) features;
+    any identification with that result can take the place of thresholds.
+    """
+    labels, features = find(field, grid, ws, opt, value)
     pixels = labels.join(grid.select("y", "x", "lat", "lon", "area_km2"), ["y", "x"])
     tracked = build_tracks(labels, features, frames, pixels, ws, opt, grid=grid)
     main = ws.write(systems.main_tracks(tracked.series, tracked.ends, opt.main_hours, opt.main_area, opt.dt_h), "main")
