@@ -91,11 +91,14 @@ def link_groups(links: DataFrame, ws: Workspace, othresh: float) -> tuple[DataFr
 
 
 def _closure(steps: DataFrame, ws: Workspace) -> DataFrame:
-    """Transitive closure of (ref_frame, a, b), growing by the newly found pairs only."""
+    """Transitive closure of (ref_frame, a, b).
+
+    New pairs are continued by all known ones, so the reach doubles per round.
+    """
     steps = ws.write(steps, "steps")
     known, fresh = steps, steps
-    onward = steps.select("ref_frame", F.col("a").alias("b"), F.col("b").alias("_next"))
     while not fresh.isEmpty():
+        onward = known.select("ref_frame", F.col("a").alias("b"), F.col("b").alias("_next"))
         step = (
             fresh.join(onward, ["ref_frame", "b"])
             .where("a != _next")
