@@ -14,15 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WINDOW = 48
-STRIDE = 36
+WINDOW = 32
+STRIDE = 26
 WIDTH = 32
-HIDDEN = 48
+HIDDEN = 32
 OWN_CLASSES = 896
 SHARED_CLASSES = 128
 GROUP = 32
 RATE = 1e-2
-STEP_WINDOWS = 12
+STEP_WINDOWS = 18
 SHAPES = (
     "embed", "place", "query", "key", "value", "mixed", "up", "up_bias", "down", "out", "out_bias", "leaf", "leaf_bias"
 )

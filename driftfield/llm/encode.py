@@ -104,17 +104,24 @@ class PieceEncoder:
 
     def spaced_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each) of " " + word for words without spaces."""
-        odd = np.array([not w or w[-1].isspace() for w in words], bool)
-        ids, sizes = self._spaced([w for w, o in zip(words, odd.tolist(), strict=True) if not o])
-        if not odd.any():
-            return ids, sizes
-        more, more_sizes = self._whole([" " + w for w, o in zip(words, odd.tolist(), strict=True) if o])
-        all_sizes = np.zeros(len(words), np.int64)
-        all_sizes[~odd], all_sizes[odd] = sizes, more_sizes
-        out = np.zeros(int(all_sizes.sum()), np.int32)
-        is_odd = np.repeat(odd, all_sizes)
-        out[~is_odd], out[is_odd] = ids, more
-        return out, all_sizes
+        if self.pieces.size > self.cache_pieces:
+            self.shrink()
+        # a leading NUL would mean a piece at the start of a text
+        named = [w if w[:1] != "\0" else None for w in words]
+        at = np.fromiter((-1 if w is None else self.pieces[w] for w in named), np.int64, len(words))
+        self._learn()
+        known = at >= 0
+        self.used[at[known]] += 1
+        sizes = np.zeros(len(words), np.int64)
+        sizes[known] = self.offset[at[known] + 1] - self.offset[at[known]]
+        if known.all():
+            return self._gathered(at), sizes
+        more, more_sizes = self._whole([" " + w for w, n in zip(words, named, strict=True) if n is None])
+        sizes[~known] = more_sizes
+        out = np.zeros(int(sizes.sum()), np.int32)
+        is_known = np.repeat(known, sizes)
+        out[is_known], out[~is_known] = self._gathered(at[known]), more
+        return out, sizes
 
     def _store(self, first: int, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Keep the ids of the pieces numbered from ``first`` on."""
@@ -203,10 +210,11 @@ def byte_lengths(tokenizer) -> np.ndarray:
     return out
 
 
-def encoder_for(path: str) -> PieceEncoder:
+def encoder_for(path: str, cache_pieces: int = CACHE_PIECES) -> PieceEncoder:
     """This worker's encoder of a tokenizer file."""
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
+    _encoders[path].cache_pieces = cache_pieces
     return _encoders[path]
 
 

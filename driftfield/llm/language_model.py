@@ -34,6 +34,10 @@ from driftfield.llm.words import mix, word_blocks
 from driftfield.workspace import Workspace
 
 BLOCK_BYTES = 12 << 20
+#: Words whose ids a worker remembers from block to block.
+REMEMBERED = 150_000
+#: Words of the documents that are looked at together.
+RUN_WORDS = 100_000
 ROUNDS = 2
 #: One in so many windows of each training document takes part in a round.
 WINDOW_SHARE = 128
@@ -66,7 +70,7 @@ def blocks(documents: DataFrame, held_out: Column, tokenizer: str, doc: str, tex
     )
 
     def block(number: int, parts: list[tuple[pa.Array, np.ndarray, pa.Array, pa.Array]]) -> pa.RecordBatch:
-        encoder = encoder_for(tokenizer)
+        encoder = encoder_for(tokenizer, REMEMBERED)
         words = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
         count = np.concatenate([p[1] for p in parts])
         docs, held = pa.concat_arrays([p[2] for p in parts]), pa.concat_arrays([p[3] for p in parts])
@@ -130,6 +134,17 @@ def _texts(counts: np.ndarray, numbers: np.ndarray, word_ids: np.ndarray, words:
     return np.insert(flat, np.cumsum(lengths), end), lengths + 1
 
 
+def _runs(counts: np.ndarray, most: int = RUN_WORDS) -> Iterator[tuple[int, int, int, int]]:
+    """(first, end document, first, end word) of runs of at most ``most`` words, or of one document."""
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(counts):
+        start = int(ends[at] - counts[at])
+        to = max(at + 1, int(np.searchsorted(ends, start + most, "right")))
+        yield at, to, start, int(ends[to - 1])
+        at = to
+
+
 def _averaged(models: DataFrame) -> np.ndarray | None:
     """Mean of the models of all tasks by their steps: in groups of tasks, then over the groups."""
 
@@ -162,15 +177,22 @@ def trained(
                 for row in batch.to_pylist():
                     held = np.asarray(row["held"], bool)
                     counts, numbers = _unzip(row["counts"], "<i4"), _unzip(row["numbers"], "<i4")
-                    ids, lengths = _texts(counts, numbers, _unzip(row["word_ids"], "<i4"), row["words"], end, ~held)
-                    doc, start = attention.window_starts(lengths)
-                    draw = mix((doc.astype(np.uint64) << np.uint64(24)) + (start // attention.STRIDE).astype(np.uint64) + np.uint64(turn << 60) + np.uint64(row["block"]))
-                    chosen = np.flatnonzero(draw % np.uint64(share) == 0)
-                    chosen = chosen[np.argsort(mix(draw[chosen]), kind="stable")]
-                    for k in range(0, len(chosen), attention.STEP_WINDOWS):
-                        part = chosen[k : k + attention.STEP_WINDOWS]
-                        x, y, asked = attention.windows(ids, lengths, classes, doc[part], start[part])
-                        trainer.step(x, classes.of[y], asked)
+                    word_ids, kept = _unzip(row["word_ids"], "<i4"), []
+                    for a, b, first, last in _runs(counts):
+                        ids, lengths = _texts(counts[a:b], numbers[first:last], word_ids, row["words"], end, ~held[a:b])
+                        doc, start = attention.window_starts(lengths)
+                        place = ((doc + a).astype(np.uint64) << np.uint64(24)) + (start // attention.STRIDE).astype(np.uint64)
+                        draw = mix(place + np.uint64(turn << 60) + np.uint64(row["block"]))
+                        chosen = np.flatnonzero(draw % np.uint64(share) == 0)
+                        if len(chosen):
+                            kept.append((draw[chosen], *attention.windows(ids, lengths, classes, doc[chosen], start[chosen])))
+                    if not kept:
+                        continue
+                    draw, x, y, asked = (np.concatenate(z) for z in zip(*kept, strict=True))
+                    order = np.argsort(mix(draw), kind="stable")
+                    for k in range(0, len(order), attention.STEP_WINDOWS):
+                        part = order[k : k + attention.STEP_WINDOWS]
+                        trainer.step(x[part], classes.of[y[part]], asked[part])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([TaskContext.get().partitionId()], pa.int32()),
@@ -237,7 +259,11 @@ def score_texts(
                 owner = np.repeat(np.arange(len(count)), count)
                 base = np.bincount(owner, np.log10(c + 1.0)[numbers], len(count)) + np.log10(texts + 1.0) - (count + 1) * norm
                 seen = np.bincount(owner, (c > 0)[numbers], len(count)).astype(np.int64) + (texts > 0)
-                ids, lengths = _texts(count, numbers, _unzip(row["word_ids"].as_py(), "<i4"), len(c), end_id, np.ones(len(count), bool))
+                word_ids, values, sizes = _unzip(row["word_ids"].as_py(), "<i4"), [np.zeros(0)], [np.zeros(0, np.int64)]
+                for a, b, first, last in _runs(count):
+                    ids, lengths = _texts(count[a:b], numbers[first:last], word_ids, len(c), end_id, np.ones(b - a, bool))
+                    values.append(attention.score(model, classes, ids, lengths))
+                    sizes.append(lengths)
                 yield pa.RecordBatch.from_arrays(
                     [
                         docs,
@@ -246,8 +272,8 @@ def score_texts(
                         pa.array(seen),
                         pa.array(np.full(len(count), tokens, np.int64)),
                         pa.array(base),
-                        pa.array(attention.score(model, classes, ids, lengths)),
-                        pa.array(lengths),
+                        pa.array(np.concatenate(values)),
+                        pa.array(np.concatenate(sizes)),
                     ],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_subwords"],
                 )
