@@ -115,7 +115,9 @@ def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     bad = labels.where("quality = 0").select("doc_id").distinct()
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    shorter = docs.join(toxic, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"^[^\n]*\n?", ""))
+    # counted for all documents and chosen afterwards, so only counts are shuffled, never texts
+    rest = events(docs.withColumn("text", F.regexp_replace("text", r"^[^\n]*\n?", "")), "revise", "rest")
+    shorter = rest.join(toxic, "doc_id", "left_semi")
     gone = docs.select("doc_id", "source", "lang").join(bad, "doc_id", "left_semi")
     gone = gone.withColumns({"tokens": F.lit(0).cast("long"), "op": F.lit("delete"), "seq": F.lit(0)})
     gone = gone.withColumn("version", F.explode(F.array(F.lit("words"), F.lit("byte_bpe_50k"))))
@@ -123,7 +125,7 @@ def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     loaded = events(docs, "insert", "loaded")
     rollup.apply("load", loaded)
     rollup.apply("bad quality", gone)
-    rollup.apply("toxic", events(shorter, "revise", "shorter"))
+    rollup.apply("toxic", shorter)
     rollup.apply("load", loaded)
     return rollup.totals()
 
