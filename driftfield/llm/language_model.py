@@ -6,9 +6,10 @@ A text is its words in lower case (A-Z only), joined by single spaces, then an e
    their subword ids, their counts in training documents, and the texts as word numbers.
 2. Words of all blocks meet their total count in one shuffle by word; a word has one row per
    block, however often it occurs.  Subword counts of all training documents give the classes.
-3. The model is trained where the blocks are: a task takes steps on a share of the windows of
-   every training document in its blocks, starting from the same model; the results are averaged (in
-   groups first) and the next round starts from the average.
+3. The model is trained where the blocks are: a task takes steps on the windows of every training
+   document in its blocks, starting from the same model; the results are averaged (in groups first)
+   and the next round starts from the average.  Windows are dealt over the rounds by their hash, so
+   each of them enters one step of one round.
 4. Blocks are joined with their words' totals and scored: sums of log counts for the base, and
    batches of overlapping windows for the model.
 
@@ -39,10 +40,12 @@ REMEMBERED = 150_000
 #: Words of the documents that are looked at together.
 RUN_WORDS = 100_000
 ROUNDS = 2
-#: One in so many windows of each training document takes part in a round.
-WINDOW_SHARE = 128
+#: One in so many windows of the training documents takes part, in one of the rounds.
+WINDOW_SHARE = 1
 #: Windows one task learns from in a round; more of them need more tasks.
 TASK_WINDOWS = 12_000
+#: Windows a task holds and shuffles before it takes steps on them.
+HELD_WINDOWS = 1 << 15
 
 _BLOCK = (
     "block long, docs array<long>, held array<boolean>, counts binary, numbers binary, word_ids binary, "
@@ -165,7 +168,7 @@ def trained(
 ) -> dict[str, np.ndarray]:
     """The model after all rounds; ``subwords`` tells how many training documents have."""
     spark = stage.sparkSession
-    tasks = max(1, round(subwords / attention.STRIDE / share / TASK_WINDOWS))
+    tasks = max(1, round(subwords / attention.STRIDE / share / rounds / TASK_WINDOWS))
     model = attention.fresh(classes)
     for turn in range(rounds):
         given = spark.sparkContext.broadcast((attention.packed(model), classes))
@@ -173,26 +176,34 @@ def trained(
         def learn(batches: Iterator[pa.RecordBatch], given=given, turn=turn) -> Iterator[pa.RecordBatch]:
             flat, classes = given.value
             trainer = attention.Trainer(attention.unpacked(flat, attention.fresh(classes)), attention.RATE / (1 + 2 * turn))
+
+            def take_steps(kept: list) -> None:
+                draw, x, y, asked = (np.concatenate(z) for z in zip(*kept, strict=True))
+                order = np.argsort(mix(draw), kind="stable")
+                for k in range(0, len(order), attention.STEP_WINDOWS):
+                    part = order[k : k + attention.STEP_WINDOWS]
+                    trainer.step(x[part], classes.of[y[part]], asked[part])
+
             for batch in batches:
                 for row in batch.to_pylist():
                     held = np.asarray(row["held"], bool)
                     counts, numbers = _unzip(row["counts"], "<i4"), _unzip(row["numbers"], "<i4")
-                    word_ids, kept = _unzip(row["word_ids"], "<i4"), []
+                    word_ids, kept, count = _unzip(row["word_ids"], "<i4"), [], 0
                     for a, b, first, last in _runs(counts):
                         ids, lengths = _texts(counts[a:b], numbers[first:last], word_ids, row["words"], end, ~held[a:b])
                         doc, start = attention.window_starts(lengths)
                         place = ((doc + a).astype(np.uint64) << np.uint64(24)) + (start // attention.STRIDE).astype(np.uint64)
-                        draw = mix(place + np.uint64(turn << 60) + np.uint64(row["block"]))
-                        chosen = np.flatnonzero(draw % np.uint64(share) == 0)
-                        if len(chosen):
-                            kept.append((draw[chosen], *attention.windows(ids, lengths, classes, doc[chosen], start[chosen])))
-                    if not kept:
-                        continue
-                    draw, x, y, asked = (np.concatenate(z) for z in zip(*kept, strict=True))
-                    order = np.argsort(mix(draw), kind="stable")
-                    for k in range(0, len(order), attention.STEP_WINDOWS):
-                        part = order[k : k + attention.STEP_WINDOWS]
-                        trainer.step(x[part], classes.of[y[part]], asked[part])
+                        draw = mix(place + np.uint64(row["block"]))
+                        chosen = np.flatnonzero(draw % np.uint64(share * rounds) == turn)
+                        for k in range(0, len(chosen), HELD_WINDOWS):
+                            some = chosen[k : k + HELD_WINDOWS]
+                            kept.append((draw[some], *attention.windows(ids, lengths, classes, doc[some], start[some])))
+                            count += len(some)
+                            if count >= HELD_WINDOWS:
+                                take_steps(kept)
+                                kept, count = [], 0
+                    if kept:
+                        take_steps(kept)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([TaskContext.get().partitionId()], pa.int32()),

@@ -109,6 +109,65 @@ def test_training_helps_on_held_out_texts(spark, ws):
     assert attention.score(model, own, ids, lengths[some]).sum() > 0.9 * attention.score(attention.fresh(own), own, ids, lengths[some]).sum()
 
 
+def first_counts(stage):
+    counts = np.zeros(50257, np.int64)
+    for r in stage.select(F.explode(F.arrays_zip("id", "id_train")).alias("p")).groupBy("p.id").agg(F.sum("p.id_train").alias("n")).collect():
+        counts[r.id] = r.n
+    return counts
+
+
+def test_every_training_window_enters_one_step(spark, ws, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    stage = ws.write(language_model.blocks(df, F.col("doc_id") % 5 == 0, PATH, "doc_id", "text"), "blocks")
+    counts = first_counts(stage)
+    counts[END] += df.where("doc_id % 5 != 0").count()
+    own, asked_for, held = attention.Classes.from_counts(counts), [], []
+
+    class Recorder(attention.Trainer):
+        def step(self, x, y, asked):
+            asked_for.append(np.bincount(y[asked], minlength=own.size))
+            self.steps += 1
+
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = staticmethod(lambda: 0)
+
+    class Here:
+        """The stage, with the learning done in this process."""
+
+        sparkSession = spark
+        select = coalesce = lambda self, *a: self
+
+        def mapInArrow(self, learn, schema):
+            columns = ["block", "held", "counts", "numbers", "word_ids", F.size("words").alias("words")]
+            return list(learn(iter(stage.select(*columns).toArrow().to_batches())))
+
+    def steps_of(rounds):
+        held.append(sum(b.column(1)[0].as_py() for b in rounds))
+
+    monkeypatch.setattr(attention, "Trainer", Recorder)
+    monkeypatch.setattr(language_model, "TaskContext", Task)
+    monkeypatch.setattr(language_model, "_averaged", steps_of)
+    monkeypatch.setattr(language_model, "HELD_WINDOWS", 500, raising=False)  # several fills, and a rest
+    language_model.trained(Here(), own, END, int(counts.sum()))
+    assert len(held) > 1 and all(held)
+    assert np.array_equal(sum(asked_for), np.bincount(own.of, counts, own.size))  # each training token, once
+
+
+def test_production_training_helps_on_held_out_texts(spark, ws):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    stage = ws.write(language_model.blocks(df, held, PATH, "doc_id", "text"), "blocks")
+    counts = first_counts(stage)
+    own = attention.Classes.from_counts(counts)
+    model = language_model.trained(stage, own, END, int(counts.sum()))
+    row = stage.select("counts", "numbers", "word_ids", F.size("words").alias("words"), "held").first()
+    ids, lengths = language_model._texts(
+        *(language_model._unzip(bytes(row[c]), "<i4") for c in ("counts", "numbers", "word_ids")), row.words, END, np.asarray(row.held)
+    )
+    assert attention.score(model, own, ids, lengths).sum() > 0.8 * attention.score(attention.fresh(own), own, ids, lengths).sum()
+
+
 def test_nothing(spark, ws):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert language_model.score_texts(empty, ws, PATH, F.lit(False), END).count() == 0
