@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WINDOW = 32
-STRIDE = 26
+WINDOW = 64
+STRIDE = 48
 WIDTH = 32
-HIDDEN = 32
+HIDDEN = 48
 OWN_CLASSES = 896
 SHARED_CLASSES = 128
 GROUP = 32

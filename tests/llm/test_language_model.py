@@ -66,6 +66,12 @@ def test_every_token_is_scored_once(classes):
     assert np.isclose(whole[-1], alone[0]) and whole[1] == 0
 
 
+def test_tokens_of_later_windows_see_enough_before_them(classes):
+    doc, start = attention.window_starts(np.array([500]))
+    _, _, asked = attention.windows(np.arange(500), np.array([500]), classes, doc, start)
+    assert asked[1:].argmax(axis=1).min() >= 16
+
+
 def words(text):
     return re.findall(r"[^ \t\n\v\f\r]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
