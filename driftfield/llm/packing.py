@@ -1,13 +1,13 @@
 """Best-fit packing of documents into sequences of a fixed capacity.
 
-Bulk-synchronous best fit.  Documents are range-sorted by length, gaps by size.  Each
-round takes the documents of one length, longest first, and sweeps the gaps upward from
-the smallest that still holds that length; where several documents want a gap, they get
-the gaps of the sweep in order of their rank.  Gaps are updated, so shorter documents of
-a later round find what is left; documents no gap can take open new sequences.
+Best fit decreasing over a histogram, on the driver, in place of distributed successor sweeps:
+Spark counts the documents of each length and ranks them within it, one sequential loop on
+the driver matches the counts to gaps, and Spark joins the documents to the result.  The loop
+takes the lengths from the longest down and fills the gaps upward from the smallest that
+still holds a length; documents no gap can take open new sequences.
 
 Documents of one length are interchangeable, and so are sequences with one history.
-Rounds therefore work on runs of ranks (at most a few for each length and gap, however
+The loop therefore works on runs of ranks (at most a few for each length and gap, however
 many documents there are), and the documents meet their runs in a single join by length
 and rank.  Counts per length are combined before the shuffle; ranks within a length come
 from bucket counts, so a length that a third of all rows share is spread over tasks.
