@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftfield.llm import bitplanes, chunk_bpe, factorization, importance, jaccard, language_model, maxscore, merkle, packing, token_rollup
+from driftfield.llm import bitplanes, chunk_bpe, factorization, hard_negatives, importance, jaccard, language_model, maxscore, merkle
+from driftfield.llm import packing, token_rollup
 from driftfield.workspace import workspace_for
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -136,3 +137,13 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = ws.folder("tokens")
     manifest = bitplanes.write_token_files(documents(spark, sf_dir), root, public_tokenizers.path(BYTE_BPE), end_id=2)
     return bitplanes.read_token_files(ws.write(manifest, "manifest"), root)
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hard_negatives.mine(vectors, workspace_for(spark), every=50, positives=5, negatives=3, scale=256.0, label=label)
+
+
+ORACLES["op13_hard_negatives"] = hard_negatives.ORACLE
