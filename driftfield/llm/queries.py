@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftfield.llm import bitplanes, chunk_bpe, factorization, hard_negatives, importance, jaccard, language_model, maxscore, merkle
-from driftfield.llm import packing, token_rollup
+from driftfield.llm import bitplanes, chunk_bpe, factorization, hard_negatives, importance, jaccard, language_model
+from driftfield.llm import manifest, maxscore, merkle, packing, token_rollup
 from driftfield.workspace import workspace_for
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -139,6 +139,15 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_token_files(ws.write(manifest, "manifest"), root)
 
 
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return manifest.audit_documents(docs, remainder("doc_id", 7) == 0, workspace_for(spark))
+
+
+ORACLES["op12_merkle_manifest"] = manifest.ORACLE
+
+
 @query
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
