@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftfield.llm import bitplanes, chunk_bpe, factorization, hard_negatives, importance, jaccard, language_model
-from driftfield.llm import manifest, maxscore, merkle, packing, token_rollup
+from driftfield.llm import manifest, maxscore, merkle, packing, simhash, token_rollup
 from driftfield.workspace import workspace_for
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -139,6 +139,11 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_token_files(ws.write(manifest, "manifest"), root)
 
 
+@query
+def op11_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(documents(spark, sf_dir), workspace_for(spark))
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
