@@ -8,7 +8,7 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("tracking", "statistics", "rain", "radar", "moving", "climatology", "grids", "clouds", "extras", "runs")
+MODULES = ("tracking", "statistics", "rain", "radar", "moving", "climatology", "grids", "clouds", "periodic", "extras", "runs")
 
 
 def query(name: str, oracle: str | None = None):

@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 from driftfield.functions import physics
 from driftfield.operators import image, label
 from driftfield.operators.components import connected_components
+from driftfield.operators.tiles import Wrap
 from driftfield.workspace import Workspace
 
 PIXEL = ["frame_id", "y", "x"]
 
 
-def _ranked_labels(px: DataFrame, ws: Workspace, shape, tile: int, **limits) -> DataFrame:
-    regions = ws.write(label.label_regions(px, ws, shape=shape, tile=tile), "cloud_regions")
+def _regions(px: DataFrame, ws: Workspace, shape, tile: int, wrap: Wrap | None, name: str) -> DataFrame:
+    return ws.write(label.label_regions(px, ws, shape=shape, tile=tile, wrap=wrap), name)
+
+
+def _ranked_labels(px: DataFrame, ws: Workspace, shape, tile: int, wrap: Wrap | None, **limits) -> DataFrame:
+    regions = _regions(px, ws, shape, tile, wrap, "cloud_regions")
     return label.renumber(regions, label.rank_regions(regions, **limits)).select(*PIXEL, "feature_id")
 
 
@@ -31,6 +36,7 @@ def grow_cold_clouds(
     area_col: str = "area_km2",
     tile: int = image.TILE,
     carry: tuple[str, ...] = (),
+    wrap: Wrap | None = None,
 ) -> DataFrame:
     """Clouds grown from cold cores of the smoothed temperature, plus isolated cold areas.
 
@@ -38,17 +44,17 @@ def grow_cold_clouds(
     Thresholds are core, cold, warm and cloud.  A frame without any core keeps
     its cold areas instead.  Result: cloudtype, convcold_cloudnumber (core and
     cold part) and cloudnumber (with the warm part); 0 where there is no cloud.
-    Columns in ``carry`` are kept.
+    Columns in ``carry`` are kept.  ``wrap`` tells which edges of the grid meet.
     """
     core_t, cold_t, warm_t, cloud_t = thresholds
     tb = F.col("tb")
     kept = dict.fromkeys([*PIXEL, "tb", area_col, *carry])
     base = df.select(*kept).withColumn("cloudtype", physics.cloud_type("tb", core_t, cold_t, warm_t, cloud_t))
     base = ws.write(base, "cloud_pixels")
-    smooth = image.smooth_box(base.select(*PIXEL, "tb"), "tb", smooth_size, shape, tile=tile)
+    smooth = image.smooth_box(base.select(*PIXEL, "tb"), "tb", smooth_size, shape, tile=tile, wrap=wrap)
     cores_px = ws.write(smooth.where(F.col("smooth") < core_t).select(*PIXEL), "core_pixels")
     cored = cores_px.select("frame_id").distinct().withColumn("_cored", F.lit(True))
-    cores = ws.write(_ranked_labels(cores_px, ws, shape, tile, min_npix=min_core_npix), "cores")
+    cores = ws.write(_ranked_labels(cores_px, ws, shape, tile, wrap, min_npix=min_core_npix), "cores")
 
     state = (
         base.join(cored, "frame_id", "left")
@@ -57,7 +63,7 @@ def grow_cold_clouds(
         .withColumn("_open", tb <= cold_t)
         .withColumn("seed", F.when(F.col("_open"), F.col("core_id")).otherwise(0))
     )
-    grown = image.grow_labels(state.select(*PIXEL, "_open", "seed"), ws, "seed", "_open", "vote", tile)
+    grown = image.grow_labels(state.select(*PIXEL, "_open", "seed"), ws, "seed", "_open", "vote", tile, wrap=wrap)
     state = ws.write(
         state.drop("seed").join(grown.select(*PIXEL, "seed"), PIXEL)
         .withColumn("number", F.when(F.col("_open"), F.col("seed")).otherwise(F.col("core_id")))
@@ -66,7 +72,7 @@ def grow_cold_clouds(
     )
 
     left_over = state.where(F.col("_cored") & (F.col("number") == 0) & (tb < cold_t))
-    isolated = _ranked_labels(left_over.select(*PIXEL, area_col), ws, shape, tile, min_area=min_area, area_col=area_col)
+    isolated = _ranked_labels(left_over.select(*PIXEL, area_col), ws, shape, tile, wrap, min_area=min_area, area_col=area_col)
     ncores = cores.groupBy("frame_id").agg(F.max("feature_id").alias("_n"))
     isolated = isolated.join(ncores, "frame_id", "left").select(
         *PIXEL, (F.col("feature_id") + F.coalesce("_n", F.lit(0))).alias("region")
@@ -76,7 +82,7 @@ def grow_cold_clouds(
     first = label.renumber(with_core, label.rank_regions(with_core))
 
     plain = state.where(F.col("_cored").isNull() & (F.col("cloudtype") == physics.COLD))
-    regions = ws.write(label.label_regions(plain.select(*PIXEL, area_col), ws, shape=shape, tile=tile), "plain_regions")
+    regions = _regions(plain.select(*PIXEL, area_col), ws, shape, tile, wrap, "plain_regions")
     big = regions.groupBy("frame_id", "region").agg(F.sum(area_col).alias("_a")).where(F.col("_a") >= min_area)
     large = regions.join(big.select("frame_id", "region"), ["frame_id", "region"], "left_semi").select(*PIXEL, "region")
     second = label.renumber(large, label.rank_regions(large))
@@ -90,13 +96,15 @@ def grow_cold_clouds(
     )
     if not warm_expansion:
         return out
-    return expand_warm(ws.write(out, "clouds"), ws, warm_t, tile)
+    return expand_warm(ws.write(out, "clouds"), ws, warm_t, tile, wrap)
 
 
-def expand_warm(clouds: DataFrame, ws: Workspace, warm_t: float, tile: int = image.TILE) -> DataFrame:
+def expand_warm(
+    clouds: DataFrame, ws: Workspace, warm_t: float, tile: int = image.TILE, wrap: Wrap | None = None
+) -> DataFrame:
     """Grow cloudnumber ring by ring into pixels warmer than the cloud but below the warm limit."""
     px = clouds.select(*PIXEL, "cloudnumber", (F.col("tb") < warm_t).alias("_open"))
-    warm = image.grow_labels(px, ws, "cloudnumber", "_open", "first", tile)
+    warm = image.grow_labels(px, ws, "cloudnumber", "_open", "first", tile, wrap=wrap)
     return clouds.drop("cloudnumber").join(warm.select(*PIXEL, "cloudnumber"), PIXEL)
 
 
@@ -109,6 +117,7 @@ def detect_and_spread(
     warm_expansion: bool = True,
     area_col: str = "area_km2",
     tile: int = image.TILE,
+    wrap: Wrap | None = None,
 ) -> DataFrame:
     """Cold areas above the size limit, numbered by size, optionally spread into warm cloud."""
     core_t, cold_t, warm_t, cloud_t = thresholds
@@ -117,13 +126,13 @@ def detect_and_spread(
         "cloud_pixels",
     )
     cold = base.where(F.col("tb") < cold_t).select(*PIXEL, area_col)
-    numbers = _ranked_labels(cold, ws, shape, tile, min_area=min_area, area_col=area_col)
+    numbers = _ranked_labels(cold, ws, shape, tile, wrap, min_area=min_area, area_col=area_col)
     out = (
         base.join(numbers.withColumnRenamed("feature_id", "convcold_cloudnumber"), PIXEL, "left")
         .withColumn("convcold_cloudnumber", F.coalesce("convcold_cloudnumber", F.lit(0)))
         .withColumn("cloudnumber", F.col("convcold_cloudnumber"))
     )
-    return expand_warm(ws.write(out, "clouds"), ws, warm_t, tile) if warm_expansion else out
+    return expand_warm(ws.write(out, "clouds"), ws, warm_t, tile, wrap) if warm_expansion else out
 
 
 def cloud_counts(clouds: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftfield.functions import physics
 from driftfield.operators import image, label
+from driftfield.operators.tiles import Wrap
 from driftfield.workspace import Workspace
 
 NO_SURF_ECHO, WEAK_ECHO, STRATIFORM, CONVECTIVE = 1, 2, 3, 4
@@ -38,6 +39,7 @@ def classify_echo(
     min_cell_km2: float | None = None,
     shape: tuple[int, int] | None = None,
     tile: int = image.TILE,
+    wrap: Wrap | None = None,
 ) -> DataFrame:
     """Adds background, peakedness, core, conv_mask (dilated core) and echo_class.
 
@@ -46,7 +48,7 @@ def classify_echo(
     """
     pixel_km2 = dx_m * dy_m / 1e6
     v, bkg = F.col(dbz), F.col("background")
-    df = image.background_mean(df, dbz, bkg_radius_m, dx_m, dy_m, tile=tile)
+    df = image.background_mean(df, dbz, bkg_radius_m, dx_m, dy_m, tile=tile, wrap=wrap)
     df = df.withColumn("peakedness", physics.peakedness_limit("background", min_diff, abs_thresh))
     is_core = (v >= core_dbz) | (v - bkg >= F.col("peakedness"))
     base = (
@@ -65,8 +67,8 @@ def classify_echo(
         }
     )
     if min_core_km2 is not None:
-        df = _drop_small(df, ws, "core", int(min_core_km2 / pixel_km2), shape, tile)
-    df = image.dilate_cores(df, "core", "conv_radius", max(radii), dx_m, dy_m, "conv_mask", tile)
+        df = _drop_small(df, ws, "core", int(min_core_km2 / pixel_km2), shape, tile, wrap)
+    df = image.dilate_cores(df, "core", "conv_radius", max(radii), dx_m, dy_m, "conv_mask", tile, wrap)
     df = df.withColumns(
         {
             "conv_mask": F.when(v.isNotNull(), F.col("conv_mask")).otherwise(F.col("core")),
@@ -75,15 +77,15 @@ def classify_echo(
         }
     )
     if min_cell_km2 is not None:
-        df = _drop_small(df, ws, "conv_mask", int(min_cell_km2 / pixel_km2), shape, tile)
+        df = _drop_small(df, ws, "conv_mask", int(min_cell_km2 / pixel_km2), shape, tile, wrap)
     return df.drop("conv_radius")
 
 
-def _drop_small(df: DataFrame, ws: Workspace, flag: str, min_npix: int, shape, tile: int) -> DataFrame:
+def _drop_small(df: DataFrame, ws: Workspace, flag: str, min_npix: int, shape, tile: int, wrap: Wrap | None) -> DataFrame:
     """Clear the flag of regions with fewer than ``min_npix`` pixels."""
     df = ws.write(df, "echo")
     px = df.where(F.col(flag) == 1).select("frame_id", "y", "x")
-    regions = ws.write(label.label_regions(px, ws, shape=shape, tile=tile), "echo_regions")
+    regions = ws.write(label.label_regions(px, ws, shape=shape, tile=tile, wrap=wrap), "echo_regions")
     small = regions.groupBy("frame_id", "region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < min_npix)
     gone = regions.join(small, ["frame_id", "region"], "left_semi").select(
         "frame_id", "y", "x", F.lit(True).alias("_gone")
@@ -96,10 +98,11 @@ def _drop_small(df: DataFrame, ws: Workspace, flag: str, min_npix: int, shape, t
 
 
 def number_cores(
-    df: DataFrame, ws: Workspace, flag: str, min_npix: float, shape=None, tile: int = image.TILE, out: str = "core_id"
+    df: DataFrame, ws: Workspace, flag: str, min_npix: float, shape=None, tile: int = image.TILE, out: str = "core_id",
+    wrap: Wrap | None = None,
 ) -> DataFrame:
     """Size-ranked numbers of the flagged regions above ``min_npix`` pixels (strict), 0 elsewhere."""
     px = df.where(F.col(flag) == 1).select("frame_id", "y", "x")
-    regions = ws.write(label.label_regions(px, ws, shape=shape, tile=tile), "core_regions")
+    regions = ws.write(label.label_regions(px, ws, shape=shape, tile=tile, wrap=wrap), "core_regions")
     numbered = label.renumber(regions, label.rank_regions(regions, min_npix)).withColumnRenamed("feature_id", out)
     return df.join(numbered, ["frame_id", "y", "x"], "left").withColumn(out, F.coalesce(out, F.lit(0)))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftfield.operators.tiles import TILE, tile_apply
+from driftfield.operators.tiles import TILE, Wrap, tile_apply
 from driftfield.workspace import Workspace
 
 REACH = 32
@@ -98,23 +98,25 @@ def box_weights(size: int) -> np.ndarray:
 
 
 def smooth_box(
-    df: DataFrame, value: str, size: int, shape: tuple[int, int], out: str = "smooth", tile: int = TILE
+    df: DataFrame, value: str, size: int, shape: tuple[int, int], out: str = "smooth", tile: int = TILE,
+    wrap: Wrap | None = None,
 ) -> DataFrame:
-    """Mean over a box, missing neighbours left out, the grid edge repeated outward.
+    """Mean over a box, missing neighbours left out, the grid edge repeated outward (or going on, where it is periodic).
 
     Pixels that are missing themselves stay missing.
     """
     weights = box_weights(size)
     r = len(weights) // 2
     ny, nx = shape
+    open_y, open_x = (True, True) if wrap is None else (not wrap.y, not wrap.x)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         p = Patch(pdf)
         v = p.grid(pdf[value].to_numpy(float))
         # repeat the outermost grid rows and columns where this tile touches them
         pads = [
-            (r if p.y0 == 0 else 0, r if p.y0 + p.shape[0] == ny else 0),
-            (r if p.x0 == 0 else 0, r if p.x0 + p.shape[1] == nx else 0),
+            (r if open_y and p.y0 == 0 else 0, r if open_y and p.y0 + p.shape[0] == ny else 0),
+            (r if open_x and p.x0 == 0 else 0, r if open_x and p.x0 + p.shape[1] == nx else 0),
         ]
         v = np.pad(v, pads, mode="edge")
         good = np.isfinite(v)
@@ -129,13 +131,14 @@ def smooth_box(
         return pdf[cols].assign(**{out: mean})
 
     cols = df.columns
-    return tile_apply(df, kernel, _schema(df, (out, T.DoubleType())), tile, halo=r).withColumn(
+    return tile_apply(df, kernel, _schema(df, (out, T.DoubleType())), tile, halo=r, wrap=wrap).withColumn(
         out, F.nanvl(out, F.lit(None))
     )
 
 
 def fill_median(
-    df: DataFrame, value: str, size: int, tile: int = TILE, shape: tuple[int, int] | None = None
+    df: DataFrame, value: str, size: int, tile: int = TILE, shape: tuple[int, int] | None = None,
+    wrap: Wrap | None = None,
 ) -> DataFrame:
     """Replace missing values by the median of their box.
 
@@ -149,7 +152,8 @@ def fill_median(
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         p = Patch(pdf)
         v = np.pad(p.grid(pdf[value].to_numpy(float)), r, constant_values=0.0 if shape is None else np.nan)
-        for axis, first in ((0, p.y0), (1, p.x0)) if shape is not None else ():
+        ends = [] if shape is None else [(a, f) for a, f in ((0, p.y0), (1, p.x0)) if wrap is None or not (wrap.y, wrap.x)[a]]
+        for axis, first in ends:
             at = np.arange(first - r, first - r + v.shape[axis])
             np.moveaxis(v, axis, 0)[(at < 0) | (at >= shape[axis])] = 0.0
         own = pdf[value].to_numpy(float)
@@ -161,14 +165,15 @@ def fill_median(
             own[gaps] = flat[:, flat.shape[1] // 2]  # missing values sort last
         return pdf[cols].assign(**{value: own})
 
-    return tile_apply(df, kernel, df.schema, tile, halo=r).withColumn(value, F.nanvl(value, F.lit(None)))
+    return tile_apply(df, kernel, df.schema, tile, halo=r, wrap=wrap).withColumn(value, F.nanvl(value, F.lit(None)))
 
 
 # -- convective classification ------------------------------------------------------
 
 
 def background_mean(
-    df: DataFrame, dbz: str, radius_m: float, dx_m: float, dy_m: float, out: str = "background", tile: int = TILE
+    df: DataFrame, dbz: str, radius_m: float, dx_m: float, dy_m: float, out: str = "background", tile: int = TILE,
+    wrap: Wrap | None = None,
 ) -> DataFrame:
     """Mean reflectivity (in linear units) of the valid pixels within a radius."""
     ry, rx = radius_m / dy_m, radius_m / dx_m
@@ -186,12 +191,14 @@ def background_mean(
         return pdf[cols].assign(**{out: p.take(mean)})
 
     halo = int(max(ry, rx)) + 1
-    return tile_apply(df, kernel, _schema(df, (out, T.DoubleType())), tile, halo).withColumn(
+    return tile_apply(df, kernel, _schema(df, (out, T.DoubleType())), tile, halo, wrap=wrap).withColumn(
         out, F.nanvl(out, F.lit(None))
     )
 
 
-def box_mean_linear(df: DataFrame, dbz: str, size: int, out: str, tile: int = TILE) -> DataFrame:
+def box_mean_linear(
+    df: DataFrame, dbz: str, size: int, out: str, tile: int = TILE, wrap: Wrap | None = None
+) -> DataFrame:
     """Moving box mean of reflectivity in linear units over valid pixels."""
     r = size // 2
     spans = [(dy, r) for dy in range(-r, r + 1)]
@@ -207,12 +214,12 @@ def box_mean_linear(df: DataFrame, dbz: str, size: int, out: str, tile: int = TI
             mean = np.where(good, 10.0 * np.log10(total / np.round(n)), np.nan)
         return pdf[cols].assign(**{out: p.take(mean)})
 
-    return tile_apply(df, kernel, _schema(df, (out, T.DoubleType())), tile, halo=r + 1)
+    return tile_apply(df, kernel, _schema(df, (out, T.DoubleType())), tile, halo=r + 1, wrap=wrap)
 
 
 def dilate_cores(
     df: DataFrame, core: str, radius_km: str, max_radius_km: float, dx_m: float, dy_m: float,
-    out: str = "dilated", tile: int = TILE,
+    out: str = "dilated", tile: int = TILE, wrap: Wrap | None = None,
 ) -> DataFrame:
     """1 where a core pixel lies within that core's own radius, else 0."""
     cols = df.columns
@@ -229,12 +236,12 @@ def dilate_cores(
         return pdf[cols].assign(**{out: p.take(hit).astype(np.int32)})
 
     halo = int(max_radius_km * 1000 / min(dx_m, dy_m)) + 1
-    return tile_apply(df, kernel, _schema(df, (out, T.IntegerType())), tile, halo)
+    return tile_apply(df, kernel, _schema(df, (out, T.IntegerType())), tile, halo, wrap=wrap)
 
 
 def expand_cores(
     df: DataFrame, label: str, radii_km: Sequence[float], dx_m: float, dy_m: float,
-    out: str = "cell", tile: int = TILE, nearest: bool = False,
+    out: str = "cell", tile: int = TILE, nearest: bool = False, wrap: Wrap | None = None,
 ) -> DataFrame:
     """Grow numbered cores outward radius by radius; the smallest number wins a contested pixel.
 
@@ -261,7 +268,7 @@ def expand_cores(
         return pdf[cols].assign(**{out: p.take(cell).astype(np.int32)})
 
     halo = int(max(radii_km) * 1000 / min(dx_m, dy_m)) + 1
-    return tile_apply(df, kernel, _schema(df, (out, T.IntegerType())), tile, halo)
+    return tile_apply(df, kernel, _schema(df, (out, T.IntegerType())), tile, halo, wrap=wrap)
 
 
 # -- growth from seeds ------------------------------------------------------------
@@ -291,7 +298,8 @@ def smallest(near: np.ndarray) -> np.ndarray:
 
 
 def grow_labels(
-    df: DataFrame, ws: Workspace, label: str, open_: str, rule: str, tile: int = TILE, reach: int = REACH
+    df: DataFrame, ws: Workspace, label: str, open_: str, rule: str, tile: int = TILE, reach: int = REACH,
+    wrap: Wrap | None = None,
 ) -> DataFrame:
     """Spread labels ring by ring into open pixels until nothing changes.
 
@@ -326,7 +334,7 @@ def grow_labels(
         return pdf[cols].assign(**{label: p.take(lab).astype(as_type)}, _late=p.take(late))
 
     while True:
-        grown = tile_apply(state.select(*cols), kernel, schema, tile, halo=reach)
+        grown = tile_apply(state.select(*cols), kernel, schema, tile, halo=reach, wrap=wrap)
         state = ws.write(grown, "grown")
         if state.where("_late").isEmpty():
             return state.select(*cols)
@@ -337,11 +345,11 @@ def grow_labels(
 
 def local_peaks(
     df: DataFrame, value: str, min_distance: int, threshold: float, border: int, shape: tuple[int, int],
-    tile: int = TILE,
+    tile: int = TILE, wrap: Wrap | None = None,
 ) -> DataFrame:
     """Pixels that are the maximum of their (2d+1)^2 box and exceed the threshold.
 
-    Adds ``is_peak``; peaks closer than ``border`` to the grid edge are dropped.
+    Adds ``is_peak``; peaks closer than ``border`` to an edge of the grid (not to a periodic one) are dropped.
     """
     d = min_distance
     ny, nx = shape
@@ -354,6 +362,10 @@ def local_peaks(
         peak = (v == box.max(axis=(2, 3))) & (v > threshold)
         return pdf[cols].assign(is_peak=p.take(peak))
 
-    inside = F.col("y").between(border, ny - 1 - border) & F.col("x").between(border, nx - 1 - border)
-    out = tile_apply(df, kernel, _schema(df, ("is_peak", T.BooleanType())), tile, halo=d)
+    periodic = () if wrap is None else dict(wrap.axes())
+    inside = F.lit(True)
+    for axis, n in (("y", ny), ("x", nx)):
+        if axis not in periodic:
+            inside = inside & F.col(axis).between(border, n - 1 - border)
+    out = tile_apply(df, kernel, _schema(df, ("is_peak", T.BooleanType())), tile, halo=d, wrap=wrap)
     return out.withColumn("is_peak", F.col("is_peak") & inside)

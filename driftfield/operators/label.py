@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from driftfield.operators.components import connected_components, hook
 from driftfield.operators.ranking import bucketed_row_number
-from driftfield.operators.tiles import TILE, with_tiles
+from driftfield.operators.tiles import TILE, Wrap, with_tiles
 from driftfield.workspace import Workspace
 
 ROOT_SHIFT = 32
@@ -57,6 +57,7 @@ def label_regions(
     shape: tuple[int, int] | None = None,
     periodic_y: bool = False,
     periodic_x: bool = False,
+    wrap: Wrap | None = None,
 ) -> DataFrame:
     """Add ``region``: the raster key of the first pixel of the 4-connected region.
 
@@ -64,9 +65,12 @@ def label_regions(
     (or across a periodic domain edge) are merged by ``connected_components``.
     ``shape`` is the grid size (ny, nx): needed for periodic edges, and when the
     grid fits one tile the merge step is left out of the plan altogether.
-    ``within`` names a column whose equal values bound regions.
+    ``within`` names a column whose equal values bound regions.  ``wrap`` gives shape and
+    periodic edges at once.
     """
     keys = list(keys)
+    if wrap is not None:
+        shape, periodic_y, periodic_x = wrap.shape, wrap.y, wrap.x
     if (periodic_x or periodic_y) and shape is None:
         raise ValueError("periodic labelling needs the grid shape")
     schema = T.StructType([*pixels.schema.fields, T.StructField("region", T.LongType())])

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftfield.functions import geo
+from driftfield.operators import stats
 from driftfield.operators.ranking import exact_quantile
+from driftfield.operators.tiles import Wrap
 from driftfield.workspace import Workspace
 
 MAX_BOX = 1 << 20
@@ -191,11 +193,13 @@ def feature_motion(
     pixel_km: float,
     quantile: float = 0.995,
     max_box: int = MAX_BOX,
+    wrap: Wrap | None = None,
 ) -> DataFrame:
     """Displacement of each tracked feature between paired frames.
 
     ``pixels``: track_id, frame_id, y, x, value.  The displacement is the mean
-    position of the correlation cells above the quantile.  Result: track_id,
+    position of the correlation cells above the quantile.  A feature that lies across a
+    periodic edge in either frame is put into one piece first.  Result: track_id,
     frame_id, move_y, move_x, movement_distance(_x, _y), movement_theta, movement_speed.
     """
     keys = ["track_id", "frame_id"]
@@ -209,7 +213,10 @@ def feature_motion(
     sized = both.groupBy(*keys).agg(
         F.sum(F.lit(1) - F.col("side")).alias("_n0"), F.sum("side").alias("_n1")
     ).where((F.least("_n0", "_n1") >= min_npix) & (F.least("_n0", "_n1") > 0))
-    rows = ws.write(both.join(sized.select(*keys), keys), "motion_pixels")
+    rows = both.join(sized.select(*keys), keys)
+    if wrap is not None:
+        rows = stats.unrolled(rows, keys, wrap).drop("_shift_y", "_shift_x")
+    rows = ws.write(rows, "motion_pixels")
     corr = ws.write(
         correlate(rows, keys, ["value"], ["value"], [("value", "value", "c")], ws, centred=True, max_box=max_box),
         "correlation",

@@ -7,8 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftfield.operators import label, shapes
+from driftfield.operators import label, shapes, stats
 from driftfield.operators.ranking import exact_quantile
+from driftfield.operators.tiles import Wrap
 from driftfield.workspace import Workspace
 
 KEYS = ["track_id", "frame_id"]
@@ -62,20 +63,33 @@ def rain_features(
     keep: int | None = None,
     shape: tuple[int, int] | None = None,
     tile: int = label.TILE,
+    wrap: Wrap | None = None,
+    ranges: dict[str, tuple[float, float] | None] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Contiguous rain features per (track, frame).
 
     Returns (features, counts): all features of a system and time above the size
     limit, by size as pf_rank 1.. (the ``keep`` largest, if asked for), and pf_npf,
-    their number.
+    their number.  Where edges of the grid meet (``wrap``), features go on beyond them: their shape
+    is that of the feature in one piece, mean positions are circular over ``ranges``.
     """
+    ranges = ranges or {}
     wet = pixels.where(F.col("rain") > rain_min).select(*KEYS, "y", "x")
-    regions = ws.write(label.label_regions(wet, ws, keys=KEYS, shape=shape, tile=tile), "rain_regions")
+    regions = ws.write(label.label_regions(wet, ws, keys=KEYS, shape=shape, tile=tile, wrap=wrap), "rain_regions")
     ranked = label.rank_regions(regions, math.ceil(min_area / pixel_km**2), keys=KEYS)
     ranked = ws.write(ranked.select(*KEYS, "region", F.col("feature_id").alias("pf_rank")), "rain_ranks")
     counts = ranked.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("pf_npf"))
     chosen = ranked.where(F.col("pf_rank") <= keep) if keep else ranked
     px = regions.join(chosen, [*KEYS, "region"]).join(pixels, [*KEYS, "y", "x"])
+    length = shapes.perimeters(px, KEYS, tile, wrap)
+    shifts = {}
+    if wrap is not None:
+        px = stats.unrolled(px, [*KEYS, "region"], wrap)
+        shifts = {f"_shift_{a}": F.first(f"_shift_{a}") for a in ("y", "x")}
+
+    def position(name: str):
+        span = ranges.get(f"{name}_range")
+        return stats.circular_mean(F.col(name), *span) if span else F.avg(name)
 
     hard = F.col("rain") > heavy
     moments = shapes.region_moments(
@@ -83,10 +97,11 @@ def rain_features(
         [*KEYS, "time_idx", "region", "pf_rank"],
         "rain",
         {
-            "pf_lon": F.avg("lon"),
-            "pf_lat": F.avg("lat"),
+            "pf_lon": position("lon"),
+            "pf_lat": position("lat"),
             "pf_area": F.sum("area_km2"),
             "pf_accumrainheavy": F.sum(F.when(hard, F.col("rain"))),
+            **shifts,
         },
     )
     strongest = F.max(
@@ -96,7 +111,10 @@ def rain_features(
         *KEYS, F.col("_p.lat").alias("pf_lat_maxrainrate"), F.col("_p.lon").alias("pf_lon_maxrainrate")
     )
     ellipse = {f"pf_{n}": c for n, c in shapes.shape_columns(pixel_km).items()}
-    length = shapes.perimeters(px, KEYS, tile)
+    places = {n: F.bround(m) for n, m in (("_cy", "_my"), ("_cx", "_mx"), ("_hy", "_wy"), ("_hx", "_wx"))}
+    for axis, size in wrap.axes() if wrap is not None else ():
+        for n in (f"_c{axis}", f"_h{axis}"):
+            places[n] = F.pmod(places[n] - F.col(f"_shift_{axis}"), F.lit(float(size)))
     out = (
         moments.withColumns(ellipse)
         .join(length, [*KEYS, "region"])
@@ -108,8 +126,8 @@ def rain_features(
                 "skewness": "pf_skewness", "npix": "pf_npix",
             }
         )
-        .withColumns({"_cy": F.bround("_my"), "_cx": F.bround("_mx"), "_hy": F.bround("_wy"), "_hx": F.bround("_wx")})
-        .drop("_mx", "_my", "_vx", "_vy", "_cxy", "_wx", "_wy", "perimeter", "region")
+        .withColumns(places)
+        .drop("_mx", "_my", "_vx", "_vy", "_cxy", "_wx", "_wy", "perimeter", "region", *shifts)
     )
     return out, counts
 

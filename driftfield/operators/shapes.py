@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftfield.operators.tiles import TILE, tile_apply
+from driftfield.operators.tiles import TILE, Wrap, tile_apply
 
 
 def region_moments(pixels: DataFrame, keys: Sequence[str], value: str, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -71,7 +71,7 @@ def _border_weight(code: np.ndarray) -> np.ndarray:
     return table[code]
 
 
-def perimeters(pixels: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
+def perimeters(pixels: DataFrame, keys: Sequence[str], tile: int = TILE, wrap: Wrap | None = None) -> DataFrame:
     """Perimeter in pixels of each region (keys, region), from border patterns in halo tiles."""
     keys = list(keys)
     fields = {f.name: f for f in pixels.schema.fields}
@@ -100,5 +100,5 @@ def perimeters(pixels: DataFrame, keys: Sequence[str], tile: int = TILE) -> Data
         return pdf[[*keys, "region", "y", "x"]].assign(_len=_border_weight(code))
 
     px = pixels.select(*keys, "region", "y", "x")
-    borders = tile_apply(px, kernel, schema, tile, halo=2, keys=tuple(keys))
+    borders = tile_apply(px, kernel, schema, tile, halo=2, keys=tuple(keys), wrap=wrap)
     return borders.groupBy(*keys, "region").agg(F.sum("_len").alias("perimeter"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftfield.functions.physics import CORE, COLD
 from driftfield.operators.ranking import bucketed_row_number
+from driftfield.operators.tiles import Wrap
 
 ID_BLOCK = 65536
 
@@ -208,20 +209,40 @@ def coordinate_ranges(grid: DataFrame, periodic_y: bool, periodic_x: bool) -> di
     }
 
 
-def periodic_shift(pixels: DataFrame, keys: list[str], axis: str, size: int) -> DataFrame:
+def periodic_shift(pixels: DataFrame, keys: list[str], axis: str, size: int, fraction: float = 0.5) -> DataFrame:
     """Shift that rolls each feature away from the periodic edge (0 = leave it).
 
-    The largest gap between occupied indices must exceed half the domain; the
-    part behind the gap then moves to the front.
+    The largest gap between occupied indices must exceed ``fraction`` of the domain (and
+    hold an index); the part behind the gap then moves to the front.
     """
     used = pixels.select(*keys, axis).distinct()
     along = Window.partitionBy(*keys).orderBy(axis)
     gaps = used.withColumn("_next", F.lead(axis).over(along)).withColumn("_gap", F.col("_next") - F.col(axis))
     widest = gaps.groupBy(*keys).agg(F.max(F.struct("_gap", (-F.col(axis)).alias("_at"), "_next")).alias("_g"))
-    shift = F.when(F.col("_g._gap") > size * 0.5, F.lit(size) - F.col("_g._next")).otherwise(0)
+    shift = F.when(F.col("_g._gap") > max(1.0, size * fraction), F.lit(size) - F.col("_g._next")).otherwise(0)
     return widest.select(*keys, shift.cast("int").alias("shift"))
 
 
+def unrolled(pixels: DataFrame, keys: list[str], wrap: Wrap) -> DataFrame:
+    """``pixels`` with the positions of features that lie on both sides of a periodic edge rolled into one piece.
+
+    ``_shift_y`` and ``_shift_x`` tell by how much (0 for all others).
+    """
+    out, rolled = pixels, dict(wrap.axes())
+    for axis in ("y", "x"):
+        if axis not in rolled:
+            out = out.withColumn(f"_shift_{axis}", F.lit(0))
+            continue
+        n = rolled[axis]
+        ends = pixels.where(F.col(axis).isin(0, n - 1)).groupBy(*keys)
+        both = ends.agg(F.min(axis).alias("_low"), F.max(axis).alias("_high")).where("_low < _high")
+        shift = periodic_shift(pixels.join(both.select(*keys), keys, "left_semi"), keys, axis, n, 0.0)
+        out = out.join(shift.withColumnRenamed("shift", f"_shift_{axis}"), keys, "left")
+        out = out.withColumn(f"_shift_{axis}", F.coalesce(f"_shift_{axis}", F.lit(0)))
+        out = out.withColumn(axis, F.pmod(F.col(axis) + F.col(f"_shift_{axis}"), F.lit(n)).cast("int"))
+    return out
+
+
 def feature_bounds(pixels: DataFrame, keys: list[str], shape: tuple[int, int], margin: int = 10) -> DataFrame:
     """Index box of each feature with a margin, clipped to the grid (upper ends exclusive)."""
     out = pixels.groupBy(*keys)

@@ -12,6 +12,8 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
+from driftfield.operators.tiles import Wrap
+
 # fixed values: configuration names of existing setups and the options they set
 CONFIG_NAMES = {
     "field_thresh": "field_range",
@@ -104,6 +106,15 @@ class TrackingOptions(_FromConfig):
     def periodic_y(self) -> bool:
         return self.periodic in ("y", "both")
 
+    @property
+    def wrap(self) -> Wrap | None:
+        """The periodic edges, as the operators take them."""
+        if not (self.periodic_y or self.periodic_x):
+            return None
+        if self.shape is None:
+            raise ValueError("periodic edges need the grid's shape")
+        return Wrap(self.shape, self.periodic_y, self.periodic_x)
+
 
 @dataclass(frozen=True)
 class GenericOptions(TrackingOptions):

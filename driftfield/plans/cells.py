@@ -40,10 +40,10 @@ def identify_cells(volume: DataFrame, ws: Workspace, opt: CellOptions) -> DataFr
     steps = physics.dilation_steps(**opt.steps)
     flagged = echo.classify_echo(
         comp, ws, "dbz_comp", opt.dx_m, opt.dy_m, opt.bkg_radius_m, opt.min_diff, opt.abs_thresh,
-        opt.core_dbz, opt.weak_dbz, steps, opt.min_core_km2, shape=opt.shape, tile=opt.tile,
+        opt.core_dbz, opt.weak_dbz, steps, opt.min_core_km2, shape=opt.shape, tile=opt.tile, wrap=opt.wrap,
     )
-    numbered = echo.number_cores(ws.write(flagged, "echo"), ws, "conv_mask", 0, opt.shape, opt.tile)
-    cells = image.expand_cores(numbered, "core_id", opt.expand_km, opt.dx_m, opt.dy_m, tile=opt.tile)
+    numbered = echo.number_cores(ws.write(flagged, "echo"), ws, "conv_mask", 0, opt.shape, opt.tile, wrap=opt.wrap)
+    cells = image.expand_cores(numbered, "core_id", opt.expand_km, opt.dx_m, opt.dy_m, tile=opt.tile, wrap=opt.wrap)
     tops = vertical.echo_tops(raised, "dbz", opt.echo_tops, opt.echotop_gap)
     return cells.join(tops, ["frame_id", "y", "x"], "left")
 

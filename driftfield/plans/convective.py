@@ -31,7 +31,7 @@ def link_by_rain(grown: DataFrame, ws: Workspace, opt: ConvectiveOptions) -> Dat
     """Clouds under one rain feature become one cloud; clouds are numbered by size again."""
     at = ["frame_id", "y", "x"]
     wet = grown.where(F.col("rain") > opt.link_rain_min).select(*at)
-    regions = ws.write(label.label_regions(wet, ws, tile=opt.tile, shape=opt.shape), "linking_rain")
+    regions = ws.write(label.label_regions(wet, ws, tile=opt.tile, shape=opt.shape, wrap=opt.wrap), "linking_rain")
     numbers = label.renumber(regions, label.rank_regions(regions, opt.link_rain_npix))
     rain = numbers.select(*at, F.col("feature_id").alias("pf_number"))
     known = grown.join(rain, at, "left").withColumn("pf_number", F.coalesce("pf_number", F.lit(0)))
@@ -53,7 +53,7 @@ def run_convective(
     grown = ws.write(
         clouds.grow_cold_clouds(
             with_area, ws, bands, opt.cloud_area, opt.min_core_npix, opt.smooth_size, opt.shape,
-            opt.warm_expansion, tile=opt.tile, carry=("rain",),
+            opt.warm_expansion, tile=opt.tile, carry=("rain",), wrap=opt.wrap,
         ),
         "grown",
     )
@@ -85,7 +85,8 @@ def run_convective(
     sys_px = ws.write(precip.system_pixels(pixels, precip.system_features(series, attached)), "system_pixels")
     totals = ws.write(precip.rain_totals(sys_px, opt.rain_min, opt.rain_heavy, opt.land), "rain_totals")
     feats, _ = precip.rain_features(
-        sys_px, ws, opt.rain_min, opt.rain_heavy, opt.rain_area, opt.pixel_km, opt.keep_features, opt.shape, opt.tile
+        sys_px, ws, opt.rain_min, opt.rain_heavy, opt.rain_area, opt.pixel_km, opt.keep_features, opt.shape, opt.tile,
+        opt.wrap, stats.coordinate_ranges(grid, opt.periodic_y, opt.periodic_x),
     )
     feats = ws.write(precip.place_centroids(feats, grid), "rain_features")
     largest = feats.where("pf_rank = 1").select(
@@ -109,7 +110,7 @@ def run_convective(
     moving = mapped.where("pcptracknumber > 0").select(
         F.col("pcptracknumber").alias("track_id"), "frame_id", "y", "x", F.col("rain").alias("value")
     )
-    moves = motion.feature_motion(moving, link.frame_pairs(frames, opt.timegap_h), ws, opt.motion_npix, opt.pixel_km)
+    moves = motion.feature_motion(moving, link.frame_pairs(frames, opt.timegap_h), ws, opt.motion_npix, opt.pixel_km, wrap=opt.wrap)
     aligned = final.select("track_id", "frame_id", "time_idx").join(moves, ["track_id", "frame_id"], "left")
     return ConvectiveResult(
         grown, tracked, chosen, series, attached, totals, feats, robust, mapped,
