@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftfield.operators import distance
 from driftfield.operators.tiles import TILE, Wrap, tile_apply
 from driftfield.workspace import Workspace
 
@@ -246,15 +247,17 @@ def expand_cores(
     """Grow numbered cores outward radius by radius; the smallest number wins a contested pixel.
 
     ``df`` holds every grid pixel with label 0 outside cores.  With ``nearest``
-    every pixel within the largest radius goes to its closest core instead.
+    every pixel within the largest radius goes to its closest core instead (an exact
+    distance transform, whose time does not depend on the radius).
     """
     cols = df.columns
     none = np.iinfo(np.int64).max
-    if nearest:
-        reach = max(radii_km) * 1000
-        ny, nx = int(reach / dy_m), int(reach / dx_m)
-        metres = {np.hypot(i * dy_m, j * dx_m) for i in range(ny + 1) for j in range(nx + 1)}
-        radii_km = sorted(m / 1000 for m in metres if 0 < m <= reach)
+
+    def closest(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = Patch(pdf)
+        core = p.grid(pdf[label].to_numpy(np.int64), 0, np.int64)
+        cell = distance.nearest_number(core, dy_m, dx_m, max(radii_km) * 1000)
+        return pdf[cols].assign(**{out: p.take(cell).astype(np.int32)})
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         p = Patch(pdf)
@@ -268,7 +271,7 @@ def expand_cores(
         return pdf[cols].assign(**{out: p.take(cell).astype(np.int32)})
 
     halo = int(max(radii_km) * 1000 / min(dx_m, dy_m)) + 1
-    return tile_apply(df, kernel, _schema(df, (out, T.IntegerType())), tile, halo, wrap=wrap)
+    return tile_apply(df, closest if nearest else kernel, _schema(df, (out, T.IntegerType())), tile, halo, wrap=wrap)
 
 
 # -- growth from seeds ------------------------------------------------------------
