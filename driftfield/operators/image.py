@@ -372,3 +372,40 @@ def local_peaks(
             inside = inside & F.col(axis).between(border, n - 1 - border)
     out = tile_apply(df, kernel, _schema(df, ("is_peak", T.BooleanType())), tile, halo=d, wrap=wrap)
     return out.withColumn("is_peak", F.col("is_peak") & inside)
+
+
+def spaced_peaks(
+    peaks: DataFrame, ws: Workspace, value: str, min_distance: int, tile: int = TILE, wrap: Wrap | None = None
+) -> DataFrame:
+    """Peaks without those within ``min_distance`` (rows and columns) of a kept one, in order of height, then of place.
+
+    Whether a peak stays depends on the higher ones around it, theirs on others; tiles settle
+    what they can see and go on until no peak is open.
+    """
+    d = min_distance
+    halo = 8 * d
+    cols = peaks.columns
+    open_, kept, gone = 0, 1, 2
+    state = peaks.withColumn("_state", F.lit(open_))
+    schema = state.schema
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        ty, tx = int(pdf["_ty"].iat[0]) * tile, int(pdf["_tx"].iat[0]) * tile
+        at = list(zip(pdf["y"].tolist(), pdf["x"].tolist(), strict=True))
+        told = dict(zip(at, pdf["_state"].tolist(), strict=True))
+        turn = {p: (-v, p) for p, v in zip(at, pdf[value].tolist(), strict=True)}
+        for y, x in sorted((p for p in at if told[p] == open_), key=turn.get):
+            if not (ty - halo + d <= y < ty + tile + halo - d and tx - halo + d <= x < tx + tile + halo - d):
+                continue  # what is around it is not all here
+            around = [(y + i, x + j) for i in range(-d, d + 1) for j in range(-d, d + 1)]
+            before = [told[q] for q in around if q in told and turn[q] < turn[y, x]]
+            if kept in before:
+                told[y, x] = gone
+            elif open_ not in before:
+                told[y, x] = kept
+        return pdf[[*cols, "_state"]].assign(_state=np.array([told[p] for p in at], np.int32))
+
+    while True:
+        state = ws.write(tile_apply(state, kernel, schema, tile, halo=halo, wrap=wrap), "spaced_peaks")
+        if state.where(F.col("_state") == open_).isEmpty():
+            return state.where(F.col("_state") == kept).select(*cols)
