@@ -100,12 +100,6 @@ def linked_clouds_renumbered(spark, sf):
     return out
 
 
-@query("watershed_objects")
-def watershed_objects(spark, sf):
-    st = Stages(spark, sf)
-    return watershed.watershed(st.field(), st.ws, "z", 2, 0, 0.8, 0.2, (NY, NX))
-
-
 sql.fragment("peaks", ("field",), """
 peaks AS (
   SELECT a.frame_id, a.y, a.x FROM field a JOIN field b ON b.frame_id = a.frame_id AND abs(b.y - a.y) <= 2 AND abs(b.x - a.x) <= 2
@@ -122,6 +116,61 @@ def local_peaks(spark, sf):
     return image.local_peaks(px, "z", 2, 0.8, 0, (NY, NX)).where("is_peak").select("frame_id", "y", "x")
 
 
+# the order of a pixel: the passes on the way to it, each lower than the one before, with the steps on its level
+sql.fragment("watershed", ("peaks",), """
+wp AS MATERIALIZED (SELECT frame_id, y, x, z FROM peaks JOIN field USING (frame_id, y, x)),
+wp_near AS MATERIALIZED (
+  SELECT a.frame_id, a.y, a.x, b.y AS qy, b.x AS qx FROM wp a JOIN wp b
+    ON b.frame_id = a.frame_id AND abs(b.y - a.y) <= 2 AND abs(b.x - a.x) <= 2 AND (b.z, -b.y, -b.x) >= (a.z, -a.y, -a.x)),
+wp_state(k, frame_id, y, x, kept) AS (
+  SELECT 0, frame_id, y, x, NULL::BOOLEAN FROM wp
+  UNION ALL
+  SELECT s.k + 1, n.frame_id, n.y, n.x,
+         CASE WHEN bool_or(s.kept) FILTER (n.qy <> n.y OR n.qx <> n.x) THEN FALSE
+              WHEN count(*) FILTER (n.qy <> n.y OR n.qx <> n.x) = count(*) FILTER ((n.qy <> n.y OR n.qx <> n.x) AND NOT s.kept) THEN TRUE END
+  FROM wp_state s JOIN wp_near n ON n.frame_id = s.frame_id AND n.qy = s.y AND n.qx = s.x WHERE s.k < 40
+  GROUP BY s.k, n.frame_id, n.y, n.x),
+wmark AS (
+  SELECT frame_id, y, x, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY z DESC, y, x) AS INTEGER) AS marker
+  FROM wp_state JOIN wp USING (frame_id, y, x) WHERE k = 40 AND kept),
+wpx AS MATERIALIZED (
+  SELECT f.frame_id, f.y, f.x, -f.z AS d, coalesce(m.marker, 0) AS marker FROM field f LEFT JOIN wmark m USING (frame_id, y, x) WHERE f.z > 0.2),
+wedge AS MATERIALIZED (
+  SELECT a.frame_id, a.y, a.x, a.d, a.marker, b.y AS qy, b.x AS qx, a.y = b.y AND a.x = b.x AS own
+  FROM wpx a JOIN wpx b ON b.frame_id = a.frame_id AND abs(b.y - a.y) + abs(b.x - a.x) <= 1),
+wkey(k, frame_id, y, x, key) AS (
+  SELECT 0, frame_id, y, x, CASE WHEN marker > 0 THEN [{'d': d, 'n': 0}] END FROM wpx
+  UNION ALL
+  SELECT s.k + 1, e.frame_id, e.y, e.x,
+         min(CASE WHEN e.own THEN s.key WHEN e.marker > 0 OR s.key IS NULL THEN NULL
+                  ELSE list_append(list_filter(s.key, lambda p: p.d > e.d),
+                                   {'d': e.d, 'n': coalesce(list_max([p.n + 1 FOR p IN s.key IF p.d = e.d]), 0)}) END)
+  FROM wkey s JOIN wedge e ON e.frame_id = s.frame_id AND e.qy = s.y AND e.qx = s.x WHERE s.k < 100
+  GROUP BY s.k, e.frame_id, e.y, e.x),
+worder AS MATERIALIZED (
+  SELECT frame_id, y, x, row_number() OVER (PARTITION BY frame_id ORDER BY key, y, x) AS turn FROM wkey WHERE k = 100 AND key IS NOT NULL),
+wbefore AS MATERIALIZED (
+  SELECT e.frame_id, e.y, e.x, e.marker, e.qy, e.qx, e.own FROM wedge e
+  JOIN worder a ON a.frame_id = e.frame_id AND a.y = e.y AND a.x = e.x
+  JOIN worder b ON b.frame_id = e.frame_id AND b.y = e.qy AND b.x = e.qx WHERE b.turn <= a.turn),
+wlabel(k, frame_id, y, x, id) AS (
+  SELECT 0, frame_id, y, x, 0 FROM worder
+  UNION ALL
+  SELECT s.k + 1, e.frame_id, e.y, e.x,
+         CASE WHEN any_value(e.marker) > 0 THEN any_value(e.marker)
+              WHEN count(DISTINCT s.id) FILTER (NOT e.own AND s.id > 0) = 1 THEN max(s.id) FILTER (NOT e.own) ELSE 0 END
+  FROM wlabel s JOIN wbefore e ON e.frame_id = s.frame_id AND e.qy = s.y AND e.qx = s.x WHERE s.k < 100
+  GROUP BY s.k, e.frame_id, e.y, e.x),
+watershed AS MATERIALIZED (SELECT frame_id, y, x, id AS object_id FROM wlabel WHERE k = 100 AND id > 0)
+""")
+
+
+@query("watershed_objects", sql.query("watershed", "SELECT * FROM watershed"))
+def watershed_objects(spark, sf):
+    st = Stages(spark, sf)
+    return watershed.watershed(st.field(), st.ws, "z", 2, 0, 0.8, 0.2, (NY, NX))
+
+
 @query("echo_classes_3d")
 def echo_classes_3d(spark, sf):
     return sl3d.classify_volume(

@@ -136,8 +136,13 @@ class _Tile:
         return labels
 
 
-def flood_tiles(marked: DataFrame, ws: Workspace, lines: bool, tile: int, wrap: Wrap | None = None) -> DataFrame:
-    """(frame_id, y, x, object_id) of masked pixels (frame_id, y, x, value, marker; marker 0 where there is none)."""
+def flood_tiles(
+    marked: DataFrame, ws: Workspace, lines: bool, shape: tuple[int, int], tile: int, wrap: Wrap | None = None
+) -> DataFrame:
+    """(frame_id, y, x, object_id) of masked pixels (frame_id, y, x, value, marker; marker 0 where there is none).
+
+    Where the grid is one tile, each pass is the last.
+    """
     columns = [c.split()[0] for c in STATE.split(", ")]
 
     def spread(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -159,7 +164,7 @@ def flood_tiles(marked: DataFrame, ws: Workspace, lines: bool, tile: int, wrap:
     for kernel, stage in ((spread, "flooded"), (name, "objects")):
         while True:
             state = ws.write(tile_apply(state, kernel, STATE, tile, halo=1, wrap=wrap), stage)
-            if state.where("changed").isEmpty():
+            if (wrap is None and max(shape) <= tile) or state.where("changed").isEmpty():
                 break
     return state.where("object_id > 0").select("frame_id", "y", "x", "object_id")
 
@@ -192,7 +197,7 @@ def watershed(
     inside = px.where(F.col("value") > contour)
     if not compactness:
         marked = inside.join(markers, ["frame_id", "y", "x"], "left").withColumn("marker", F.coalesce("marker", F.lit(0)))
-        return flood_tiles(ws.write(marked, "marked"), ws, lines, tile, wrap)
+        return flood_tiles(ws.write(marked, "marked"), ws, lines, shape, tile, wrap)
     inside = label.label_regions(inside, ws, shape=shape, tile=tile)
     marked = inside.join(markers, ["frame_id", "y", "x"], "left").withColumn("marker", F.coalesce("marker", F.lit(0)))
     seeded = marked.groupBy("frame_id", "region").agg(F.max("marker").alias("_m")).where("_m > 0")
