@@ -9,8 +9,8 @@ compete.  The threshold starts from a few fully scored vectors and rises with th
 bounds of those still competing.  The best of all shards are merged by rank.
 
 Shards and query blocks have fixed sizes; every shard meets every block in a task of its
-own, which is the work an exact search over all rows asks for. Nothing is capped: ties at
-the last place are kept until the merge, which prefers the smaller id.
+own, which is the work an exact search over all rows asks for. A shard hands on a query's
+k best, ties to the smaller id: the merge uses the same order, so the result is exact.
 
 Vectors that are null, empty of an id, or hold null or non-finite components take no part.
 Vectors of different lengths are filled with zeros. Rows with the query's own id are not its
@@ -51,7 +51,7 @@ def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
 
 
 def best_of_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query, row) numbers and scores of every query's ``k`` best rows, ties at the last place included."""
+    """(query, row) numbers and scores of every query's ``k`` best rows, ties to the smaller id."""
     width = max(rows.shape[1], queries.shape[1])
     rows = np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
     queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
@@ -90,6 +90,9 @@ def best_of_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, quer
             to = min(at + _PROBE, width)
             score = score + query[at:to] @ postings[own[at:to]][:, alive]
             at = to
+        if len(alive) > k:
+            first = np.lexsort((ids[alive], -score))[:k]
+            alive, score = alive[first], score[first]
         out.append((np.full(len(alive), n), alive, score))
     if not out:
         return (np.zeros(0, np.int64),) * 3

@@ -41,3 +41,14 @@ def test_fewer_rows_than_asked_for(spark):
     assert sorted(map(tuple, got)) == [(0, 1, 1, 24), (0, 2, 2, 0), (2, 1, 0, 0), (2, 2, 1, 0)]
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert maxscore.top_k(empty, 2, 5, 4.0).count() == 0
+
+
+def test_many_equal_vectors_stay_k_rows_a_shard(spark):
+    rows = np.tile(np.array([[1, 2, 3]]), (5000, 1))
+    ids = np.random.default_rng(1).permutation(5000)
+    query, row, score = maxscore.best_of_shard(ids, rows, np.array([3, 4000]), rows[:2], 5)
+    assert len(query) == 10 and set(score) == {14}
+    assert [sorted(ids[row[query == n]]) for n in (0, 1)] == [[0, 1, 2, 4, 5], [0, 1, 2, 3, 4]]
+    same = spark.createDataFrame([(i, [0.5, 0.25]) for i in range(5000)], "vec_id long, embedding array<double>")
+    got = maxscore.top_k(same, every=500, k=5, scale=256.0, shard_rows=600).collect()
+    assert len(got) == 50 and {r.vec_id for r in got} == {0, 1, 2, 3, 4, 5}
