@@ -20,29 +20,38 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by importance resampling; the others go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     selection, _ = importance.select(docs, labels, workspace_for(spark))
-    drawn = importance.weighted(docs, selection.weights).where(F.col("key") >= selection.least_key)
-    return drawn.select(*docs.columns)
+    drawn = importance.weighted(_apart(docs), selection.weights).where(F.col("key") >= selection.least_key)
+    return drawn.select("_row.*")
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """The columns a stage reads, and each whole row in a column of its own, so no name of the user's can clash."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine does not call toxic."""
-    return toxicity(spark, docs, sf_dir).where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+    return toxicity(spark, _apart(docs), sf_dir).where(F.col("score") < TOXIC_FROM).select("_row.*")
+
+
+#: Words of a shingle and least similarity, in percent, of near duplicates.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest id.
+    """One row of each component: the one with the smallest id (rows without an id last, then by text).
 
-    Rows that repeat an id are one document (the one with the smallest text stays). Rows
-    without an id stay once per text.
+    Rows are told apart by a number of their own, so rows that share an id or have none are
+    judged by their texts like all others.  Rows without words are no one's copies and stay.
     """
     ws = workspace_for(spark)
-    found = jaccard.similar_components(docs, ws)
-    kept = ws.write(found.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct(), "kept")
-    others = [c for c in docs.columns if c != "doc_id"]
-    first = F.min(F.struct("text", *[c for c in others if c != "text"])).alias("_row")
-    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "_row.*")
-    nameless = docs.where("doc_id is null").groupBy("text").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return named.select(*docs.columns).unionByName(nameless)
+    rows = ws.write(_apart(docs).withColumn("_number", F.monotonically_increasing_id()), "numbered_rows")
+    found = jaccard.similar_components(rows.select("_number", "text"), ws, NEAR_WORDS, NEAR_PERCENT, doc="_number")
+    known = rows.select("_number", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    known = found.select(F.col("doc_id").alias("_number"), "component_id").join(known, "_number")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "_number")).alias("first")
+    kept = known.groupBy("component_id").agg(first).select("first._number")
+    return rows.join(ws.write(kept, "kept"), "_number", "left_semi").select("_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ def test_stages_against_plain_versions(spark, tmp_path):
     whole = {r.quality: r["count"] for r in docs.join(labels, "doc_id").groupBy("quality").count().collect()}
     assert share[1] / whole[1] > 0.8 and share.get(0, 0) / whole[0] < 0.4  # some 400 labels are all there is here
     before = [(r.doc_id, r.text) for r in kept[2].collect()]
-    assert {r.doc_id for r in kept[3].collect()} == {int(c) for _, _, c, _ in brute(before)}
+    assert {r.doc_id for r in kept[3].collect()} == {int(c) for _, _, c, _ in brute(before, corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT)}
     packed = corpus_pipeline.pack(spark, kept[3], SF).toPandas()
     tokenizer = load_tokenizer(public_tokenizers.path(WORD_BPE))
     lengths = packed.groupby("doc_id").length.sum().to_dict()
@@ -44,3 +44,22 @@ def test_rows_without_ids_and_repeated_rows(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(None, "a b c d", "en"), (1, "x y z w", "en"), (3, None, None)], key=str)
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), SF).count() == 0
     assert importance.kth_largest(docs.withColumn("v", F.lit(1.0)), "v", 2) == 1.0
+
+
+def test_columns_of_any_name_are_kept(spark):
+    """Own columns named like those the operators add come out as they went in."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns(
+        {c: F.concat(F.lit(f"{c} of "), "doc_id") for c in ("key", "log_ratio", "score", "_number", "digest", "component_id", "first")}
+    )
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns and got.exceptAll(docs).count() == 0 < got.count()
+
+
+def test_survivors_are_rows(spark):
+    """Rows that share an id, or have none, are kept or dropped for their own texts."""
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, words), (5, words + " more"), (5, "a unique text of some words"), (None, words), (None, "another text that nobody has"), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[4], rows[5], rows[6]], key=str)
