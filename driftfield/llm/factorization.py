@@ -35,9 +35,12 @@ SAMPLE = 12_000
 EPOCHS = 4
 BATCH = 64
 RATE = 0.1
-DECAY = 0.1
-#: Training texts a term must be in to get a weight.
-LEAST_TEXTS = 12
+#: Pull towards zero that a term's weight, and its factors, get in an epoch, however many texts it is in.
+DECAY = 8.0
+FACTOR_DECAY = 0.05
+#: Spread of the factors at the start, and what their squared gradients start from (small, as a pair's share of a text is).
+SPREAD = 0.1
+FACTOR_START = 1e-2
 SEED = 20_240_601
 
 
@@ -84,22 +87,26 @@ class Machine:
 def fit(
     terms: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, factors: int = FACTORS, epochs: int = EPOCHS
 ) -> Machine:
-    """Adagrad on the logistic loss, in small batches in a fixed random order; rare terms keep no weight."""
+    """Adagrad on the logistic loss, in small batches in a fixed random order.
+
+    A term is pulled back as much in each epoch as all others, spread over the texts it is in,
+    so rare terms stay small and common ones follow the labels.
+    """
     rng = np.random.default_rng(SEED)
     share = np.clip(labels.mean() if len(labels) else 0.5, 1e-4, 1 - 1e-4)
     weight = np.zeros(buckets, np.float32)
     factor = np.zeros((buckets, factors), np.float32)
     bias = float(np.log(share / (1 - share)))
     seen = np.bincount(np.concatenate(terms), minlength=buckets) if terms else np.zeros(buckets, int)
-    common = np.flatnonzero(seen >= LEAST_TEXTS)
+    met = np.flatnonzero(seen)
     number = np.full(buckets, -1)
-    number[common] = np.arange(len(common))
+    number[met] = np.arange(len(met))
     size = np.fromiter(map(len, terms), np.int64, len(terms))
     terms = [number[t] for t in terms]
-    terms = [t[t >= 0] for t in terms]
-    w, v = np.zeros(len(common)), rng.normal(0, 0.02, (len(common), factors))
-    w_sum, v_sum, b_sum = np.full(len(w), 1.0), np.full(v.shape, 1.0), 1.0
-    for _ in range(epochs if len(common) else 0):
+    texts = seen[met].astype(float)
+    w, v = np.zeros(len(met)), rng.normal(0, SPREAD, (len(met), factors))
+    w_sum, v_sum, b_sum = np.full(len(w), 1.0), np.full(v.shape, FACTOR_START), 1.0
+    for _ in range(epochs if len(met) else 0):
         order = rng.permutation(len(terms))
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
@@ -113,43 +120,20 @@ def fit(
             sums = x @ vo
             raw = bias + x @ wo + 0.5 * ((sums**2 - x @ vo**2) / n).sum(axis=1)
             wrong = 1.0 / (1.0 + np.exp(-np.clip(raw, -40, 40))) - labels[part]
-            g = wrong @ x + DECAY * wo
+            part_of_epoch = x.sum(axis=0) / texts[own]
+            g = wrong @ x + DECAY * part_of_epoch * wo
             scaled = x * (wrong[:, None] / n)
-            gv = scaled.T @ sums - scaled.sum(axis=0)[:, None] * vo + DECAY * vo
+            gv = scaled.T @ sums - scaled.sum(axis=0)[:, None] * vo + FACTOR_DECAY * part_of_epoch[:, None] * vo
             w_sum[own] += g**2
             v_sum[own] += gv**2
             w[own] -= RATE * g / np.sqrt(w_sum[own])
             v[own] -= RATE * gv / np.sqrt(v_sum[own])
             b_sum += float(wrong.sum()) ** 2
             bias -= RATE * float(wrong.sum()) / np.sqrt(b_sum)
-    weight[common], factor[common] = w, v
+    weight[met], factor[met] = w, v
     return Machine(bias, weight, factor)
 
 
-def calibrated(terms: list[np.ndarray], labels: np.ndarray, **size) -> Machine:
-    """A machine fitted on four fifths of the documents, its scale and intercept set by the rest."""
-    rest = np.arange(len(terms)) % 5 == 4
-    m = fit([t for t, r in zip(terms, rest.tolist(), strict=True) if not r], labels[~rest], **size)
-    own = [t for t, r in zip(terms, rest.tolist(), strict=True) if r]
-    y = labels[rest]
-    if not 0 < y.sum() < len(y):
-        return m
-    raw = m.raw(np.repeat(np.arange(len(own)), [len(t) for t in own]), np.concatenate(own), len(own))
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Newton steps, with a weak pull towards leaving the machine as it is
-        p = 1.0 / (1.0 + np.exp(-np.clip(a * raw + b, -40, 40)))
-        d = p * (1 - p)
-        gradient = np.array([(p - y) @ raw + 0.1 * (a - 1), (p - y).sum() + 0.1 * b])
-        curve = np.array([[d @ raw**2 + 0.1, d @ raw], [d @ raw, d.sum() + 0.1]])
-        step = np.linalg.solve(curve, gradient)
-        a, b = a - float(step[0]), b - float(step[1])
-        if np.abs(step).max() < 1e-9:
-            break
-    if a <= 0:
-        return m
-    return Machine(a * m.bias + b, (a * m.weight).astype(np.float32), (np.sqrt(a) * m.factor).astype(np.float32))
-
-
 def learn(
     documents: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE, doc: str = "doc_id", text: str = "text", label: str = "toxic"
 ) -> Machine:
@@ -178,7 +162,7 @@ def learn(
     def train(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("_doc", "ascending"), ("_terms", "ascending")])
         terms = [np.frombuffer(t.as_py(), "<i4").astype(np.int64) for t in rows["_terms"]]
-        return pa.table({"machine": [calibrated(terms, rows["_label"].to_numpy()).pack()]})
+        return pa.table({"machine": [fit(terms, rows["_label"].to_numpy()).pack()]})
 
     chosen = documents.select(F.col(doc).cast("long").alias("_doc"), F.col(text).alias("_text"))
     chosen = chosen.join(F.broadcast(marked), "_doc").select("_doc", "_label", "_text")  # at most ``sample`` numbers
