@@ -144,18 +144,53 @@ def healpix_cells(spark, sf):
     return rounded(px.groupBy("frame_id", "cell").agg(F.avg("tb").alias("tb"), F.count(F.lit(1)).alias("npix")))
 
 
-@query("nearest_remap", sql.query(("field", "grid"), """
+@query("nearest_remap", sql.query(("field", "healpix"), """
 SELECT c.cell, f.frame_id, f.tb FROM (
-  SELECT y * 100 + x AS cell, lat + 0.03 AS lat_hp, lon - 0.04 AS lon_hp FROM (SELECT DISTINCT y, x FROM field) JOIN grid USING (y, x)) c
+  SELECT face * 65536 + list_sum([(((ix >> k) & 1) << (2 * k)) + (((iy >> k) & 1) << (2 * k + 1)) for k in range(8)]) AS cell, degrees(asin((512 - ring) / 384.0::DOUBLE)) AS lat_hp,
+         (((corner * 256 + ix - iy + 1 + odd) // 2 - 1) % 1024 + 1 - (odd + 1) / 2.0::DOUBLE) * 90.0::DOUBLE / 256 AS lon_hp
+  FROM (SELECT *, (ring - 256) % 2 AS odd FROM (
+    SELECT DISTINCT face, ix, iy, (face // 4 + 2) * 256 - ix - iy - 1 AS ring, (face % 4) * 2 + CASE WHEN face // 4 = 1 THEN 0 ELSE 1 END AS corner FROM hf))) c
 JOIN grid g ON g.y = CAST(round((lat_hp + 1.0) / 0.1) AS INTEGER) AND g.x = CAST(round((lon_hp - 20.0) / 0.1) AS INTEGER)
-JOIN field f ON f.y = g.y AND f.x = g.x WHERE abs(g.lat - lat_hp) < 0.0572265625 AND abs(g.lon - lon_hp) < 0.0572265625"""))
+JOIN field f ON f.y = g.y AND f.x = g.x WHERE abs(g.lat - lat_hp) < 58.6 / 256 AND abs(g.lon - lon_hp) < 58.6 / 256"""))
 def nearest_remap(spark, sf):
+    """The nearest pixel of every nested cell that a pixel of the grid lies in."""
     st = Stages(spark, sf)
-    cells = st.field().select("y", "x").distinct().join(st.grid(), ["y", "x"]).select(
-        (F.col("y") * 100 + F.col("x")).alias("cell"), (F.col("lat") + 0.03).alias("lat_hp"), (F.col("lon") - 0.04).alias("lon_hp")
-    )
-    px = st.field().select("frame_id", "y", "x", "tb").join(st.grid().select("y", "x", "lat", "lon"), ["y", "x"])
-    return regrid.grid_to_cells(px, cells, -1.0, 20.0, 0.1, regrid.cell_tolerance(10)).select("cell", "frame_id", "tb")
+    grid = st.grid().select("y", "x", "lat", "lon")
+    cells = regrid.cell_centres(grid.select(regrid.nested_cell(F.col("lat"), F.col("lon"), 8).alias("cell")).distinct(), 8)
+    px = st.field().select("frame_id", "y", "x", "tb").join(grid, ["y", "x"])
+    return regrid.grid_to_cells(px, cells, -1.0, 20.0, 0.1, regrid.cell_tolerance(8)).select("cell", "frame_id", "tb")
+
+
+# positions by ring arithmetic, from the position to the ring and its place, without nested numbers
+sql.fragment("sphere", (), """
+sphere_at AS (
+  SELECT o_orderkey, sin(radians(lat)) AS z, (lon / 90.0::DOUBLE) % 4 AS tt
+  FROM (SELECT o_orderkey, (o_orderkey * 7919 % 179999) / 1000.0::DOUBLE - 90 + 0.0005 AS lat, (o_custkey * 104729 + o_orderkey * 31) % 360000 / 1000.0::DOUBLE AS lon FROM orders)),
+sphere AS (
+  SELECT o_orderkey, belt, z > 0 AS north, ir,
+         CASE WHEN belt THEN ((jp + jm - 64 + (1 - ir % 2) + 1) // 2) % 256 ELSE CAST(floor(tt * ir) AS BIGINT) % (4 * ir) END AS ip
+  FROM (SELECT *, CASE WHEN belt THEN 65 + jp - jm ELSE jp + jm + 1 END AS ir FROM (
+    SELECT *, abs(z) <= 2.0 / 3 AS belt,
+           CAST(floor(CASE WHEN abs(z) <= 2.0 / 3 THEN 64 * (0.5 + tt) - 48 * z ELSE (tt - floor(tt)) * 64 * sqrt(3 * (1 - abs(z))) END) AS BIGINT) AS jp,
+           CAST(floor(CASE WHEN abs(z) <= 2.0 / 3 THEN 64 * (0.5 + tt) + 48 * z ELSE (1 - (tt - floor(tt))) * 64 * sqrt(3 * (1 - abs(z))) END) AS BIGINT) AS jm
+    FROM sphere_at)))
+""")
+
+
+@query("healpix_positions", sql.query("sphere", """
+SELECT o_orderkey,
+       CASE WHEN belt THEN 8064 + (ir - 1) * 256 + ip WHEN north THEN 2 * ir * (ir - 1) + ip ELSE 49152 - 2 * ir * (ir + 1) + ip END AS ring_cell,
+       round(degrees(asin(CASE WHEN belt THEN (128 - (ir + 63)) / 96.0::DOUBLE WHEN north THEN 1 - ir * ir / 12288.0::DOUBLE ELSE ir * ir / 12288.0::DOUBLE - 1 END)), 9) + 0.0::DOUBLE AS lat,
+       round(CASE WHEN belt THEN (ip + 1 - CASE WHEN (ir + 127) % 2 = 1 THEN 1 ELSE 0.5 END) * 90.0::DOUBLE / 64 ELSE (ip + 0.5) * 90.0::DOUBLE / ir END, 9) AS lon
+FROM sphere"""))
+def healpix_positions(spark, sf):
+    """Positions all over the sphere to nested cells, and back to the cells' centres and ring numbers."""
+    o = Stages(spark, sf).table("orders")
+    lat = F.col("o_orderkey") * 7919 % 179999 / 1000.0 - 90 + 0.0005
+    lon = (F.col("o_custkey") * 104729 + F.col("o_orderkey") * 31) % 360000 / 1000.0
+    cells = o.select("o_orderkey", regrid.nested_cell(lat, lon, 6).alias("cell"))
+    placed = regrid.cell_centres(cells, 6)
+    return rounded(placed.select("o_orderkey", "ring_cell", F.col("lat_hp").alias("lat"), F.col("lon_hp").alias("lon")))
 
 
 @query("hourly_combine", sql.query((), """

@@ -88,6 +88,64 @@ def nested_cell(lat: Column, lon: Column, zoom: int) -> Column:
     return index
 
 
+def _on_rings(cells: DataFrame, zoom: int) -> DataFrame:
+    """``cells`` with their ring (from the north), place on it (from 0), cells in a quarter of it and half-cell shift.
+
+    Each step is a projection of its own, so no expression is evaluated twice.
+    """
+    nside = 1 << zoom
+    c = F.col
+    ix = iy = F.lit(0).cast("long")
+    for bit in range(zoom):
+        ix = ix + F.shiftleft(F.shiftright(c("cell"), 2 * bit).bitwiseAND(1), bit)
+        iy = iy + F.shiftleft(F.shiftright(c("cell"), 2 * bit + 1).bitwiseAND(1), bit)
+    row = F.floor(c("_face") / 4)  # northern, equatorial and southern base faces
+    cap = (c("_ring") < nside) | (c("_ring") > 3 * nside)
+    return (
+        cells.withColumns({"_face": F.shiftright(c("cell").cast("long"), 2 * zoom), "_ix": ix, "_iy": iy})
+        .withColumns(
+            {
+                "_corner": F.pmod(c("_face"), F.lit(4)) * 2 + F.when(row == 1, 0).otherwise(1),
+                "_ring": (row + 2) * nside - c("_ix") - c("_iy") - 1,
+            }
+        )
+        .withColumns(
+            {
+                "_quarter": F.when(~cap, F.lit(nside)).otherwise(F.least(c("_ring"), 4 * nside - c("_ring"))),
+                "_shift": F.when(cap, 0).otherwise(F.pmod(c("_ring") - nside, F.lit(2))),
+            }
+        )
+        .withColumn("_place", F.floor((c("_corner") * c("_quarter") + c("_ix") - c("_iy") + 1 + c("_shift")) / 2) - 1)
+        .withColumn("_place", F.pmod("_place", c("_quarter") * 4))
+        .drop("_face", "_ix", "_iy", "_corner")
+    )
+
+
+def cell_centres(cells: DataFrame, zoom: int) -> DataFrame:
+    """``cells`` (cell, ...) with lat_hp, lon_hp (0 to 360) of the centres of nested HEALPix cells, and their ring numbers.
+
+    ``ring_cell`` counts cells along the rings from the north pole.
+    """
+    nside, c = 1 << zoom, F.col
+    ring, quarter, place = c("_ring"), c("_quarter"), c("_place")
+    drop = quarter * quarter / (3.0 * nside * nside)
+    z = F.when(ring < nside, 1.0 - drop).when(ring > 3 * nside, drop - 1.0).otherwise((2 * nside - ring) * 2.0 / (3.0 * nside))
+    north = 2 * quarter * (quarter - 1) + place
+    south = 12 * nside * nside - 2 * quarter * (quarter + 1) + place
+    belt = 2 * nside * (nside - 1) + (ring - nside) * 4 * nside + place
+    return (
+        _on_rings(cells, zoom)
+        .withColumns(
+            {
+                "lat_hp": F.degrees(F.asin(z)),
+                "lon_hp": (place + 0.5 - c("_shift") * 0.5) * 90.0 / quarter,
+                "ring_cell": F.when(ring < nside, north).when(ring > 3 * nside, south).otherwise(belt).cast("long"),
+            }
+        )
+        .drop("_ring", "_quarter", "_shift", "_place")
+    )
+
+
 def cells_to_grid(cells: DataFrame, grid: DataFrame, zoom: int) -> DataFrame:
     """Values of ``cells`` (cell, ...) gathered on grid positions (y, x, lat, lon)."""
     return grid.withColumn("cell", nested_cell(F.col("lat"), F.col("lon"), zoom)).join(cells, "cell")
