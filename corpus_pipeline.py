@@ -21,17 +21,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     selection, _ = importance.select(docs, labels, workspace_for(spark))
     drawn = importance.weighted(_apart(docs), selection.weights).where(F.col("key") >= selection.least_key)
-    return drawn.select("_row.*")
+    return _together(drawn, docs)
 
 
 def _apart(docs: DataFrame) -> DataFrame:
-    """The columns a stage reads, and each whole row in a column of its own, so no name of the user's can clash."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    """The columns a stage reads, and all others under numbers, so no name of the user's can clash."""
+    return docs.select(*[F.col(f"`{c}`").alias(_name(c, k)) for k, c in enumerate(docs.columns)])
+
+
+def _together(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows from ``_apart`` with the columns of ``docs`` again."""
+    return rows.select(*[F.col(_name(c, k)).alias(c) for k, c in enumerate(docs.columns)])
+
+
+def _name(column: str, k: int) -> str:
+    return column if column in ("doc_id", "text") else f"_own_{k}"
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine does not call toxic."""
-    return toxicity(spark, _apart(docs), sf_dir).where(F.col("score") < TOXIC_FROM).select("_row.*")
+    return _together(toxicity(spark, _apart(docs), sf_dir).where(F.col("score") < TOXIC_FROM), docs)
 
 
 #: Words of a shingle and least similarity, in percent, of near duplicates.
@@ -51,7 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     known = found.select(F.col("doc_id").alias("_number"), "component_id").join(known, "_number")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "_number")).alias("first")
     kept = known.groupBy("component_id").agg(first).select("first._number")
-    return rows.join(ws.write(kept, "kept"), "_number", "left_semi").select("_row.*")
+    return _together(rows.join(ws.write(kept, "kept"), "_number", "left_semi"), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
