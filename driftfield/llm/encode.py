@@ -13,6 +13,7 @@ import os
 import re
 from collections.abc import Iterator
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +59,9 @@ class PieceEncoder:
         self.tokenizer = load_tokenizer(path)
         self.cache_pieces = cache_pieces
         self.byte_level = self.tokenizer.decoder is not None and self.tokenizer.normalizer is None
-        if self.byte_level:
-            self.token_bytes = byte_lengths(self.tokenizer)
+        self.word_level = not self.byte_level and lowers_words(self.tokenizer)
+        if self.byte_level or self.word_level:
+            self.token_bytes = byte_lengths(self.tokenizer, WORD_END if self.word_level else "")
         self.forget()
 
     def forget(self) -> None:
@@ -100,8 +102,30 @@ class PieceEncoder:
             cut = np.searchsorted(reach, ends)
             if len(reach) and cut[-1] < len(reach) and np.array_equal(reach[cut], ends):
                 return ids, np.diff(cut + 1, prepend=0)
+        if self.word_level:
+            return self._lowered(words)
         return self._whole([" " + w for w in words])
 
+    def _lowered(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``_spaced`` for word-level files: words whose bytes are known beforehand go together, the others alone."""
+        plain = np.fromiter(map(is_plain, words), bool, len(words))
+        quick = [w for w, p in zip(words, plain.tolist(), strict=True) if p]
+        runs = [quick[a : a + _TOGETHER] for a in range(0, len(quick), _TOGETHER)]
+        ids, size = self._whole([" ".join(run) for run in runs])
+        ends = np.cumsum(np.fromiter((len(w.lower().encode()) for w in quick), np.int64, len(quick)))
+        reach = np.cumsum(self.token_bytes[ids])
+        cut = np.searchsorted(reach, ends)
+        if len(quick) and not (cut[-1] < len(reach) and np.array_equal(reach[cut], ends)):
+            return self._whole([" " + w for w in words])
+        first, first_sizes = ids, np.diff(cut + 1, prepend=0)
+        more, more_sizes = self._whole([" " + w for w, p in zip(words, plain.tolist(), strict=True) if not p])
+        sizes = np.zeros(len(words), np.int64)
+        sizes[plain], sizes[~plain] = first_sizes, more_sizes
+        out = np.zeros(int(sizes.sum()), np.int32)
+        is_quick = np.repeat(plain, sizes)
+        out[is_quick], out[~is_quick] = first, more
+        return out, sizes
+
     def spaced_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each) of " " + word for words without spaces."""
         if self.pieces.size > self.cache_pieces:
@@ -199,12 +223,39 @@ class PieceEncoder:
         return ids, lengths
 
 
-def byte_lengths(tokenizer) -> np.ndarray:
-    """Bytes each id of a byte-level tokenizer stands for (a vocabulary character is a byte, a special token its text)."""
+#: How word-level files mark a token that ends a word.
+WORD_END = "</w>"
+#: Visible ASCII, letters and digits.
+_VISIBLE = re.compile(r"[!-~\w]+")
+#: Letters whose lower case depends on their neighbours or has more bytes.
+_ODD_CASE = re.compile("[ΣİẞȺȾ]")
+
+
+def is_plain(word: str) -> bool:
+    """Whether a word's normal form is its lower case: visible, composed characters without special tokens."""
+    return (
+        _VISIBLE.fullmatch(word) is not None
+        and "<|" not in word
+        and (word.isascii() or (is_normalized("NFC", word) and not _ODD_CASE.search(word)))
+    )
+
+
+def lowers_words(tokenizer) -> bool:
+    """Whether a file lowers case, drops white space and marks ends of words."""
+
+    def ids(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    alone = [ids("ab"), ids("cd")]
+    return ids(" Ab  CD ") == alone[0] + alone[1] and all(tokenizer.id_to_token(x[-1]).endswith(WORD_END) for x in alone)
+
+
+def byte_lengths(tokenizer, word_end: str = "") -> np.ndarray:
+    """Bytes each id stands for (a vocabulary character is a byte, a special token its text, an end mark nothing)."""
     size = tokenizer.get_vocab_size(with_added_tokens=True)
     out = np.zeros(size, np.int64)
     for token, k in tokenizer.get_vocab(with_added_tokens=True).items():
-        out[k] = len(token)
+        out[k] = len(token) - (len(word_end) if word_end and token.endswith(word_end) else 0)
     for k, added in tokenizer.get_added_tokens_decoder().items():
         out[k] = len(added.content.encode())
     return out

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import public_tokenizers
-from driftfield.llm import bitplanes, packing
+from driftfield.llm import bitplanes, encode, packing
 from driftfield.llm.encode import PieceEncoder, load_tokenizer
 from tests.llm.conftest import TROUBLE
 
@@ -130,3 +130,22 @@ def test_packing_is_best_fit_decreasing():
 def test_packing_of_nothing(spark, ws, word_bpe):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(ws.write(packing.token_pieces(empty, word_bpe, 0), "pieces"), ws).count() == 0
+
+
+def test_words_of_a_word_level_file(word_bpe):
+    """Plain words go together, odd ones alone; all as the library gives them."""
+    rng = np.random.default_rng(4)
+    letters = list("abcdefgzABCZ019.,;!?'-_/<|>\"éèüßñÖçøΣσİẞ漢字e\u0301\u00a0\u200b\x85\t\n")
+    words = ["".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(20_000)]
+    words += ["<|endoftext|>", "</w>", "a</w>", "don't", "ΑΣ", "ǅ", "ﬁ", "Å", "K", "ß", "İi", "x" * 3000]
+    words = [w for w in words if " " not in w]
+    encoder = encode.PieceEncoder(word_bpe)
+    assert encoder.word_level and not encode.PieceEncoder(word_bpe.replace("word_bpe_49k", "byte_bpe_50k")).word_level
+    ids, sizes = encoder._lowered(words)
+    want = [encoder.tokenizer.encode(" " + w, add_special_tokens=False).ids for w in words]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [k for x in want for k in x]
+    assert sum(map(encode.is_plain, words)) > 2000
+    unlike = [w for w in map(chr, range(0x250)) if encode.is_plain(w)]  # every letter by itself, as its lower case
+    for w in unlike:
+        got = encoder.tokenizer.encode(w, add_special_tokens=False).ids
+        assert encoder.token_bytes[got].sum() == len(w.lower().encode()), w
