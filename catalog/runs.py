@@ -15,6 +15,7 @@ from driftfield.options import CellOptions, ConvectiveOptions, GenericOptions
 from driftfield.plans import cells, convective, generic
 from driftfield.sources import sinks
 from driftfield.streaming import frames as stream
+from driftfield.streaming.tracking import ROWS, TrackStream
 
 COMMON = dict(shape=(NY, NX), timegap_h=TIMEGAP_H, pixel_km=PIXEL_KM)
 
@@ -158,3 +159,27 @@ def streamed_frames(spark, sf):
         return stream.totals(spark.read.parquet(f"{path}/updates"), "value")
 
     return rounded(st.keep("streamed", build), 6)
+
+
+@query("streamed_tracks", sql.query("points", "SELECT * FROM points"))
+def streamed_tracks(spark, sf):
+    """Track points from a stream of labelled frames that arrive in three parts, with a restart before each."""
+    st = Stages(spark, sf)
+
+    def build():
+        base = st.ws.folder("numbered")
+        source = f"{base}/frames"
+        frames = st.frames().select("frame_id", "epoch_s")
+        # a frame without features still has its row
+        rows = frames.join(st.labels().select("frame_id", "y", "x", "feature_id"), "frame_id", "left").select(
+            *[F.col(c.split()[0]).cast(c.split()[1]) for c in ROWS.split(", ")]
+        )
+        ends = frames.agg(F.min("frame_id").alias("low"), F.max("frame_id").alias("high")).first()
+        part = F.floor((F.col("frame_id") - ends.low) * 3 / (ends.high - ends.low + 1))
+        numbered = TrackStream(st.ws, f"{base}/tracks", OTHRESH, TIMEGAP_H)
+        for n in range(3):
+            rows.where(part == n).write.mode("append").parquet(source)
+            numbered.run(spark.readStream.schema(ROWS).parquet(source), f"{base}/offsets")
+        return numbered.points()
+
+    return st.keep("streamed_tracks", build)
