@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog import oracle as sql
+from catalog import moving, oracle as sql
 from catalog.radar import cells, classified, volume
 from catalog.registry import query
-from catalog.stages import DT_H, NX, NY, PIXEL_KM, Stages, rounded
+from catalog.stages import DT_H, NX, NY, PIXEL_KM, STEP_S, Stages, rounded
 from driftfield.functions import geo, physics
-from driftfield.operators import image, precip, stats, systems, vertical
+from driftfield.operators import image, motion, precip, stats, systems, vertical
 from driftfield.sources import drift
 
 sql.fragment("echo_pixels", ("system_pixels", "echo", "tops"), """
@@ -187,15 +187,19 @@ def feature_bounds(spark, sf):
     return stats.feature_bounds(Stages(spark, sf).labels(), ["frame_id", "feature_id"], (NY, NX), margin=3)
 
 
-@query("match_drift", sql.query("frames", """
-SELECT frame_id, CASE WHEN frame_id % 5 = 0 OR frame_id % 7 = 0 THEN 0 ELSE CAST(frame_id % 3 - 1 AS INTEGER) END AS dy,
-       CASE WHEN frame_id % 5 = 0 OR frame_id % 7 = 0 THEN 0 ELSE CAST(frame_id % 2 AS INTEGER) END AS dx FROM frames"""))
+@query("match_drift", sql.query(("frames", "drift"), """
+SELECT frame_id, CASE WHEN min(y) = max(y) AND min(x) = max(x) THEN CAST(min(y) AS INTEGER) ELSE 0 END AS dy,
+       CASE WHEN min(y) = max(y) AND min(x) = max(x) THEN CAST(min(x) AS INTEGER) ELSE 0 END AS dx
+FROM frames LEFT JOIN drift USING (frame_id) GROUP BY 1"""))
 def match_drift(spark, sf):
-    """Every fifth frame has no shift and every seventh an ambiguous one."""
-    frames, f = Stages(spark, sf).frames(), F.col("frame_id")
-    table = frames.where(f % 5 > 0).select("ts", (f % 3 - 1).alias("dy"), (f % 2).alias("dx"), f.alias("k"))
-    table = table.unionByName(table.where("k % 7 = 0")).drop("k")
-    return drift.match_drift(frames, table)
+    """Shifts measured per tile: a frame whose tiles disagree has an ambiguous one, a frame before a gap none."""
+    st = Stages(spark, sf)
+    raw = st.keep("advection", lambda: moving.advection(st))
+    moves = motion.smooth_advection(raw, PIXEL_KM, PIXEL_KM, STEP_S, 5)
+    table = moves.join(st.frames().select("frame_id", "ts"), "frame_id").select(
+        "ts", F.col("y").cast("int").alias("dy"), F.col("x").cast("int").alias("dx")
+    )
+    return drift.match_drift(st.frames(), table.distinct())
 
 
 @query("low_level_reflectivity", sql.query("volume", """

@@ -79,45 +79,56 @@ def filtered_speed(spark, sf):
     return rounded(motion.filter_speed(_aligned(Stages(spark, sf)), 8.0))
 
 
-sql.fragment("advection", ("field", "pairs"), """
-ap AS MATERIALIZED (
-  SELECT frame_id, 0 AS tile_y, x // 10 AS tile_x, y, x, round(v, 0) AS f FROM field
-  WHERE tb < 246 AND y BETWEEN 1 AND 18 AND x % 10 BETWEEN 1 AND 8),
-aboth AS MATERIALIZED (
-  SELECT a.frame_id, 0 AS side, tile_y, tile_x, y, x, f FROM ap a JOIN pairs p USING (frame_id)
-  UNION ALL SELECT p.frame_id, 1, tile_y, tile_x, y, x, f FROM ap a JOIN pairs p ON p.next_frame = a.frame_id),
-abox AS (
-  SELECT frame_id, tile_y, tile_x, max(y) - min(y) + 1 AS h, max(x) - min(x) + 1 AS w FROM aboth GROUP BY 1, 2, 3),
-agrid AS (
-  SELECT *, unnest(range(1 - w, w)) AS dx FROM (SELECT *, unnest(range(1 - h, h)) AS dy FROM abox)),
-ahit AS MATERIALIZED (
+def _advection_sql(name: str, width: int, tag: str) -> str:
+    """Motion of the whole field in tiles of ``width`` columns."""
+    return f"""
+ap{tag} AS MATERIALIZED (
+  SELECT frame_id, 0 AS tile_y, x // {width} AS tile_x, y, x, v AS f FROM field
+  WHERE v > 0 AND y BETWEEN 1 AND 18 AND x % {width} BETWEEN 1 AND {width} - 2),
+aboth{tag} AS MATERIALIZED (
+  SELECT a.frame_id, 0 AS side, tile_y, tile_x, y, x, f FROM ap{tag} a JOIN pairs p USING (frame_id)
+  UNION ALL SELECT p.frame_id, 1, tile_y, tile_x, y, x, f FROM ap{tag} a JOIN pairs p ON p.next_frame = a.frame_id),
+abox{tag} AS (
+  SELECT frame_id, tile_y, tile_x, max(y) - min(y) + 1 AS h, max(x) - min(x) + 1 AS w FROM aboth{tag} GROUP BY 1, 2, 3),
+agrid{tag} AS (
+  SELECT *, unnest(range(1 - w, w)) AS dx FROM (SELECT *, unnest(range(1 - h, h)) AS dy FROM abox{tag})),
+ahit{tag} AS MATERIALIZED (
   SELECT a.frame_id, a.tile_y, a.tile_x, b.y - a.y AS dy, b.x - a.x AS dx, count(*) AS n,
          sum(a.f) AS s1, sum(b.f) AS s2, sum(a.f * a.f) AS q1, sum(b.f * b.f) AS q2, sum(a.f * b.f) AS p
-  FROM aboth a JOIN aboth b ON b.frame_id = a.frame_id AND b.tile_x = a.tile_x AND b.side = 1
+  FROM aboth{tag} a JOIN aboth{tag} b ON b.frame_id = a.frame_id AND b.tile_x = a.tile_x AND b.side = 1
   WHERE a.side = 0 GROUP BY 1, 2, 3, 4, 5),
-ac AS (
+ac{tag} AS (
   SELECT frame_id, tile_y, tile_x, dy, dx, coalesce(n, 0) AS n, coalesce(s1, 0) AS s1, coalesce(s2, 0) AS s2,
          coalesce(q1, 0) AS q1, coalesce(q2, 0) AS q2, coalesce(p, 0) AS p
-  FROM agrid LEFT JOIN ahit USING (frame_id, tile_y, tile_x, dy, dx)),
-ad AS MATERIALIZED (
-  SELECT *, p - s1 * s2 / greatest(n, 1e-12) AS top, sqrt(greatest(q1 - s1 * s1 / greatest(n, 1e-12), 0) * greatest(q2 - s2 * s2 / greatest(n, 1e-12), 0)) AS den FROM ac),
-ascore AS MATERIALIZED (
+  FROM agrid{tag} LEFT JOIN ahit{tag} USING (frame_id, tile_y, tile_x, dy, dx)),
+ad{tag} AS MATERIALIZED (
+  SELECT *, p - s1 * s2 / greatest(n, 1e-12) AS top, sqrt(greatest(q1 - s1 * s1 / greatest(n, 1e-12), 0) * greatest(q2 - s2 * s2 / greatest(n, 1e-12), 0)) AS den FROM ac{tag}),
+ascore{tag} AS MATERIALIZED (
   SELECT *, CASE WHEN n >= 0.7 * mn AND den > greatest(md * 1e-9, 1e-6) THEN greatest(least(top / den, 1), -1) ELSE 0 END AS score
-  FROM (SELECT *, max(n) OVER w AS mn, max(den) OVER w AS md FROM ad WINDOW w AS (PARTITION BY frame_id, tile_y, tile_x))),
-advection AS MATERIALIZED (
+  FROM (SELECT *, max(n) OVER w AS mn, max(den) OVER w AS md FROM ad{tag} WINDOW w AS (PARTITION BY frame_id, tile_y, tile_x))),
+{name} AS MATERIALIZED (
   SELECT frame_id, tile_y, tile_x, CASE WHEN slow THEN my ELSE 0 END AS y, CASE WHEN slow THEN mx ELSE 0 END AS x
   FROM (SELECT *, sqrt(my * my + mx * mx) * 11000 / 3600 <= 20 AS slow FROM (
     SELECT frame_id, tile_y, tile_x, avg(dy) AS my, avg(dx) AS mx
-    FROM (SELECT *, max(score) OVER (PARTITION BY frame_id, tile_y, tile_x) AS best FROM ascore)
+    FROM (SELECT *, max(score) OVER (PARTITION BY frame_id, tile_y, tile_x) AS best FROM ascore{tag})
     WHERE abs(score - best) <= abs(best) * 1e-5 + 1e-8 GROUP BY 1, 2, 3)))
-""")
+"""
+
+
+sql.fragment("advection", ("field", "pairs"), _advection_sql("advection", NX // 2, ""))
+sql.fragment("domain_advection", ("field", "pairs"), _advection_sql("domain_advection", NX, "_d"))
+
+
+def advection(st: Stages, tiles: tuple[int, int] = (1, 2)):
+    px = st.field().select("frame_id", "y", "x", F.col("v").alias("value"))
+    return motion.tile_advection(px, st.pairs(), st.ws, (NY, NX), tiles, 1, 0.0, PIXEL_KM, PIXEL_KM, STEP_S, 20.0)
 
 
-def advection(st: Stages, max_box: int = motion.MAX_BOX):
-    px = st.field().where("tb < 246").select("frame_id", "y", "x", F.round("v", 0).alias("value"))
-    return motion.tile_advection(
-        px, st.pairs(), st.ws, (NY, NX), (1, 2), 1, 0.0, PIXEL_KM, PIXEL_KM, STEP_S, 20.0, max_box=max_box
-    )
+def domain_drift(st: Stages):
+    """(frame_id, dy, dx): motion of the field as a whole, smoothed in time."""
+    raw = st.keep("domain_advection", lambda: advection(st, (1, 1)))
+    moves = motion.smooth_advection(raw, PIXEL_KM, PIXEL_KM, STEP_S, 5)
+    return moves.select("frame_id", F.col("y").cast("int").alias("dy"), F.col("x").cast("int").alias("dx"))
 
 
 @query("tile_advection", sql.query("advection", f"SELECT frame_id, tile_y, tile_x, {sql.rnd('y x', 6)} FROM advection"))
@@ -126,20 +137,26 @@ def tile_advection(spark, sf):
     return rounded(st.keep("advection", lambda: advection(st)), 6)
 
 
-sql.fragment("drift", ("advection",), """
-amag AS (SELECT *, sqrt(x * x + y * y) * 11 AS m, 90 - degrees(atan2(y, x)) AS a FROM advection),
-awin AS (
-  SELECT frame_id, tile_y, tile_x, list(m) OVER w AS lm, list(a) OVER w AS la FROM amag
+def _drift_sql(name: str, source: str, tag: str) -> str:
+    """Whole grid steps from the running median of the motion."""
+    return f"""
+amag{tag} AS (SELECT *, sqrt(x * x + y * y) * 11 AS m, 90 - degrees(atan2(y, x)) AS a FROM {source}),
+awin{tag} AS (
+  SELECT frame_id, tile_y, tile_x, list(m) OVER w AS lm, list(a) OVER w AS la FROM amag{tag}
   WINDOW w AS (PARTITION BY tile_y, tile_x ORDER BY frame_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
-amed AS (
+amed{tag} AS (
   SELECT frame_id, tile_y, tile_x,
          list_sort(list_resize(lm, 5, 0.0))[3] AS magnitude,
          list_sort(list_resize(la, 5, 0.0))[3] AS direction
-  FROM awin),
-drift AS MATERIALIZED (
+  FROM awin{tag}),
+{name} AS MATERIALIZED (
   SELECT *, round_even(round(magnitude * cos(radians(90 - direction)) / 11, 9), 0) AS x,
-         round_even(round(magnitude * sin(radians(90 - direction)) / 11, 9), 0) AS y FROM amed)
-""")
+         round_even(round(magnitude * sin(radians(90 - direction)) / 11, 9), 0) AS y FROM amed{tag})
+"""
+
+
+sql.fragment("drift", ("advection",), _drift_sql("drift", "advection", ""))
+sql.fragment("domain_drift", ("domain_advection",), _drift_sql("domain_drift", "domain_advection", "_d"))
 
 
 @query("drift_series", sql.query("drift", f"SELECT frame_id, tile_y, tile_x, x + 0.0::DOUBLE AS x, y + 0.0::DOUBLE AS y, {sql.rnd('magnitude direction', 6)} FROM drift"))
@@ -149,8 +166,8 @@ def drift_series(spark, sf):
     return rounded(motion.smooth_advection(raw, PIXEL_KM, PIXEL_KM, STEP_S, 5).drop("speed"), 6)
 
 
-sql.fragment("drift_links", ("labels", "pairs", "drift"), f"""
-drift_table AS (SELECT frame_id, CAST(y AS INTEGER) AS dy, CAST(x AS INTEGER) AS dx FROM drift WHERE tile_y = 0 AND tile_x = 0),
+sql.fragment("drift_links", ("labels", "pairs", "domain_drift"), f"""
+drift_table AS (SELECT frame_id, CAST(y AS INTEGER) AS dy, CAST(x AS INTEGER) AS dx FROM domain_drift),
 moved AS MATERIALIZED (
   SELECT * FROM (SELECT l.frame_id, l.y + coalesce(dy, 0) AS y, l.x + coalesce(dx, 0) AS x, feature_id
                  FROM labels l LEFT JOIN drift_table USING (frame_id))
@@ -162,10 +179,7 @@ moved AS MATERIALIZED (
 @query("link_overlap_drift", sql.query("drift_links", "SELECT * FROM drift_links"))
 def link_overlap_drift(spark, sf):
     st = Stages(spark, sf)
-    raw = st.keep("advection", lambda: advection(st))
-    moves = motion.smooth_advection(raw, PIXEL_KM, PIXEL_KM, STEP_S, 5).where("tile_y = 0 and tile_x = 0")
-    drift = moves.select("frame_id", F.col("y").cast("int").alias("dy"), F.col("x").cast("int").alias("dx"))
-    return link.overlap_links(st.labels(), st.pairs(), 0.3, drift, (NY, NX))
+    return link.overlap_links(st.labels(), st.pairs(), 0.3, domain_drift(st), (NY, NX))
 
 
 sql.fragment("smooth_trajectory", ("system_series",), """
