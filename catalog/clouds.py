@@ -8,7 +8,7 @@ from catalog import oracle as sql
 from catalog.radar import volume
 from catalog.registry import query
 from catalog.stages import NX, NY, OTHRESH, TB_CLOUD, TB_COLD, TB_CORE, TB_WARM, Stages
-from driftfield.operators import clouds, label, link, sl3d, tracks, watershed
+from driftfield.operators import clouds, combine, label, link, sl3d, tracks, watershed
 from driftfield.sources import tables
 
 TB = (TB_CORE, TB_COLD, TB_WARM, TB_CLOUD)
@@ -203,8 +203,24 @@ sql.fragment("gap_points", ("gap_links",), sql.points_sql("gap_points", "feature
 @query("track_points_gaps", sql.query("gap_points", "SELECT * FROM gap_points"))
 def track_points_gaps(spark, sf):
     """Calendar months as times: 31-day steps exceed the gap, so tracks restart."""
-    st = Stages(spark, sf)
+    return gap_points(Stages(spark, sf))
+
+
+def gap_points(st: Stages):
     frames = st.ws.write(tables.frame_table(st.frames().select("ts")), "month_frames")
     pairs = link.frame_pairs(frames, 744.0)
     links = st.ws.write(link.overlap_links(st.labels(), pairs, OTHRESH), "gap_links")
     return tracks.number_tracks(st.features(), links, pairs, st.ws, OTHRESH)
+
+
+@query("combined_runs", sql.query(("points", "gap_points"), """
+SELECT 'even' AS run, * FROM points
+UNION ALL
+SELECT 'calendar', frame_id, feature_id, track_id + n, track_status, merge_track + n, split_track + n, track_reset
+FROM (SELECT frame_id, feature_id, track_id, track_status, merge_track, split_track, track_reset FROM gap_points),
+     (SELECT greatest(max(track_id), max(merge_track), max(split_track)) AS n FROM points)"""))
+def combined_runs(spark, sf):
+    """Two runs over the same features, with even steps and with calendar months, as one table of points."""
+    st = Stages(spark, sf)
+    runs = {"even": st.points(), "calendar": st.ws.write(gap_points(st), "calendar_points")}
+    return combine.combine_runs(runs)

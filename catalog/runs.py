@@ -180,6 +180,6 @@ def streamed_tracks(spark, sf):
         for n in range(3):
             rows.where(part == n).write.mode("append").parquet(source)
             numbered.run(spark.readStream.schema(ROWS).parquet(source), f"{base}/offsets")
-        return numbered.points()
+        return numbered.points().withColumn("feature_id", F.col("feature_id").cast("int"))
 
     return st.keep("streamed_tracks", build)
