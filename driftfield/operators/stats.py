@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftfield.functions.physics import CORE, COLD
+from driftfield.operators.asof import nearest_in_time
 from driftfield.operators.ranking import bucketed_row_number
 from driftfield.operators.tiles import Wrap
 
 ID_BLOCK = 65536
+MATCH_S = 1.0
 
 
 def circular_mean(value: Column, low: float, high: float) -> Column:
@@ -92,11 +94,12 @@ def track_series(points: DataFrame, stats: DataFrame, frames: DataFrame) -> Data
     )
 
 
-def track_ends(series: DataFrame) -> DataFrame:
+def track_ends(series: DataFrame, tolerance_s: float = MATCH_S) -> DataFrame:
     """Duration, start and end of every track, with the partner at a split or merge.
 
     A track that ends by merging is connected to its partner one step after the
-    common time, one that starts by splitting one step before it.
+    common time, one that starts by splitting one step before it.  The partner's time
+    is the nearest one less than ``tolerance_s`` away (the earlier of two as near).
     """
     row = F.struct(
         "time_idx", "base_time", "track_status", "merge_track", "split_track"
@@ -118,23 +121,24 @@ def track_ends(series: DataFrame) -> DataFrame:
     along = Window.partitionBy("track_id").orderBy("time_idx")
     partner = series.select(
         F.col("track_id").alias("_pid"),
-        F.col("base_time").alias("_pt"),
+        F.col("base_time").alias("_at"),
         F.col("time_idx").alias("_pi"),
         F.lag("cloudnumber").over(along).alias("_before"),
         F.lead("cloudnumber").over(along).alias("_after"),
     )
-    merged = ends.where("end_merge_tracknumber is not null").join(
-        partner,
-        (F.col("end_merge_tracknumber") == F.col("_pid")) & (F.col("end_basetime") == F.col("_pt")),
-    ).select(
+
+    def met(number: str, time: str, cloud: str) -> DataFrame:
+        linked = ends.where(F.col(number).isNotNull()).select(
+            "track_id", F.col(number).alias("_pid"), F.col(time).alias("_at")
+        )
+        return nearest_in_time(linked, partner, ["track_id"], ["_pid"], "_at", ["_pi", cloud], tolerance_s)
+
+    merged = met("end_merge_tracknumber", "end_basetime", "_after").select(
         "track_id",
         (F.col("_pi") + 1).alias("end_merge_timeindex"),
         F.col("_after").alias("end_merge_cloudnumber"),
     )
-    split = ends.where("start_split_tracknumber is not null").join(
-        partner.where("_pi > 0"),
-        (F.col("start_split_tracknumber") == F.col("_pid")) & (F.col("start_basetime") == F.col("_pt")),
-    ).select(
+    split = met("start_split_tracknumber", "start_basetime", "_before").where("_pi > 0").select(
         "track_id",
         (F.col("_pi") - 1).alias("start_split_timeindex"),
         F.col("_before").alias("start_split_cloudnumber"),
