@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftfield.operators import distance
-from driftfield.operators.tiles import TILE, Wrap, tile_apply
+from driftfield.operators.tiles import TILE, Wrap, tile_apply, tile_box
 from driftfield.workspace import Workspace
 
 REACH = 32
@@ -137,6 +137,49 @@ def smooth_box(
     )
 
 
+def gaussian_weights(sigma: float, truncate: float = 4.0) -> np.ndarray:
+    """Normalised weights out to ``truncate`` standard deviations, rounded to whole pixels."""
+    r = int(truncate * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    return w / w.sum()
+
+
+def smooth_gaussian(
+    df: DataFrame, value: str, sigma: float, shape: tuple[int, int], out: str = "smooth", truncate: float = 4.0,
+    tile: int = TILE, wrap: Wrap | None = None,
+) -> DataFrame:
+    """Gaussian mean of a field, along rows and then along columns.
+
+    Missing values, and cells of the grid without a row, count as zero; every row gets a result.  Beyond an open edge
+    the field is its mirror image, the outermost cell repeated; beyond a periodic one it goes on at the opposite edge.
+    """
+    if not sigma > 0:
+        raise ValueError("sigma must be above 0")
+    weights = gaussian_weights(sigma, truncate)
+    r = len(weights) // 2
+    ny, nx = shape
+    periodic = (False, False) if wrap is None else (wrap.y, wrap.x)
+    cols = df.columns
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        box = tile_box(pdf, tile, r, shape, wrap)
+        p = Patch(pdf, box)
+        v = np.nan_to_num(p.grid(pdf[value].to_numpy(float), 0.0), nan=0.0, posinf=np.inf, neginf=-np.inf)
+        for axis, n in ((0, ny), (1, nx)):
+            mirrored = [
+                r if not periodic[axis] and box[axis] == 0 else 0,
+                r if not periodic[axis] and box[axis + 2] == n else 0,
+            ]
+            pads = [(0, 0), (0, 0)]
+            pads[axis] = tuple(mirrored)
+            v = np.apply_along_axis(np.convolve, axis, np.pad(v, pads, mode="symmetric"), weights, "full")
+            first = r + mirrored[0]
+            v = np.take(v, np.arange(first, first + p.shape[axis]), axis=axis)
+        return pdf[cols].assign(**{out: p.take(v)})
+
+    return tile_apply(df, kernel, _schema(df, (out, T.DoubleType())), tile, halo=r, wrap=wrap)
+
+
 def fill_median(
     df: DataFrame, value: str, size: int, tile: int = TILE, shape: tuple[int, int] | None = None,
     wrap: Wrap | None = None,
