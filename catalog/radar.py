@@ -284,6 +284,42 @@ def cold_pool_intensity(spark, sf):
     return rounded(vertical.cold_pool(rows, "buoyancy", -0.002, 0.0), 6)
 
 
+POOL_SIGMA = 1.0
+
+sql.fragment("cold_pool_smooth", ("volume", "cold_pool"), f"""
+pool_sfc AS MATERIALIZED (
+  SELECT v.frame_id, v.y, v.x, coalesce(CASE WHEN hs[1] = bot AND integral <= 0 THEN sqrt(-2 * integral) END, 0) AS i
+  FROM (SELECT frame_id, y, x, min(height_m) AS bot FROM volume GROUP BY 1, 2, 3) v LEFT JOIN pool USING (frame_id, y, x)),
+bell AS (
+  SELECT d, exp(-0.5 * d * d / {POOL_SIGMA ** 2}) / sum(exp(-0.5 * d * d / {POOL_SIGMA ** 2})) OVER () AS w
+  FROM (SELECT unnest(range(-{int(4 * POOL_SIGMA + 0.5)}, {int(4 * POOL_SIGMA + 0.5) + 1})) AS d)),
+taps_y AS (
+  SELECT c AS y, CASE WHEN c + d < 0 THEN -1 - c - d WHEN c + d > {NY - 1} THEN 2 * {NY} - 1 - c - d ELSE c + d END AS sy, w AS wy
+  FROM bell, (SELECT unnest(range({NY})) AS c)),
+taps_x AS (
+  SELECT c AS x, CASE WHEN c + d < 0 THEN -1 - c - d WHEN c + d > {NX - 1} THEN 2 * {NX} - 1 - c - d ELSE c + d END AS sx, w AS wx
+  FROM bell, (SELECT unnest(range({NX})) AS c)),
+pool_y AS MATERIALIZED (
+  SELECT p.frame_id, t.y, p.x, sum(i * wy) AS i FROM pool_sfc p JOIN taps_y t ON t.sy = p.y GROUP BY 1, 2, 3),
+pool_smooth AS MATERIALIZED (
+  SELECT s.frame_id, s.y, s.x, s.i AS cp_intensity, b.v AS smooth FROM pool_sfc s JOIN (
+    SELECT p.frame_id, p.y, t.x, sum(i * wx) AS v FROM pool_y p JOIN taps_x t ON t.sx = p.x GROUP BY 1, 2, 3) b USING (frame_id, y, x))
+""")
+
+
+@query("cold_pool_smoothed", sql.query("cold_pool_smooth", f"SELECT frame_id, y, x, {sql.rnd('cp_intensity smooth', 6)} FROM pool_smooth"))
+def cold_pool_smoothed(spark, sf):
+    """From buoyancy to the smoothed intensity of cold pools that reach the ground; no pool is zero."""
+    rows = volume(Stages(spark, sf)).withColumn("theta", F.lit(300.0) + F.col("d") / 10)
+    rows = rows.withColumn("buoyancy", physics.buoyancy("theta"))
+    ground = rows.groupBy("frame_id", "y", "x").agg(F.min("height_m").alias("zz_bot"))
+    pools = vertical.surface_cold_pools(vertical.cold_pool(rows, "buoyancy", -0.002, 0.0), ground)
+    field = ground.join(pools, ["frame_id", "y", "x"], "left").select(
+        "frame_id", "y", "x", F.coalesce("cp_intensity", F.lit(0.0)).alias("cp_intensity")
+    )
+    return rounded(image.smooth_gaussian(field, "cp_intensity", POOL_SIGMA, (NY, NX)), 6)
+
+
 @query("buoyancy", sql.query("volume", f"""
 SELECT frame_id, y, x, z, {sql.rnd('buoyancy')} FROM (
   SELECT frame_id, y, x, z, 9.81::DOUBLE * (300.0::DOUBLE + d / 10 - avg(300.0::DOUBLE + d / 10) OVER w) / avg(300.0::DOUBLE + d / 10) OVER w AS buoyancy
