@@ -9,18 +9,18 @@ product decides which rows can meet:
    The same pass counts shingles in a sketch of fixed size, which orders columns from rare to
    common.  The order need not be exact for exact results; it keeps columns that many texts
    share (passages, boilerplate) out of the prefixes.
-2. Rows that share a column of their prefixes and have similar sizes become neighbours, by way
-   of one row for each column and range of sizes.  Connected rows form families; a similar
-   pair is always inside one family.
+2. Rows that share a column of their prefixes become neighbours if their sizes, and the place
+   of the column in both, leave enough columns to share.  Connected rows form families; a
+   similar pair is always inside one family.  Prefixes are shuffled once and never written.
 3. Families are laid out in blocks of rows by set size.  A task multiplies two blocks, a run
    of columns at a time, accumulates overlaps and drops pairs below the bound that their sizes
    set.  It returns a spanning forest of the links it found and the number of links per row,
    so a family of thousands of near copies is never written out as pairs.
 4. Links are contracted to components; every document gets the smallest id of its own.
 
-All counts are combined before shuffles, columns and classes that many rows share are keys of
-joins that can be split, and the filter that tells which sets are needed again has a fixed
-size.  Nothing is capped or sampled.
+All counts and the neighbours a task finds among its own rows are combined before shuffles,
+classes that many rows share are keys of joins that can be split, and the filter that tells
+which sets are needed again has a fixed size.  Nothing is capped or sampled.
 
 Null and blank texts have no shingles, link with nothing and are components of their own.
 Texts of fewer words than a shingle are one shingle. Repeated rows are separate documents and
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftfield.llm.encode import small_batches
@@ -50,6 +50,8 @@ SKETCH_BITS = 25
 FILTER_BITS = 27
 _SLICE_BITS = 6
 BLOCK_ROWS = 512
+#: Rows of prefixes in which a task looks for neighbours before they are shuffled.
+HELD_ROWS = 1 << 19
 _COLUMNS = 4096
 
 
@@ -80,6 +82,18 @@ def _fresh(digests: np.ndarray, count: np.ndarray, seen: set[int]) -> np.ndarray
     return np.asarray(out, np.int64)
 
 
+def _thin(counts: np.ndarray) -> bytes:
+    """Small counts, few of them not zero: a bit for each cell, and the counts that are there."""
+    return np.packbits(counts > 0).tobytes() + counts[counts > 0].tobytes()
+
+
+def _thick(raw: bytes, cells: int) -> np.ndarray:
+    packed = np.frombuffer(raw, np.uint8)
+    counts = np.zeros(cells, np.uint64)
+    counts[np.unpackbits(packed[: cells // 8]).astype(bool)] = packed[cells // 8 :]
+    return counts
+
+
 def described(documents: DataFrame, size: int, doc: str, text: str) -> DataFrame:
     """(doc_id, digest, n) per document, and sketch rows (slice, part, counts) with how often shingles occurred."""
     slices = 1 << _SLICE_BITS
@@ -109,7 +123,7 @@ def described(documents: DataFrame, size: int, doc: str, text: str) -> DataFrame
         compress = zstandard.ZstdCompressor(level=3).compress
         parts = sketch.reshape(slices, -1)
         some = [k for k in range(slices) if parts[k].any()]
-        blobs = [compress(parts[k].astype("<u4").tobytes()) for k in some]
+        blobs = [compress(_thin(parts[k])) for k in some]
         n = len(some)
         yield pa.RecordBatch.from_arrays(
             [
@@ -132,35 +146,82 @@ def described(documents: DataFrame, size: int, doc: str, text: str) -> DataFrame
 def merged_sketch(rows: DataFrame) -> np.ndarray:
     """Rarity level (0 to 255) of every cell of the sketch, from the counts of all tasks."""
 
-    def add(table: pa.Table) -> pa.Table:
+    width = 1 << (SKETCH_BITS - _SLICE_BITS)
+
+    def added(table: pa.Table, read) -> pa.Table:
         import zstandard
 
         decompress = zstandard.ZstdDecompressor().decompress
-        total = np.zeros(1 << (SKETCH_BITS - _SLICE_BITS), np.uint64)
+        total = np.zeros(width, np.uint64)
         for blob in table["counts"]:
-            total += np.frombuffer(decompress(blob.as_py()), "<u4")
+            total += read(decompress(blob.as_py()))
         total = np.minimum(total, 0xFFFFFFFF).astype("<u4")
         packed = zstandard.ZstdCompressor(level=3).compress(total.tobytes())
         return pa.table({"slice": table["slice"][:1], "counts": pa.array([packed], pa.binary())})
 
-    once = rows.groupBy("slice", "part").applyInArrow(add, "slice int, counts binary")  # of at most 256 tasks each
-    slices = once.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
+    def first(table: pa.Table) -> pa.Table:
+        return added(table, lambda raw: _thick(raw, width))
+
+    def rest(table: pa.Table) -> pa.Table:
+        return added(table, lambda raw: np.frombuffer(raw, "<u4"))
+
+    once = rows.groupBy("slice", "part").applyInArrow(first, "slice int, counts binary")  # of at most 256 tasks each
+    slices = once.groupBy("slice").applyInArrow(rest, "slice int, counts binary").collect()
     import zstandard
 
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    width = 1 << (SKETCH_BITS - _SLICE_BITS)
     for r in slices:
         counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.counts)), "<u4")
         levels[r.slice * width : (r.slice + 1) * width] = np.minimum(8 * np.log2(1.0 + counts), 255)
     return levels
 
 
+def _local_runs(column: np.ndarray, digest: np.ndarray, low: np.ndarray, reach: np.ndarray):
+    """What one task can settle of ``neighbours``: (column, digest, low, reach, other) rows, ``other`` masked while open.
+
+    Rows of one column whose sizes meet become one open row, their run, and a finished edge each.
+    """
+    order = np.lexsort((low, column))
+    column, digest, low, reach = column[order], digest[order], low[order], reach[order]
+    fresh = np.ones(len(column), bool)
+    fresh[1:] = column[1:] != column[:-1]
+    base = np.cumsum(fresh) << 32
+    before = np.maximum.accumulate(base + np.maximum(reach, 0))
+    met = np.zeros(len(column), bool)
+    met[1:] = before[:-1] >= (base + low)[1:]
+    opens = (reach >= low) & ~met
+    head = np.maximum.accumulate(np.where(opens, np.arange(len(column)), 0))
+    done = met & (low[head] <= reach)
+    np.maximum.at(reach, head[done], reach[done])
+    low[done], reach[done] = 1, 0
+    again = np.argsort(order)  # rows of one set side by side are half as large in a shuffle
+    return column[again], digest[again], low[again], reach[again], np.ma.array(digest[head], mask=~done)[again]
+
+
 def prefixes(documents: DataFrame, levels: np.ndarray, size: int, percent: int, text: str) -> DataFrame:
-    """(column, digest, n): the columns of each distinct set that a similar set must share one of."""
+    """(column, digest, low, reach, other): the columns of each distinct set that a similar set must share one of.
+
+    ``low`` is the set's size.  If a column is the first that two sets share in the common order,
+    all others they share come after it in both; ``reach`` is the largest size of another set that
+    still allows a link then.  Rows with ``other`` are edges a task has found among its own sets.
+    """
     order_of = documents.sparkSession.sparkContext.broadcast(levels)
 
+    def settled(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        column, digest, low, reach, other = _local_runs(*(np.concatenate(z) for z in zip(*rows, strict=True)))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(column),
+                pa.array(digest),
+                pa.array(low.astype(np.int32)),
+                pa.array(reach.astype(np.int32)),
+                pa.array(other.data, mask=other.mask),
+            ],
+            names=["column", "digest", "low", "reach", "other"],
+        )
+
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, seen = order_of.value, set()
+        levels, seen, rows, held = order_of.value, set(), [], 0
         for batch in batches:
             for _, _, words in word_blocks(batch.column(0)):
                 sets = Sets(words, size)
@@ -170,46 +231,36 @@ def prefixes(documents: DataFrame, levels: np.ndarray, size: int, percent: int,
                 owner, h = sets.owner[kept], sets.hash[kept]
                 order = np.lexsort((h, levels[(h & np.uint64(len(levels) - 1)).astype(np.int64)], owner))
                 owner, h = owner[order], h[order]
-                n = sets.count
-                length = n - (percent * n + 99) // 100 + 1
-                start = np.searchsorted(owner, np.arange(words.docs))
-                first = np.arange(len(owner)) - start[owner] < length[owner]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h[first].view(np.int64)),
-                        pa.array(sets.digest[owner[first]]),
-                        pa.array(n[owner[first]].astype(np.int32)),
-                    ],
-                    names=["column", "digest", "n"],
-                )
-
-    return documents.select(F.col(text)).mapInArrow(pick, "column long, digest long, n int")
-
-
-def shared_columns(rows: DataFrame, ws: Workspace) -> DataFrame:
-    """The rows of columns that more than one of them has: few, as most prefixes are of rare columns."""
-    common = rows.groupBy("column").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("column")
-    return ws.write(rows.join(common, "column").distinct(), "shared")
-
-
-def neighbours(rows: DataFrame, percent: int) -> DataFrame:
-    """(digest, other): edges that connect all rows with a common column and sizes that allow a link.
-
-    Sizes fall into ranges as wide as a link allows, so all rows of a column and range meet in
-    its smallest digest; a range meets the next one where its largest row can link with that
-    one's smallest.
+                place = np.arange(len(owner)) - np.searchsorted(owner, np.arange(words.docs))[owner]
+                n = sets.count[owner]
+                first = place < n - (percent * n + 99) // 100 + 1
+                reach = (n - place) * (100 + percent) // percent - n
+                rows.append((h[first].view(np.int64), sets.digest[owner[first]], n[first], reach[first]))
+                held += len(rows[-1][0])
+                if held >= HELD_ROWS:
+                    yield settled(rows)
+                    rows, held = [], 0
+        if rows:
+            yield settled(rows)
+
+    return documents.select(F.col(text)).mapInArrow(pick, "column long, digest long, low int, reach int, other long")
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """(digest, other): edges that connect all sets that a common column allows to link.
+
+    The smaller set of such a pair reaches the size of the larger one, and the larger one reaches
+    down to it.  In order of sizes, a row within the reach of those before it joins their run,
+    named by its first set; nothing across two runs can link.  Every row is dealt out once.
     """
-    span = F.floor(F.log(F.col("n").cast("double")) / F.lit(max(float(np.log(100 / percent)), 1e-9))).cast("long")
-    ranged = rows.withColumn("span", span)
-    hubs = ranged.groupBy("column", "span").agg(
-        F.count(F.lit(1)).alias("times"), F.min("digest").alias("hub"), F.min("n").alias("low"), F.max("n").alias("high")
-    )
-    after = hubs.select("column", (F.col("span") - 1).alias("span"), F.col("hub").alias("next"), F.col("low").alias("next_low"))
-    across = hubs.join(after, ["column", "span"]).where(100 * F.col("high") >= percent * F.col("next_low"))
-    inside = ranged.join(hubs.where("times > 1").select("column", "span", "hub"), ["column", "span"])
-    edges = inside.select("digest", F.col("hub").alias("other")).unionByName(
-        across.select(F.col("hub").alias("digest"), F.col("next").alias("other"))
-    )
+    sizes = Window.partitionBy("column").orderBy("low", "digest")
+    upto = sizes.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.max("reach").over(sizes.rowsBetween(Window.unboundedPreceding, -1))
+    met = rows.withColumn("met", F.coalesce(F.col("low") <= before, F.lit(False)))
+    opens = F.when((F.col("reach") >= F.col("low")) & ~F.col("met"), F.struct("digest", "low"))
+    run = met.withColumn("run", F.last(opens, ignorenulls=True).over(upto))
+    found = F.when(F.col("met") & (F.col("run.low") <= F.col("reach")), F.col("run.digest"))
+    edges = run.select("digest", F.coalesce("other", found).alias("other"))
     return edges.where("digest <> other").distinct()
 
 
@@ -361,8 +412,8 @@ def similar_components(
         "classes",
     )
 
-    rows = ws.write(prefixes(documents, levels, size, percent, text), "prefixes")
-    families = connected_components(neighbours(shared_columns(rows, ws), percent), ws, src="digest", dst="other")
+    rows = prefixes(documents, levels, size, percent, text)
+    families = connected_components(neighbours(rows), ws, src="digest", dst="other")
     families = families.select(F.col("node").alias("digest"), F.col("component").alias("family"))
     members = ws.write(families.join(classes.select("digest", "n", "copies"), "digest"), "families")
 

@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,19 @@ def test_given_documents(spark, ws):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     assert result(jaccard.similar_components(df, ws)) == brute(rows)
+
+
+def test_prefix_rows_are_dealt_out_once(spark):
+    levels = np.zeros(1 << jaccard.SKETCH_BITS, np.uint8)
+    df = spark.createDataFrame(near_copies(3, families=1, members=20), "doc_id long, text string").repartition(4)
+    edges = jaccard.neighbours(jaccard.prefixes(df, levels, 4, 85, "text"))
+    assert edges._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(column") == 1
+    assert edges.count()
+
+
+@pytest.mark.parametrize("seed,percent", [(5, 80), (6, 60), (7, 100)])
+def test_neighbours_connect_every_similar_pair(spark, ws, seed, percent):
+    rows = near_copies(seed, families=4, members=25)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert result(jaccard.similar_components(df, ws, 3, percent)) == brute(rows, 3, percent)
+    assert result(jaccard.similar_components(df.coalesce(1), ws, 3, percent)) == brute(rows, 3, percent)
