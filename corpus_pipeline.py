@@ -60,7 +60,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     known = found.select(F.col("doc_id").alias("_number"), "component_id").join(known, "_number")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "_number")).alias("first")
     kept = known.groupBy("component_id").agg(first).select("first._number")
-    return _together(rows.join(ws.write(kept, "kept"), "_number", "left_semi"), docs)
+    return _together(chosen(rows, ws.write(kept, "kept"), "_number"), docs)
+
+
+#: Buckets of 32,768 numbers, 4 KB each, up to which every task gets the bits of all of them.
+BROADCAST_BUCKETS = 1 << 13
+
+
+def chosen(rows: DataFrame, kept: DataFrame, number: str) -> DataFrame:
+    """``rows`` whose number is in ``kept``, found by one bit for each number, so texts stay where they are."""
+    bucket, place = F.bitmap_bucket_number(number), F.bitmap_bit_position(number)
+    bits = kept.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+    if bits.count() <= BROADCAST_BUCKETS:
+        bits = F.broadcast(bits)
+    met = rows.join(bits, bucket == F.col("_bucket")).withColumn("_place", place.cast("int"))
+    byte = "cast(conv(hex(substring(_bits, shiftright(_place, 3) + 1, 1)), 16, 10) as int)"
+    return met.where(f"getbit({byte}, _place & 7) = 1").select(rows.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,20 @@ def test_survivors_are_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, SF).collect()), key=str)
     assert got == sorted([rows[0], rows[2], rows[4], rows[5], rows[6]], key=str)
+
+
+def test_texts_are_not_shuffled_for_survivors(spark, monkeypatch):
+    """Survivors are told by a bit each, whatever the size of the table allows to broadcast."""
+    rows = spark.range(0, 100_000, 1, 3).withColumns({"_number": F.col("id") * 7 + (F.col("id") % 3) * (1 << 33), "text": F.lit("x")})
+    kept = rows.where("id % 5 in (0, 3)").select("_number")
+    want = sorted(r.id for r in rows.where("id % 5 in (0, 3)").collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = corpus_pipeline.chosen(rows, kept, "_number")
+        assert got.columns == rows.columns and sorted(r.id for r in got.collect()) == want
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_BUCKETS", 0)
+        assert sorted(r.id for r in corpus_pipeline.chosen(rows, kept, "_number").collect()) == want
+        assert corpus_pipeline.chosen(rows, kept.limit(0), "_number").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
