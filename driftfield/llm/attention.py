@@ -197,11 +197,20 @@ def gradients(model, x: np.ndarray, y: np.ndarray, asked: np.ndarray):
         de = de + dz @ model[name].T
     d["place"] = np.zeros_like(model["place"])
     d["place"][: x.shape[1]] = de.sum(axis=0)
-    d["embed"] = np.zeros_like(model["embed"])
-    np.add.at(d["embed"], x.ravel(), flat(de))
+    d["embed"] = _row_sums(x.ravel(), flat(de), len(model["embed"]))
     return loss, d
 
 
+def _row_sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by their place in 0..n-1, each place in one run."""
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    order = np.argsort(at, kind="stable")
+    places, first = np.unique(at[order], return_index=True)
+    if len(places):
+        out[places] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
 class Trainer:
     """Adam steps on a copy of a model."""
 
@@ -216,9 +225,18 @@ class Trainer:
         self.steps += 1
         size = self.rate * min(1.0, self.steps / 10) * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
         for k, g in grads.items():
-            self.first[k] += 0.1 * (g - self.first[k])
-            self.second[k] += 0.01 * (g * g - self.second[k])
-            self.model[k] -= (size * self.first[k] / (np.sqrt(self.second[k]) + 1e-7)).astype(np.float32)
+            first, second = self.first[k], self.second[k]
+            first *= np.float32(0.9)
+            first += np.float32(0.1) * g
+            g *= g
+            g *= np.float32(0.01)
+            second *= np.float32(0.99)
+            second += g
+            change = np.sqrt(second)
+            change += np.float32(1e-7)
+            np.divide(first, change, out=change)
+            change *= np.float32(size)
+            self.model[k] -= change
         return loss
 
 

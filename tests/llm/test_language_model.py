@@ -42,6 +42,15 @@ def test_gradients_match_differences(classes):
             assert np.isclose((values[0] - values[1]) / 2e-5, grads[name].flat[at], rtol=1e-3, atol=1e-7), name
 
 
+def test_embedding_gradient_is_summed_by_place():
+    rng = np.random.default_rng(3)
+    at, values = rng.integers(0, 40, 900), rng.normal(size=(900, 5))
+    want = np.zeros((50, 5))
+    np.add.at(want, at, values)
+    assert np.allclose(attention._row_sums(at, values, 50), want)
+    assert not attention._row_sums(at[:0], values[:0], 50).any()
+
+
 def test_probabilities_sum_to_one_and_look_back_only(classes):
     model = attention.fresh(classes)
     n = len(classes.of)
