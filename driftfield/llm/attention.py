@@ -23,6 +23,9 @@ SHARED_CLASSES = 128
 GROUP = 32
 RATE = 1e-2
 STEP_WINDOWS = 18
+#: Sums below ``TINY`` move no weight; they become zero now and then, as arithmetic on denormal numbers is slow.
+TINY = 1e-30
+FLUSH_STEPS = 64
 SHAPES = (
     "embed", "place", "query", "key", "value", "mixed", "up", "up_bias", "down", "out", "out_bias", "leaf", "leaf_bias"
 )
@@ -80,7 +83,7 @@ def fresh(classes: Classes, seed: int = 11) -> dict[str, np.ndarray]:
 
 
 def packed(model: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([model[k].ravel() for k in SHAPES]).astype(np.float32)
+    return np.concatenate([model[k].ravel() for k in SHAPES]).astype(np.float32, copy=False)
 
 
 def unpacked(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -104,139 +107,191 @@ def _exp(z: np.ndarray) -> np.ndarray:
     return np.exp(z, out=z)
 
 
-def _hidden(model, x):
-    """Everything up to the output layer, with what the gradients need."""
+def _three(model) -> np.ndarray:
+    """Weights of queries (scaled), keys and values side by side."""
+    return np.concatenate([model["query"] * np.float32(WIDTH**-0.5), model["key"], model["value"]], axis=1)
+
+
+def _totals(z: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, as a column."""
+    return z @ np.ones((z.shape[-1], 1), z.dtype)
+
+
+def _hidden(model, x, since: int = 0):
+    """Everything up to the output layer for positions from ``since`` on, with what the gradients need.
+
+    The shares ``a`` are left undivided; ``total`` holds their sums.
+    """
     t = x.shape[1]
-    e = model["embed"][x] + model["place"][:t]
-    three = e @ np.concatenate([model["query"] * np.float32(WIDTH**-0.5), model["key"], model["value"]], axis=1)
-    q, k, v = three[..., :WIDTH], three[..., WIDTH : 2 * WIDTH], three[..., 2 * WIDTH :]
+    e = model["embed"][x]
+    e += model["place"][:t]
+    three = e @ _three(model)
+    q, k, v = three[:, since:, :WIDTH], three[..., WIDTH : 2 * WIDTH], three[..., 2 * WIDTH :]
     a = _exp(q @ k.transpose(0, 2, 1))
-    a *= _SEEN[:t, :t]
-    a /= a.sum(axis=2, keepdims=True)
+    a *= _SEEN[since:t, :t]
+    total = _totals(a)
     m = a @ v
-    h = e + m @ model["mixed"]
+    m /= total
+    h = m @ model["mixed"]
+    h += e[:, since:]
     r = h @ model["up"]
     r += model["up_bias"]
     np.maximum(r, 0, out=r)
-    return e, q, k, v, a, m, h, r, h + r @ model["down"]
+    g = r @ model["down"]
+    g += h
+    return e, q, k, v, a, total, m, h, r, g
 
 
-def _groups(group: np.ndarray):
-    """(group, its rows) of every group that occurs."""
+def _by_group(own: np.ndarray):
+    """(order of the classes by group, (group, first, end) of every group that occurs in that order)."""
+    group = (own // GROUP).astype(np.uint16)
     order = np.argsort(group, kind="stable")
-    values, first = np.unique(group[order], return_index=True)
-    return zip(values.tolist(), np.split(order, first[1:]), strict=True) if len(order) else ()
+    ends = np.cumsum(np.bincount(group)).tolist()
+    return order, [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
 
 
-def log_probability(model, classes: Classes, x: np.ndarray, target: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """Natural log probability of the asked targets; ``x`` are classes of the tokens before them."""
-    g = _hidden(model, x)[-1][asked]
+def _leaf_logits(model, rows: np.ndarray, group: np.ndarray, runs) -> np.ndarray:
+    """Logits within the groups, of rows that lie in the order of their groups."""
+    z = np.empty((len(rows), GROUP), rows.dtype)
+    for c, a, b in runs:
+        np.matmul(rows[a:b], model["leaf"][c], out=z[a:b])
+    z += model["leaf_bias"].reshape(-1, GROUP)[group]
+    return z
+
+
+def log_probability(model, classes: Classes, x: np.ndarray, target: np.ndarray, asked: np.ndarray, since: int = 0) -> np.ndarray:
+    """Natural log probability of the asked targets; ``x`` are classes of the tokens before them.
+
+    No position before ``since`` may be asked.
+    """
     ids = target[asked]
     own = classes.of[ids]
-    group, member = own // GROUP, own % GROUP
+    order, runs = _by_group(own)
+    g = _hidden(model, x, since)[-1]
+    g = g.reshape(-1, WIDTH)[np.flatnonzero(asked[:, since:])[order]]
+    own = own[order]
+    at, group = np.arange(len(own)), own // GROUP
     z = g @ model["out"]
     z += model["out_bias"]
     z = _exp(z)
-    p = z[np.arange(len(ids)), group] / z.sum(axis=1)
-    for c, rows in _groups(group):
-        z = g[rows] @ model["leaf"][c]
-        z += model["leaf_bias"][c]
-        z = _exp(z)
-        p[rows] *= z[np.arange(len(rows)), member[rows]] / z.sum(axis=1)
-    return np.log(np.maximum(p, 1e-30).astype(np.float64)) + classes.within[ids]
-
-
-def _softmax_gradient(g, weight, bias, y):
-    """(loss of every row, gradient of the logits)."""
-    z = g @ weight + bias
-    z -= z.max(axis=1, keepdims=True)
-    p = np.exp(z)
-    total = p.sum(axis=1, keepdims=True)
+    p = z[at, group] / _totals(z)[:, 0]
+    z = _exp(_leaf_logits(model, g, group, runs))
+    p *= z[at, own % GROUP] / _totals(z)[:, 0]
+    out = np.empty(len(own))
+    out[order] = np.log(np.maximum(p, 1e-30).astype(np.float64))
+    return out + classes.within[ids]
+
+
+def _softmax_gradient(z, y):
+    """(loss of every row, gradient of the logits), the latter in place of the logits."""
     at = np.arange(len(y)), y
-    loss = np.log(total[:, 0]) - z[at]
-    p /= total
+    p = _exp(z)
+    p /= _totals(p)
+    chosen = p[at]
     p[at] -= 1.0
-    return loss, p
+    return -np.log(np.maximum(chosen, 1e-30)), p
 
 
 def gradients(model, x: np.ndarray, y: np.ndarray, asked: np.ndarray):
     """(mean loss over the asked positions, its gradient); ``y`` are classes."""
-    e, q, k, v, a, m, h, r, g = _hidden(model, x)
-    rows, own = g[asked], y[asked]
-    group, member = own // GROUP, own % GROUP
-    losses, p = _softmax_gradient(rows, model["out"], model["out_bias"], group)
+    e, q, k, v, a, total, m, h, r, g = _hidden(model, x)
+
+    def flat(z):
+        return z.reshape(-1, z.shape[-1])
+
+    own = y[asked]
+    order, runs = _by_group(own)
+    at, own = np.flatnonzero(asked)[order], own[order]
+    rows, group = flat(g)[at], own // GROUP
+    z = rows @ model["out"]
+    z += model["out_bias"]
+    losses, p = _softmax_gradient(z, group)
+    more, leaf = _softmax_gradient(_leaf_logits(model, rows, group, runs), own % GROUP)
+    loss = float((losses + more).mean())
     p /= len(rows)
+    leaf /= len(rows)
     d = {"out": rows.T @ p, "out_bias": p.sum(axis=0)}
     back = p @ model["out"].T
     d["leaf"], d["leaf_bias"] = np.zeros_like(model["leaf"]), np.zeros_like(model["leaf_bias"])
-    for c, some in _groups(group):
-        more, p = _softmax_gradient(rows[some], model["leaf"][c], model["leaf_bias"][c], member[some])
-        p /= len(rows)
-        losses[some] += more
-        d["leaf"][c], d["leaf_bias"][c] = rows[some].T @ p, p.sum(axis=0)
-        back[some] += p @ model["leaf"][c].T
-    loss = float(losses.mean())
+    below = np.empty_like(back)
+    for c, first, end in runs:
+        part = leaf[first:end]
+        np.matmul(rows[first:end].T, part, out=d["leaf"][c])
+        np.matmul(part, model["leaf"][c].T, out=below[first:end])
+    back += below
+    if runs:
+        d["leaf_bias"].reshape(-1, GROUP)[[c for c, _, _ in runs]] = np.add.reduceat(leaf, [first for _, first, _ in runs], axis=0)
     dg = np.zeros_like(g)
-    dg[asked] = back
-
-    def flat(z):
-        return z.reshape(-1, z.shape[-1])
-
+    flat(dg)[at] = back
     d["down"] = flat(r).T @ flat(dg)
-    du = (dg @ model["down"].T) * (r > 0)
+    du = dg @ model["down"].T
+    du *= r > 0
     d["up"], d["up_bias"] = flat(h).T @ flat(du), flat(du).sum(axis=0)
-    dh = dg + du @ model["up"].T
+    dh = du @ model["up"].T
+    dh += dg
     d["mixed"] = flat(m).T @ flat(dh)
     dm = dh @ model["mixed"].T
-    da, dv = dm @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dm
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    dq, dk = ds @ k * np.float32(WIDTH**-0.5), ds.transpose(0, 2, 1) @ q
-    de = dh
-    for name, dz in (("query", dq), ("key", dk), ("value", dv)):
-        d[name] = flat(e).T @ flat(dz)
-        de = de + dz @ model[name].T
+    dm /= total  # as ``a`` is not divided
+    three = np.empty((*x.shape, 3 * WIDTH), e.dtype)
+    np.matmul(a.transpose(0, 2, 1), dm, out=three[..., 2 * WIDTH :])
+    ds = dm @ v.transpose(0, 2, 1)
+    # a row's sum of a * da is the product of its dm and m, as m = a @ v
+    ds -= _totals(dm * m)
+    ds *= a
+    np.matmul(ds, k, out=three[..., :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), q, out=three[..., WIDTH : 2 * WIDTH])
+    weights = flat(e).T @ flat(three)
+    d["query"] = weights[:, :WIDTH] * np.float32(WIDTH**-0.5)
+    d["key"], d["value"] = weights[:, WIDTH : 2 * WIDTH], weights[:, 2 * WIDTH :]
+    dh += three @ _three(model).T
     d["place"] = np.zeros_like(model["place"])
-    d["place"][: x.shape[1]] = de.sum(axis=0)
-    d["embed"] = _row_sums(x.ravel(), flat(de), len(model["embed"]))
+    d["place"][: x.shape[1]] = dh.sum(axis=0)
+    d["embed"] = _row_sums(x.ravel(), flat(dh), len(model["embed"]))
     return loss, d
 
 
 def _row_sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows of ``values`` by their place in 0..n-1, each place in one run."""
     out = np.zeros((n, values.shape[1]), values.dtype)
-    order = np.argsort(at, kind="stable")
-    places, first = np.unique(at[order], return_index=True)
+    order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")
+    places = at[order]
     if len(places):
-        out[places] = np.add.reduceat(values[order], first, axis=0)
+        first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+        out[places[first]] = np.add.reduceat(values[order], first, axis=0)
     return out
 
 
 class Trainer:
-    """Adam steps on a copy of a model."""
+    """Adam steps on a copy of a model; the arrays of the model are parts of one."""
 
     def __init__(self, model: dict[str, np.ndarray], rate: float = RATE):
-        self.model = {k: v.copy() for k, v in model.items()}
-        self.first = {k: np.zeros_like(v) for k, v in model.items()}
-        self.second = {k: np.zeros_like(v) for k, v in model.items()}
+        self.flat = packed(model)
+        self.model, at = {}, 0
+        for k in SHAPES:
+            self.model[k] = self.flat[at : at + model[k].size].reshape(model[k].shape)
+            at += model[k].size
+        # running sums of gradients and of their squares: the means are a tenth and a hundredth of them
+        self.first, self.second = np.zeros_like(self.flat), np.zeros_like(self.flat)
         self.rate, self.steps = rate, 0
 
     def step(self, x: np.ndarray, y: np.ndarray, asked: np.ndarray) -> float:
         loss, grads = gradients(self.model, x, y, asked)
         self.steps += 1
         size = self.rate * min(1.0, self.steps / 10) * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
-        for k, g in grads.items():
-            first, second = self.first[k], self.second[k]
-            first *= np.float32(0.9)
-            first += np.float32(0.1) * g
-            g *= g
-            g *= np.float32(0.01)
-            second *= np.float32(0.99)
-            second += g
-            change = np.sqrt(second)
-            change += np.float32(1e-7)
-            np.divide(first, change, out=change)
-            change *= np.float32(size)
-            self.model[k] -= change
+        g, first, second = packed(grads), self.first, self.second
+        first *= np.float32(0.9)
+        first += g
+        g *= g
+        second *= np.float32(0.99)
+        second += g
+        np.sqrt(second, out=g)
+        g += np.float32(1e-6)
+        np.divide(first, g, out=g)
+        g *= np.float32(size)
+        self.flat -= g
+        if self.steps % FLUSH_STEPS == 0:
+            first[np.abs(first) < TINY] = 0
+            second[second < TINY] = 0
         return loss
 
 
@@ -259,13 +314,18 @@ def windows(ids: np.ndarray, lengths: np.ndarray, classes: Classes, doc: np.ndar
     return x, ids[at], asked
 
 
-def score(model, classes: Classes, ids: np.ndarray, lengths: np.ndarray, batch: int = 128) -> np.ndarray:
+def score(model, classes: Classes, ids: np.ndarray, lengths: np.ndarray, batch: int = 32) -> np.ndarray:
     """Log10 probability of each document."""
     out = np.zeros(len(lengths))
     doc, start = window_starts(lengths)
-    for k in range(0, len(doc), batch):
-        own = doc[k : k + batch]
-        x, y, asked = windows(ids, lengths, classes, own, start[k : k + batch])
-        values = log_probability(model, classes, x, y, asked)
-        out += np.bincount(np.repeat(own, asked.sum(axis=1)), values, len(lengths))
+    # later windows ask for nothing in their overlap, so nothing but keys and values is worked out there
+    for some, since in ((start == 0, 0), (start > 0, WINDOW - STRIDE)):
+        some = np.flatnonzero(some)
+        for k in range(0, len(some), batch):
+            own = doc[some[k : k + batch]]
+            x, y, asked = windows(ids, lengths, classes, own, start[some[k : k + batch]])
+            values = log_probability(model, classes, x, y, asked, since)
+            first = own[0]
+            sums = np.bincount(np.repeat(own - first, asked.sum(axis=1)), values)
+            out[first : first + len(sums)] += sums
     return out / np.log(10)

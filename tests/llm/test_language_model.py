@@ -81,6 +81,45 @@ def test_tokens_of_later_windows_see_enough_before_them(classes):
     assert asked[1:].argmax(axis=1).min() >= 16
 
 
+def test_overlaps_are_only_looked_back_at(classes, monkeypatch):
+    rng = np.random.default_rng(4)
+    model, lengths = attention.fresh(classes), np.array([3, 700, 0, 64, 65, 200])
+    ids = rng.integers(0, 3000, lengths.sum())
+    doc, start = attention.window_starts(lengths)
+    x, y, asked = attention.windows(ids, lengths, classes, doc, start)
+    whole = attention.log_probability(model, classes, x, y, asked)
+    want = np.bincount(np.repeat(doc, asked.sum(axis=1)), whole, len(lengths)) / np.log(10)
+    worked, hidden = [], attention._hidden
+    monkeypatch.setattr(attention, "_hidden", lambda *a: worked.append(hidden(*a)) or worked[-1])
+    assert np.allclose(attention.score(model, classes, ids, lengths), want, rtol=1e-5)
+    positions = sum(out[-1].shape[0] * out[-1].shape[1] for out in worked)
+    assert positions == (start == 0).sum() * attention.WINDOW + (start > 0).sum() * attention.STRIDE
+
+
+def test_steps_are_those_of_adam_and_keep_no_denormal_numbers(classes, monkeypatch):
+    rng = np.random.default_rng(6)
+    model = attention.fresh(classes)
+    trainer, seen = attention.Trainer(model), 12
+    draws = [{k: (rng.normal(size=v.shape) * 1e-4).astype(np.float32) for k, v in model.items()} for _ in range(seen)]
+    nothing = {k: np.zeros_like(v) for k, v in model.items()}
+    given = iter(draws + [nothing] * 1000)
+    monkeypatch.setattr(attention, "gradients", lambda *a: (0.0, {k: v.copy() for k, v in next(given).items()}))
+    want = {k: v.astype(np.float64) for k, v in model.items()}
+    first, second = ({k: np.zeros_like(v) for k, v in want.items()} for _ in range(2))
+    for n, draw in enumerate(draws, 1):
+        trainer.step(None, None, None)
+        for k, g in draw.items():
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * np.square(g, dtype=np.float64)
+            rate = attention.RATE * min(1, n / 10)
+            want[k] -= rate * np.sqrt(1 - 0.99**n) / (1 - 0.9**n) * first[k] / (np.sqrt(second[k]) + 1e-7)
+    assert all(np.allclose(trainer.model[k], want[k], atol=1e-5) for k in want)
+    for _ in range(1000):
+        trainer.step(None, None, None)
+    sums = np.concatenate([np.ravel(z) for part in (trainer.first, trainer.second) for z in (part.values() if isinstance(part, dict) else [part])])
+    assert not ((sums != 0) & (np.abs(sums) < np.finfo(np.float32).tiny)).any()
+
+
 def words(text):
     return re.findall(r"[^ \t\n\v\f\r]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
