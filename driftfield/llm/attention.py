@@ -107,9 +107,12 @@ def _exp(z: np.ndarray) -> np.ndarray:
     return np.exp(z, out=z)
 
 
-def _three(model) -> np.ndarray:
-    """Weights of queries (scaled), keys and values side by side."""
-    return np.concatenate([model["query"] * np.float32(WIDTH**-0.5), model["key"], model["value"]], axis=1)
+def _ways(model) -> tuple[np.ndarray, np.ndarray]:
+    """Weights from an input to what the inputs it looks back at are multiplied with (scaled), and from their mean to the sum.
+
+    These are products of queries with keys and of values with ``mixed``, so neither keys nor values are worked out.
+    """
+    return model["query"] * np.float32(WIDTH**-0.5) @ model["key"].T, model["value"] @ model["mixed"]
 
 
 def _totals(z: np.ndarray) -> np.ndarray:
@@ -117,29 +120,41 @@ def _totals(z: np.ndarray) -> np.ndarray:
     return z @ np.ones((z.shape[-1], 1), z.dtype)
 
 
-def _hidden(model, x, since: int = 0):
-    """Everything up to the output layer for positions from ``since`` on, with what the gradients need.
+def _embedded(model, x: np.ndarray) -> np.ndarray:
+    e = model["embed"].take(x, axis=0)
+    e += model["place"][: x.shape[1]]
+    return e
 
-    The shares ``a`` are left undivided; ``total`` holds their sums.
-    """
-    t = x.shape[1]
-    e = model["embed"][x]
-    e += model["place"][:t]
-    three = e @ _three(model)
-    q, k, v = three[:, since:, :WIDTH], three[..., WIDTH : 2 * WIDTH], three[..., 2 * WIDTH :]
-    a = _exp(q @ k.transpose(0, 2, 1))
-    a *= _SEEN[since:t, :t]
-    total = _totals(a)
-    m = a @ v
-    m /= total
-    h = m @ model["mixed"]
-    h += e[:, since:]
+
+def _shares(asking: np.ndarray, turned: np.ndarray, since: int) -> np.ndarray:
+    """Undivided shares of the inputs (``turned``: width by position) for positions from ``since`` on."""
+    a = _exp(asking @ turned)
+    a *= _SEEN[since : since + a.shape[1], : a.shape[2]]
+    return a
+
+
+def _added(model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hidden layer, what it and its input add up to)."""
     r = h @ model["up"]
     r += model["up_bias"]
     np.maximum(r, 0, out=r)
     g = r @ model["down"]
     g += h
-    return e, q, k, v, a, total, m, h, r, g
+    return r, g
+
+
+def _hidden(model, x, since: int = 0):
+    """Everything up to the output layer for positions from ``since`` on, which comes last."""
+    near, far = _ways(model)
+    e = _embedded(model, x)
+    own = e[:, since:]
+    a = _shares(own @ near, np.ascontiguousarray(e.transpose(0, 2, 1)), since)
+    m = a @ e
+    m /= _totals(a)
+    h = m @ far
+    h += own
+    r, g = _added(model, h.reshape(-1, WIDTH))
+    return h, r, g.reshape(h.shape)
 
 
 def _by_group(own: np.ndarray):
@@ -150,13 +165,12 @@ def _by_group(own: np.ndarray):
     return order, [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
 
 
-def _leaf_logits(model, rows: np.ndarray, group: np.ndarray, runs) -> np.ndarray:
+def _leaf_logits(model, rows: np.ndarray, group: np.ndarray, runs, out: np.ndarray) -> None:
     """Logits within the groups, of rows that lie in the order of their groups."""
-    z = np.empty((len(rows), GROUP), rows.dtype)
+    leaf = model["leaf"]
     for c, a, b in runs:
-        np.matmul(rows[a:b], model["leaf"][c], out=z[a:b])
-    z += model["leaf_bias"].reshape(-1, GROUP)[group]
-    return z
+        np.dot(rows[a:b], leaf[c], out=out[a:b])
+    out += model["leaf_bias"].reshape(-1, GROUP).take(group, axis=0)
 
 
 def log_probability(model, classes: Classes, x: np.ndarray, target: np.ndarray, asked: np.ndarray, since: int = 0) -> np.ndarray:
@@ -165,88 +179,137 @@ def log_probability(model, classes: Classes, x: np.ndarray, target: np.ndarray,
     No position before ``since`` may be asked.
     """
     ids = target[asked]
-    own = classes.of[ids]
+    own = classes.of.take(ids)
     order, runs = _by_group(own)
     g = _hidden(model, x, since)[-1]
-    g = g.reshape(-1, WIDTH)[np.flatnonzero(asked[:, since:])[order]]
-    own = own[order]
-    at, group = np.arange(len(own)), own // GROUP
-    z = g @ model["out"]
-    z += model["out_bias"]
-    z = _exp(z)
-    p = z[at, group] / _totals(z)[:, 0]
-    z = _exp(_leaf_logits(model, g, group, runs))
-    p *= z[at, own % GROUP] / _totals(z)[:, 0]
-    out = np.empty(len(own))
-    out[order] = np.log(np.maximum(p, 1e-30).astype(np.float64))
-    return out + classes.within[ids]
-
-
-def _softmax_gradient(z, y):
-    """(loss of every row, gradient of the logits), the latter in place of the logits."""
-    at = np.arange(len(y)), y
+    g = g.reshape(-1, WIDTH).take(np.flatnonzero(asked[:, since:]).take(order), axis=0)
+    own, n = own.take(order), len(order)
+    z = np.empty((2, n, GROUP), g.dtype)
+    np.matmul(g, model["out"], out=z[0])
+    z[0] += model["out_bias"]
+    group = own // GROUP
+    _leaf_logits(model, g, group, runs, z[1])
+    z = _exp(z.reshape(-1, GROUP))
+    p = z.take(np.arange(0, z.size, GROUP) + np.concatenate([group, own % GROUP])) / _totals(z)[:, 0]
+    out = np.empty(n)
+    out[order] = np.log(np.maximum(p[:n] * p[n:], 1e-30).astype(np.float64))
+    return out + classes.within.take(ids)
+
+
+def _softmax_gradient(z, y, n: int):
+    """(log probability of every row's ``y``, gradient of the losses' sum over ``n``), the latter in place of the logits."""
+    at = np.arange(0, z.size, z.shape[-1]) + y
     p = _exp(z)
-    p /= _totals(p)
-    chosen = p[at]
-    p[at] -= 1.0
-    return -np.log(np.maximum(chosen, 1e-30)), p
+    total = _totals(p)
+    chosen = p.take(at) / total[:, 0]
+    total *= n
+    p /= total
+    p.reshape(-1)[at] -= 1 / n
+    return np.log(np.maximum(chosen, 1e-30)), p
 
 
-def gradients(model, x: np.ndarray, y: np.ndarray, asked: np.ndarray):
-    """(mean loss over the asked positions, its gradient); ``y`` are classes."""
-    e, q, k, v, a, total, m, h, r, g = _hidden(model, x)
+def _column_sums(z: np.ndarray) -> np.ndarray:
+    return np.ones(len(z), z.dtype) @ z
 
-    def flat(z):
-        return z.reshape(-1, z.shape[-1])
 
-    own = y[asked]
-    order, runs = _by_group(own)
-    at, own = np.flatnonzero(asked)[order], own[order]
-    rows, group = flat(g)[at], own // GROUP
-    z = rows @ model["out"]
-    z += model["out_bias"]
-    losses, p = _softmax_gradient(z, group)
-    more, leaf = _softmax_gradient(_leaf_logits(model, rows, group, runs), own % GROUP)
-    loss = float((losses + more).mean())
-    p /= len(rows)
-    leaf /= len(rows)
-    d = {"out": rows.T @ p, "out_bias": p.sum(axis=0)}
-    back = p @ model["out"].T
-    d["leaf"], d["leaf_bias"] = np.zeros_like(model["leaf"]), np.zeros_like(model["leaf_bias"])
-    below = np.empty_like(back)
+def _asking_parts(asked: np.ndarray) -> list[tuple[np.ndarray | slice, int, int, int, int]]:
+    """(windows, first, end position, first, end row) of what is worked out: each position is a row.
+
+    The beginning of a window that asks for nothing there, as later windows do, is only looked back at.
+    """
+    n, t = asked.shape
+    cut = min(WINDOW - STRIDE, t)
+    heads = np.flatnonzero(asked[:, :cut].any(axis=1))
+    rest = n * (t - cut)
+    parts = [(slice(None), cut, t, 0, rest), (heads, 0, cut, rest, rest + len(heads) * cut)]
+    return [part for part in parts if part[3] < part[4]]
+
+
+def _rows(z: np.ndarray, parts) -> np.ndarray:
+    """The rows of all parts, one after the other."""
+    return np.concatenate([z[:0].reshape(-1, *z.shape[2:]), *(z[w, f:t].reshape(-1, *z.shape[2:]) for w, f, t, _, _ in parts)])
+
+
+def gradients(model, x: np.ndarray, y: np.ndarray, asked: np.ndarray):
+    """(mean loss over the asked positions, its gradient); ``y`` are classes."""
+    near, far = _ways(model)
+    e = _embedded(model, x)
+    turned = np.ascontiguousarray(e.transpose(0, 2, 1))
+    parts = _asking_parts(asked)
+    own = _rows(e, parts)
+    q = own @ near
+    m, total, shares = np.empty_like(own), np.empty_like(own[:, :1]), []
+    for w, f, t, s, s_end in parts:
+        a = _shares(q[s:s_end].reshape(-1, t - f, WIDTH), turned[w, :, :t], f)
+        np.matmul(a, e[w, :t], out=m[s:s_end].reshape(-1, t - f, WIDTH))
+        np.matmul(a.reshape(-1, t), np.ones((t, 1), a.dtype), out=total[s:s_end])
+        shares.append(a)
+    m /= total
+    h = m @ far
+    h += own
+    r, g = _added(model, h)
+
+    targets = _rows(np.where(asked, y, -1), parts)
+    at = np.flatnonzero(targets >= 0)
+    targets = targets.take(at)
+    order, runs = _by_group(targets)
+    at, targets = at.take(order), targets.take(order)
+    n = len(at)
+    with_one = np.ones((n, WIDTH + 1), g.dtype)  # its last column gives the gradients of the biases
+    rows = with_one[:, :WIDTH]
+    rows[:] = g.take(at, axis=0)
+    z = np.empty((2, n, GROUP), g.dtype)
+    np.matmul(rows, model["out"], out=z[0])
+    z[0] += model["out_bias"]
+    group = targets // GROUP
+    _leaf_logits(model, rows, group, runs, z[1])
+    chosen, z = _softmax_gradient(z.reshape(-1, GROUP), np.concatenate([group, targets % GROUP]), max(n, 1))
+    loss = -2 * float(chosen.mean())
+    p, leaf = z[:n], z[n:]
+    d, both = {}, with_one.T @ p
+    d["out"], d["out_bias"] = both[:WIDTH], both[WIDTH]
+    back, below = p @ model["out"].T, np.empty_like(p[:, :WIDTH])
+    to_leaf, from_leaf = np.zeros((len(model["leaf"]), WIDTH + 1, GROUP), g.dtype), model["leaf"].transpose(0, 2, 1)
     for c, first, end in runs:
         part = leaf[first:end]
-        np.matmul(rows[first:end].T, part, out=d["leaf"][c])
-        np.matmul(part, model["leaf"][c].T, out=below[first:end])
+        np.dot(with_one[first:end].T, part, out=to_leaf[c])
+        np.dot(part, from_leaf[c], out=below[first:end])
+    d["leaf"], d["leaf_bias"] = to_leaf[:, :WIDTH], to_leaf[:, WIDTH]
     back += below
-    if runs:
-        d["leaf_bias"].reshape(-1, GROUP)[[c for c, _, _ in runs]] = np.add.reduceat(leaf, [first for _, first, _ in runs], axis=0)
     dg = np.zeros_like(g)
-    flat(dg)[at] = back
-    d["down"] = flat(r).T @ flat(dg)
+    dg[at] = back
+    d["down"] = r.T @ dg
     du = dg @ model["down"].T
     du *= r > 0
-    d["up"], d["up_bias"] = flat(h).T @ flat(du), flat(du).sum(axis=0)
+    d["up"], d["up_bias"] = h.T @ du, _column_sums(du)
     dh = du @ model["up"].T
     dh += dg
-    d["mixed"] = flat(m).T @ flat(dh)
-    dm = dh @ model["mixed"].T
-    dm /= total  # as ``a`` is not divided
-    three = np.empty((*x.shape, 3 * WIDTH), e.dtype)
-    np.matmul(a.transpose(0, 2, 1), dm, out=three[..., 2 * WIDTH :])
-    ds = dm @ v.transpose(0, 2, 1)
-    # a row's sum of a * da is the product of its dm and m, as m = a @ v
-    ds -= _totals(dm * m)
-    ds *= a
-    np.matmul(ds, k, out=three[..., :WIDTH])
-    np.matmul(ds.transpose(0, 2, 1), q, out=three[..., WIDTH : 2 * WIDTH])
-    weights = flat(e).T @ flat(three)
-    d["query"] = weights[:, :WIDTH] * np.float32(WIDTH**-0.5)
-    d["key"], d["value"] = weights[:, WIDTH : 2 * WIDTH], weights[:, 2 * WIDTH :]
-    dh += three @ _three(model).T
+    through = m.T @ dh
+    d["value"], d["mixed"] = through @ model["mixed"].T, model["value"].T @ through
+    dm = dh @ far.T
+    dm /= total  # as the shares are not divided
+    # a row's sum of a * da is the product of its dm and m, as m = a @ e
+    less = _totals(dm * m)
+    dq, de = np.empty_like(q), np.zeros_like(e)
+    for (w, f, t, s, s_end), a in zip(parts, shares):
+        here = (-1, t - f, WIDTH)
+        part = dm[s:s_end].reshape(here)
+        ds = part @ turned[w, :, :t]
+        ds -= less[s:s_end].reshape(-1, t - f, 1)
+        ds *= a
+        np.matmul(ds, e[w, :t], out=dq[s:s_end].reshape(here))
+        back = a.transpose(0, 2, 1) @ part
+        back += ds.transpose(0, 2, 1) @ q[s:s_end].reshape(here)
+        de[w, :t] += back
+    turn = own.T @ dq
+    scale = np.float32(WIDTH**-0.5)
+    d["query"], d["key"] = scale * turn @ model["key"], scale * turn.T @ model["query"]
+    dh += dq @ near.T
+    for w, f, t, s, s_end in parts:
+        de[w, f:t] += dh[s:s_end].reshape(-1, t - f, WIDTH)
     d["place"] = np.zeros_like(model["place"])
-    d["place"][: x.shape[1]] = dh.sum(axis=0)
-    d["embed"] = _row_sums(x.ravel(), flat(dh), len(model["embed"]))
+    d["place"][: x.shape[1]] = de.sum(axis=0)
+    d["embed"] = _row_sums(x.ravel(), de.reshape(-1, WIDTH), len(model["embed"]))
     return loss, d
 
 
@@ -254,10 +317,10 @@ def _row_sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows of ``values`` by their place in 0..n-1, each place in one run."""
     out = np.zeros((n, values.shape[1]), values.dtype)
     order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")
-    places = at[order]
+    places = at.take(order)
     if len(places):
         first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
-        out[places[first]] = np.add.reduceat(values[order], first, axis=0)
+        out[places.take(first)] = np.add.reduceat(values.take(order, axis=0), first, axis=0)
     return out
 
 
@@ -304,14 +367,17 @@ def window_starts(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def windows(ids: np.ndarray, lengths: np.ndarray, classes: Classes, doc: np.ndarray, start: np.ndarray):
     """(inputs, targets, asked) of windows over documents that lie one after the other in ``ids``."""
-    base = np.cumsum(lengths) - lengths
-    place = start[:, None] + np.arange(WINDOW)
-    inside = place < lengths[doc][:, None]
-    at = np.where(inside, base[doc][:, None] + place, 0)
-    x = np.where(place == 0, classes.size, classes.of[ids[np.maximum(at - 1, 0)]])
-    x[~inside] = classes.size
-    asked = inside & ((start == 0)[:, None] | (np.arange(WINDOW) >= WINDOW - STRIDE))
-    return x, ids[at], asked
+    first = (np.cumsum(lengths) - lengths).take(doc) + start
+    inside = np.arange(WINDOW) < (lengths.take(doc) - start)[:, None]
+    y = ids.take(first[:, None] + np.arange(WINDOW), mode="clip")  # beyond a text nothing is asked
+    x = np.empty(y.shape, classes.of.dtype)
+    x[:, 0] = np.where(start == 0, classes.size, classes.of.take(ids.take(first - 1, mode="clip")))
+    x[:, 1:] = classes.of.take(y[:, :-1])
+    short = np.flatnonzero(~inside[:, -1])
+    x[short] = np.where(inside[short], x[short], classes.size)
+    asked = inside.copy()
+    asked[start > 0, : WINDOW - STRIDE] = False
+    return x, y, asked
 
 
 def score(model, classes: Classes, ids: np.ndarray, lengths: np.ndarray, batch: int = 32) -> np.ndarray:
@@ -325,7 +391,6 @@ def score(model, classes: Classes, ids: np.ndarray, lengths: np.ndarray, batch:
             own = doc[some[k : k + batch]]
             x, y, asked = windows(ids, lengths, classes, own, start[some[k : k + batch]])
             values = log_probability(model, classes, x, y, asked, since)
-            first = own[0]
-            sums = np.bincount(np.repeat(own - first, asked.sum(axis=1)), values)
-            out[first : first + len(sums)] += sums
+            n = asked.sum(axis=1)  # a window asks for something
+            np.add.at(out, own, np.add.reduceat(values, np.cumsum(n) - n))
     return out / np.log(10)

@@ -42,6 +42,37 @@ def test_gradients_match_differences(classes):
             assert np.isclose((values[0] - values[1]) / 2e-5, grads[name].flat[at], rtol=1e-3, atol=1e-7), name
 
 
+def whole_windows(later, first, seed):
+    """Inputs, targets and asked positions of full windows, ``later`` ones without their overlap."""
+    rng = np.random.default_rng(seed)
+    x, y = rng.integers(0, 1024, (2, later + first, attention.WINDOW))
+    asked = np.ones(x.shape, bool)
+    asked[rng.permutation(len(x))[:later], : attention.WINDOW - attention.STRIDE] = False
+    return x, y, asked
+
+
+@pytest.mark.parametrize(("later", "first"), [(4, 0), (3, 2), (0, 2)])
+def test_gradient_of_whole_windows_matches_a_difference(classes, later, first):
+    rng = np.random.default_rng(2)
+    model = {k: v + rng.normal(size=v.shape) * 0.1 for k, v in attention.fresh(classes).items()}
+    x, y, asked = whole_windows(later, first, 5)
+    asked[0, 40:] = False  # a text that ends
+    _, grads = attention.gradients(model, x, y, asked)
+    for name in attention.SHAPES:
+        way = rng.normal(size=model[name].shape)
+        losses = [attention.gradients(model | {name: model[name] + step * way}, x, y, asked)[0] for step in (1e-5, -1e-5)]
+        assert np.isclose((losses[0] - losses[1]) / 2e-5, (grads[name] * way).sum(), rtol=1e-3, atol=1e-7), name
+
+
+def test_steps_look_back_at_overlaps_but_ask_nothing_there(classes, monkeypatch):
+    x, y, asked = whole_windows(5, 2, 8)
+    sizes, exp = [], attention._exp
+    monkeypatch.setattr(attention, "_exp", lambda z: sizes.append(z.size) or exp(z))
+    attention.gradients(attention.fresh(classes), x, y, asked)
+    overlap, t = attention.WINDOW - attention.STRIDE, attention.WINDOW
+    assert sum(sizes) == 7 * attention.STRIDE * t + 2 * overlap**2 + 2 * attention.GROUP * asked.sum()
+
+
 def test_embedding_gradient_is_summed_by_place():
     rng = np.random.default_rng(3)
     at, values = rng.integers(0, 40, 900), rng.normal(size=(900, 5))
