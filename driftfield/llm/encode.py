@@ -23,6 +23,8 @@ from driftfield.llm.words import text_blocks
 #: Distinct pieces a worker remembers before it starts anew (bounds its memory, never the result).
 CACHE_PIECES = 400_000
 _TOGETHER = 128
+#: Runs of words that go through the library at a time: its results take far more memory than the ids.
+_RUNS = 128
 _SPACED = re.compile(r"\s ")
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -95,8 +97,8 @@ class PieceEncoder:
     def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for " " + word of each word; many words go through the library as one text."""
         if self.byte_level and words:
-            runs = range(0, len(words), _TOGETHER)
-            ids, _ = self._whole([" " + " ".join(words[a : a + _TOGETHER]) for a in runs])
+            runs = [" " + " ".join(words[a : a + _TOGETHER]) for a in range(0, len(words), _TOGETHER)]
+            ids = np.concatenate([self._whole(runs[a : a + _RUNS])[0] for a in range(0, len(runs), _RUNS)])
             ends = np.cumsum(np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)) + 1)
             reach = np.cumsum(self.token_bytes[ids])
             cut = np.searchsorted(reach, ends)
@@ -128,8 +130,6 @@ class PieceEncoder:
 
     def spaced_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each) of " " + word for words without spaces."""
-        if self.pieces.size > self.cache_pieces:
-            self.shrink()
         # a leading NUL would mean a piece at the start of a text
         named = [w if w[:1] != "\0" else None for w in words]
         at = np.fromiter((-1 if w is None else self.pieces[w] for w in named), np.int64, len(words))
@@ -138,13 +138,14 @@ class PieceEncoder:
         self.used[at[known]] += 1
         sizes = np.zeros(len(words), np.int64)
         sizes[known] = self.offset[at[known] + 1] - self.offset[at[known]]
-        if known.all():
-            return self._gathered(at), sizes
-        more, more_sizes = self._whole([" " + w for w, n in zip(words, named, strict=True) if n is None])
-        sizes[~known] = more_sizes
-        out = np.zeros(int(sizes.sum()), np.int32)
-        is_known = np.repeat(known, sizes)
-        out[is_known], out[~is_known] = self._gathered(at[known]), more
+        out = self._gathered(at[known])
+        if not known.all():
+            more, sizes[~known] = self._whole([" " + w for w, n in zip(words, named, strict=True) if n is None])
+            is_known, met = np.repeat(known, sizes), out
+            out = np.zeros(int(sizes.sum()), np.int32)
+            out[is_known], out[~is_known] = met, more
+        if self.pieces.size > self.cache_pieces:  # not left to the next call, which may be stages away
+            self.shrink()
         return out, sizes
 
     def _store(self, first: int, ids: np.ndarray, sizes: np.ndarray) -> None:

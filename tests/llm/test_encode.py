@@ -45,6 +45,19 @@ def test_any_text(texts):
         assert got == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_many_words_go_through_the_library_some_at_a_time(byte_bpe, monkeypatch):
+    encoder, asked, whole = PieceEncoder(byte_bpe), [], PieceEncoder._whole
+    monkeypatch.setattr(PieceEncoder, "_whole", lambda self, texts: asked.append(len(texts)) or whole(self, texts))
+    words = [f"wörd{k * 7919}" for k in range(40_000)]
+    ids, sizes = encoder.spaced_words(words)
+    assert max(asked) < len(words) / 200
+    assert len(encoder.pieces) == len(words)
+    encoder.cache_pieces = 30_000
+    assert all(map(np.array_equal, encoder.spaced_words(words[:9]), (ids[: sizes[:9].sum()], sizes[:9])))
+    assert len(encoder.pieces) <= 15_000  # given up at once
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == direct(byte_bpe, [" " + w for w in words])
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 @pytest.mark.parametrize("n", [0, 1, 7, 64, 1000])
 def test_planes_round_trip(kind, n):
